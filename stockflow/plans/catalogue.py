@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from stockflow import schemas as S
 from stockflow.functions import normalize as N
-from stockflow.operators import dedupe, ledger, resolve
+from stockflow.operators import dedupe, ledger, outbox, reconcile, reports, resolve
+from stockflow.operators import items as items_op
+from stockflow.sources import webhook
+from stockflow.streaming import relay
 from stockflow.plans.ingest import Ingested, ingest
 from stockflow.sources import testdata as TD
 
@@ -132,6 +135,254 @@ def stock_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.final_units(_ingested(spark, sf_dir).applied)
 
 
+# ---------------------------------------------------------------- outbox
+NOW_MS = TD.NOW_MS
+
+
+def _jobs(spark: SparkSession, sf_dir: str, ing: Ingested | None = None) -> DataFrame:
+    ing = ing or _ingested(spark, sf_dir)
+    return outbox.enqueue(outbox.empty_jobs(spark), outbox.owed_targets(ing.applied), 1, NOW_MS)
+
+
+def _round1(spark: SparkSession, sf_dir: str):
+    jobs = _jobs(spark, sf_dir)
+    return outbox.dispatch_round(jobs, TD.outbox_mapping(spark, sf_dir), TD.fixture_results, NOW_MS)
+
+
+def _history(spark: SparkSession, sf_dir: str, jobs: DataFrame) -> DataFrame:
+    routed = outbox.skip_reason(jobs, TD.outbox_mapping(spark, sf_dir))
+    return outbox.attempt_history(jobs, TD.fixture_attempts(routed))
+
+
+JOB_VIEW = ["internal_sku", "platform", "target_quantity", "status", "attempts", "max_attempts",
+            "next_attempt_at", "last_error"]
+
+
+def outbox_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-1/AGG-3/JN-15: one pending job per (SKU, platform) with the latest target."""
+    return _jobs(spark, sf_dir).select(*JOB_VIEW)
+
+
+def push_skip_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-7: route check of every owed job."""
+    routed = outbox.skip_reason(_jobs(spark, sf_dir), TD.outbox_mapping(spark, sf_dir))
+    return routed.select("internal_sku", "platform", "skip_reason", "route_id", "route_sub_id")
+
+
+def push_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-2/PRJ-18/PRJ-20: one dispatch round: new state, outcome, log message."""
+    _, tr = _round1(spark, sf_dir)
+    return tr.select(*JOB_VIEW, "outcome", "log_status", "message")
+
+
+def outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-5: outcome counts of the dispatch round."""
+    _, tr = _round1(spark, sf_dir)
+    return tr.groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def due_jobs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT-1: the 50 earliest due jobs after the first round (a top-k report)."""
+    jobs, _ = _round1(spark, sf_dir)
+    d = outbox.due(jobs, NOW_MS + 5000, limit=S.DUE_BATCH_LIMIT)
+    return d.select("internal_sku", "platform", "next_attempt_at", "attempts", "target_quantity")
+
+
+def job_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-5: jobs leased at now + 5 s (due again 30 s later)."""
+    jobs, _ = _round1(spark, sf_dir)
+    claimed, _new = outbox.claim(jobs, NOW_MS + 5000)
+    return claimed.select("internal_sku", "platform", "status", "attempts", "next_attempt_at")
+
+
+def push_attempt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-8: every attempt until a terminal state, dispatcher running at each due time."""
+    h = _history(spark, sf_dir, _jobs(spark, sf_dir))
+    return h.select("internal_sku", "platform", "attempt_no", "attempt_at", "outcome", "message")
+
+
+def _terminal_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = _jobs(spark, sf_dir)
+    return outbox.jobs_after_history(jobs, _history(spark, sf_dir, jobs))
+
+
+def requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STA-4/FLT-12: requeue every job of an even part; only dead letters move."""
+    jobs = _terminal_jobs(spark, sf_dir)
+    ids = jobs.filter(TD.partkey_of(F.col("internal_sku")) % 2 == 0).select("job_id")
+    out = outbox.requeue(jobs, ids, NOW_MS + 3_600_000)
+    return out.select(*JOB_VIEW)
+
+
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-4: dead-lettered jobs after the full attempt history."""
+    return outbox.dead_letters(_terminal_jobs(spark, sf_dir)).select(*JOB_VIEW)
+
+
+def double_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-10: (SKU, platform) pairs with more than one successful delivery
+    over two batches (the second batch re-owes every pair once all jobs end)."""
+    ing = _ingested(spark, sf_dir)
+    j1 = _jobs(spark, sf_dir, ing)
+    h1 = _history(spark, sf_dir, j1)
+    done = outbox.jobs_after_history(j1, h1)
+    j2 = outbox.enqueue(done, outbox.owed_targets(ing.applied), 2, NOW_MS + 3_600_000)
+    j2_new = j2.filter(F.col("created_batch") == 2)
+    h2 = _history(spark, sf_dir, j2_new)
+    logs = h1.unionByName(h2)
+    return reports.double_delivery(logs)
+
+
+# ---------------------------------------------------------------- reconcile
+def _reconciled(spark: SparkSession, sf_dir: str):
+    ing = _ingested(spark, sf_dir)
+    led = TD.ledger_with_faults(ledger.ledger_rows(ing.applied))
+    items = TD.items_with_drift(ledger.final_units(ing.applied))
+    return led, items, reconcile.reconcile(led, items, scan_mode=SCAN_MODE)
+
+
+def reconcile_broken_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-4: ledger rows whose before + change is not after."""
+    _, _, rep = _reconciled(spark, sf_dir)
+    return rep["violations"].filter(F.col("type") == "broken_row").select(
+        "internal_sku", *_seq_cols(), "type", "detail")
+
+
+def reconcile_chain_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-5: rows that do not start where the previous row ended."""
+    _, _, rep = _reconciled(spark, sf_dir)
+    return rep["violations"].filter(F.col("type") == "chain_gap").select(
+        "internal_sku", *_seq_cols(), "type", "detail")
+
+
+def reconcile_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-6/AGG-2: SKUs whose live stock differs from the ledger replay."""
+    _, _, rep = _reconciled(spark, sf_dir)
+    return rep["mismatches"]
+
+
+def reconcile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-1/PRJ-25: checked SKUs, counts, consistent flag, label."""
+    _, _, rep = _reconciled(spark, sf_dir)
+    return rep["summary"]
+
+
+# ---------------------------------------------------------------- reports
+def _final_items(spark: SparkSession, sf_dir: str, ing: Ingested | None = None):
+    ing = ing or _ingested(spark, sf_dir)
+    return items_op.items_after(None, TD.imports(spark, sf_dir), ledger.final_units(ing.applied))
+
+
+ITEM_VIEW = ["internal_sku", "product_name", "tier", "sync_enabled", "monitoring_enabled", "available_units",
+             "low_stock_threshold", "units_per_pack", "notes"]
+
+
+def inventory_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-5: live items with their channel SKUs."""
+    items, mapping = _final_items(spark, sf_dir)
+    return reports.inventory_snapshot(items, mapping).select(*ITEM_VIEW, "shopify_sku", "etsy_sku")
+
+
+def low_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-2/SRT-4: monitored items at or below their threshold."""
+    items, _ = _final_items(spark, sf_dir)
+    return reports.low_stock(items).select("internal_sku", "available_units", "low_stock_threshold")
+
+
+def low_stock_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-12: snapshot rows with the low-stock membership flag."""
+    items, mapping = _final_items(spark, sf_dir)
+    return reports.low_stock_flag(items, mapping).select("internal_sku", "available_units", "is_low_stock")
+
+
+def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-6/PRJ-25: the dashboard KPI row."""
+    ing = _ingested(spark, sf_dir)
+    items, _ = _final_items(spark, sf_dir, ing)
+    jobs = _terminal_jobs(spark, sf_dir)
+    led = TD.ledger_with_faults(ledger.ledger_rows(ing.applied))
+    rep = reconcile.reconcile(led, TD.items_with_drift(ledger.final_units(ing.applied)), scan_mode=SCAN_MODE)
+    return reports.kpis(items, jobs, rep["summary"])
+
+
+def recent_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRT-2: the 50 newest ledger rows (a top-k report)."""
+    led = ledger.ledger_rows(_ingested(spark, sf_dir).applied)
+    top = reports.recent(led, ["seq", "internal_sku"], S.RECENT_DEFAULT_LIMIT)
+    return top.select("internal_sku", *_seq_cols(), "reason", "change_units", "before_units", "after_units")
+
+
+def exactly_once_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-9/JN-13: deliveries vs distinct events vs processed, sale rows, and
+    SKUs whose live stock is not the ledger's last value."""
+    ing = _ingested(spark, sf_dir)
+    docs = ing.documents
+    led = ledger.ledger_rows(ing.applied)
+    items = ledger.final_units(ing.applied)
+    mism = reconcile.drift(led, items)
+    tagged = (
+        docs.select(F.lit("d").alias("k"), "status", F.struct("platform", "external_event_id").alias("ev"))
+        .unionByName(led.filter(F.col("reason") == S.REASON_SALE).select(
+            F.lit("s").alias("k"), F.lit(None).cast("string").alias("status"),
+            F.lit(None).cast("struct<platform:string,external_event_id:string>").alias("ev")))
+        .unionByName(mism.select(
+            F.lit("m").alias("k"), F.lit(None).cast("string").alias("status"),
+            F.lit(None).cast("struct<platform:string,external_event_id:string>").alias("ev"))))
+    a = tagged.agg(
+        F.count_if(F.col("k") == "d").alias("deliveries"),
+        F.count_distinct("ev").alias("distinct_events"),
+        F.count_if(F.col("status") == "processed").alias("processed"),
+        F.count_if(F.col("status") == "duplicate").alias("duplicates"),
+        F.count_if(F.col("k") == "s").alias("sale_rows"),
+        F.count_if(F.col("k") == "m").alias("stock_mismatch"))
+    return a.select("*", ((F.col("processed") == F.col("distinct_events"))
+                          & (F.col("stock_mismatch") == 0)).alias("exactly_once"))
+
+
+def percentiles_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-7: p50/p95/p99 of units per processed order, per platform."""
+    lines = _ingested(spark, sf_dir).lines.filter("line_valid")
+    per_order = lines.groupBy("platform", "external_event_id").agg(F.sum("quantity").alias("units"))
+    return reports.percentiles_nearest_rank(per_order, ["platform"], "units")
+
+
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-8: applied sale lines per second of order time, per platform."""
+    app = _ingested(spark, sf_dir).applied.filter(F.col("row_kind") == "sale")
+    return reports.throughput(app.select("platform", F.col("seq.ts").alias("ts")), ["platform"], "ts")
+
+
+def orphan_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-16: integrity checks the reference left to foreign keys."""
+    ing = _ingested(spark, sf_dir)
+    items, mapping = _final_items(spark, sf_dir, ing)
+    led = ledger.ledger_rows(ing.applied)
+    events = ing.documents.filter(F.col("status") == "processed")
+    return reports.orphan_checks(items, mapping, led, events, ing.lines)
+
+
+def order_results_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-12: each processed order with its line results as a JSON array."""
+    ing = _ingested(spark, sf_dir)
+    return reports.nested_results(ing.line_results, ing.documents)
+
+
+def webhook_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-22/FLT-8: signed payloads checked against the webhook secret."""
+    landed = TD.signed_payloads(spark, sf_dir)
+    return webhook.verify(landed, TD.WEBHOOK_SECRET).select("external_event_id", "case", "accepted")
+
+
+def stock_events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRJ-21/SNK-8: relay messages for claimed jobs, encoded then decoded."""
+    jobs, _ = _round1(spark, sf_dir)
+    claimed, _new = outbox.claim(jobs, NOW_MS + 5000)
+    msgs = relay.encode_events(claimed)
+    dec = relay.decode_events(msgs)
+    return dec.join(claimed.select("job_id", "target_quantity"), ["job_id", "target_quantity"], "left_semi").select(
+        "key", "internal_sku", "platform", "target_quantity")
+
+
 QUERIES = {
     "inventory_import_normalized": inventory_import_normalized,
     "sku_resolution": sku_resolution,
@@ -143,4 +394,30 @@ QUERIES = {
     "sale_status": sale_status,
     "oversell_notes": oversell_notes,
     "stock_after": stock_after,
+    "outbox_coalesced": outbox_coalesced,
+    "push_skip_reason": push_skip_reason,
+    "push_transition": push_transition,
+    "outcome_counts": outcome_counts,
+    "due_jobs_topk": due_jobs_topk,
+    "job_claim": job_claim,
+    "push_attempt_history": push_attempt_history,
+    "requeue": requeue,
+    "dead_letters": dead_letters,
+    "double_delivery": double_delivery,
+    "reconcile_broken_rows": reconcile_broken_rows,
+    "reconcile_chain_gaps": reconcile_chain_gaps,
+    "reconcile_drift": reconcile_drift,
+    "reconcile_summary": reconcile_summary,
+    "inventory_snapshot": inventory_snapshot,
+    "low_stock": low_stock,
+    "low_stock_flag": low_stock_flag,
+    "kpis": kpis,
+    "recent_ledger": recent_ledger,
+    "exactly_once_audit": exactly_once_audit,
+    "percentiles_nearest_rank": percentiles_nearest_rank,
+    "throughput": throughput,
+    "orphan_checks": orphan_checks,
+    "order_results_nested": order_results_nested,
+    "webhook_verify": webhook_verify,
+    "stock_events_json": stock_events_json,
 }

@@ -208,7 +208,7 @@ applied_n AS (
          WHEN rn = 1 THEN 'initial import' ELSE 'import changed units' END AS ledger_notes
   FROM applied),
 ledger AS (
-  SELECT internal_sku, strftime(ts, '%Y-%m-%d') AS event_date, doc_pos, line_pos, tie1,
+  SELECT internal_sku, ts, kind, doc_pos, line_pos, tie1, tie2,
     CASE WHEN kind = 1 THEN 'sale' ELSE 'import_snapshot' END AS reason,
     platform, external_order_id,
     CASE WHEN tracked THEN s_after - s_before ELSE units - coalesce(prev_val, 0) END AS change_units,
@@ -269,7 +269,10 @@ SELECT internal_sku, strftime(ts, '%Y-%m-%d') AS event_date, doc_pos, line_pos,
        (greatest(0, base - cumq + quantity) - quantity < 0) AS oversold
 FROM run"""
 
-SQL["ledger_with_imports"] = with_ledger("SELECT * FROM ledger")
+SQL["ledger_with_imports"] = with_ledger("""
+SELECT internal_sku, strftime(ts, '%Y-%m-%d') AS event_date, doc_pos, line_pos, tie1, reason, platform,
+       external_order_id, change_units, before_units, after_units, notes
+FROM ledger""")
 
 SQL["sale_status"] = with_ledger("""
 SELECT platform, external_order_id, strftime(ts, '%Y-%m-%d') AS event_date, doc_pos, line_pos, tie1, internal_sku,
@@ -297,3 +300,274 @@ SQL["stock_after"] = with_ledger(f"""
 SELECT internal_sku, val AS available_units FROM (
   SELECT internal_sku, val, row_number() OVER (PARTITION BY internal_sku ORDER BY {ORD_DESC}) AS r
   FROM applied) WHERE r = 1""")
+
+
+NOW = 1_700_000_000_000
+MOCK = "mock transient failure: HTTP 503 (simulated platform outage)"
+
+OUTBOX = f"""
+owed AS (
+  SELECT internal_sku, s_after AS target_quantity FROM (
+    SELECT internal_sku, s_after, row_number() OVER (PARTITION BY internal_sku ORDER BY {ORD_DESC}) AS r
+    FROM applied WHERE tracked AND seg_tier = 'tier1' AND seg_sync = 1) t WHERE r = 1),
+jobs0 AS (
+  SELECT o.internal_sku, p.platform, CAST(o.target_quantity AS BIGINT) AS target_quantity,
+         'pending' AS status, CAST(0 AS BIGINT) AS attempts, CAST(5 AS BIGINT) AS max_attempts,
+         CAST({NOW} AS BIGINT) AS next_attempt_at, CAST(NULL AS VARCHAR) AS last_error
+  FROM owed o CROSS JOIN (VALUES ('shopify'), ('etsy')) p(platform)),
+omap AS (SELECT * FROM inv WHERE _row % 13 <> 4),
+routed AS (
+  SELECT j.*,
+    CASE WHEN m.internal_sku IS NULL THEN 'no SKU mapping found'
+         WHEN j.platform = 'shopify' AND NOT (coalesce(m.shopify_inventory_item_id, '') <> ''
+              AND coalesce(m.shopify_location_id, '') <> '') THEN 'missing Shopify inventory mapping'
+         WHEN j.platform = 'etsy' AND NOT (coalesce(m.etsy_listing_id, '') <> ''
+              AND coalesce(m.etsy_offering_id, '') <> '') THEN 'missing Etsy mapping / offering id'
+    END AS skip_reason,
+    CASE WHEN j.platform = 'shopify' THEN m.shopify_inventory_item_id ELSE m.etsy_listing_id END AS route_id,
+    CASE WHEN j.platform = 'shopify' THEN nullif(m.shopify_location_id, '') ELSE m.etsy_offering_id END
+      AS route_sub_id,
+    (CAST(substr(j.internal_sku, 5) AS BIGINT) // 3) * 2 + CASE WHEN j.platform = 'etsy' THEN 1 ELSE 0 END AS jk
+  FROM jobs0 j LEFT JOIN omap m ON j.internal_sku = m.internal_sku),
+att AS (
+  SELECT r.*, k.attempt_no, (r.skip_reason IS NULL AND (r.jk + k.attempt_no) % 6 = 0) AS ok
+  FROM routed r CROSS JOIN (SELECT range AS attempt_no FROM range(1, 6)) k),
+term AS (
+  SELECT *, coalesce(min(CASE WHEN ok OR skip_reason IS NOT NULL THEN attempt_no END)
+                     OVER (PARTITION BY internal_sku, platform), max_attempts) AS terminal
+  FROM att),
+hist AS (
+  SELECT internal_sku, platform, target_quantity, max_attempts, skip_reason,
+    CAST(attempt_no AS BIGINT) AS attempt_no,
+    CAST(next_attempt_at + 5000 * ((CAST(1 AS BIGINT) << CAST(attempt_no - 1 AS INTEGER)) - 1) AS BIGINT)
+      AS attempt_at,
+    CASE WHEN skip_reason IS NOT NULL THEN 'skipped' WHEN ok THEN 'succeeded'
+         WHEN attempt_no >= max_attempts THEN 'dead_letter' ELSE 'retry_scheduled' END AS outcome,
+    CASE WHEN skip_reason IS NOT NULL THEN skip_reason
+         WHEN ok THEN platform || ' inventory updated (attempt ' || CAST(attempt_no AS VARCHAR) || ')'
+         WHEN attempt_no >= max_attempts
+           THEN 'dead-lettered after ' || CAST(attempt_no AS VARCHAR) || ' attempts: {MOCK}'
+         ELSE 'attempt ' || CAST(attempt_no AS VARCHAR) || ' failed, retry in '
+              || CAST(5000 * (CAST(1 AS BIGINT) << CAST(attempt_no - 1 AS INTEGER)) AS VARCHAR) || 'ms: {MOCK}'
+    END AS message
+  FROM term WHERE attempt_no <= terminal),
+round1 AS (
+  SELECT internal_sku, platform, target_quantity,
+    CASE outcome WHEN 'retry_scheduled' THEN 'pending' ELSE outcome END AS status,
+    attempt_no AS attempts, max_attempts,
+    CAST(CASE WHEN outcome = 'retry_scheduled' THEN {NOW} + 5000 ELSE {NOW} END AS BIGINT) AS next_attempt_at,
+    CASE WHEN outcome = 'succeeded' THEN NULL WHEN outcome = 'skipped' THEN message ELSE '{MOCK}' END
+      AS last_error,
+    outcome,
+    CASE outcome WHEN 'skipped' THEN 'skipped' WHEN 'succeeded' THEN 'success' ELSE 'failed' END AS log_status,
+    message
+  FROM hist WHERE attempt_no = 1),
+terminal_jobs AS (
+  SELECT internal_sku, platform, target_quantity,
+    CASE outcome WHEN 'retry_scheduled' THEN 'pending' ELSE outcome END AS status,
+    attempt_no AS attempts, max_attempts, attempt_at AS next_attempt_at,
+    CASE WHEN outcome = 'succeeded' THEN NULL WHEN outcome = 'skipped' THEN message ELSE '{MOCK}' END
+      AS last_error
+  FROM (SELECT *, row_number() OVER (PARTITION BY internal_sku, platform ORDER BY attempt_no DESC) AS r
+        FROM hist) t WHERE r = 1)"""
+
+
+def with_outbox(body: str) -> str:
+    return f"WITH {INV},{DOCS},{LEDGER},{OUTBOX}\n{body}"
+
+
+JOB_VIEW = "internal_sku, platform, target_quantity, status, attempts, max_attempts, next_attempt_at, last_error"
+
+SQL["outbox_coalesced"] = with_outbox(f"SELECT {JOB_VIEW} FROM jobs0")
+SQL["push_skip_reason"] = with_outbox(
+    "SELECT internal_sku, platform, skip_reason, route_id, route_sub_id FROM routed")
+SQL["push_transition"] = with_outbox(f"SELECT {JOB_VIEW}, outcome, log_status, message FROM round1")
+SQL["outcome_counts"] = with_outbox("SELECT outcome, count(*) AS n FROM round1 GROUP BY 1")
+SQL["due_jobs_topk"] = with_outbox(f"""
+SELECT internal_sku, platform, next_attempt_at, attempts, target_quantity FROM round1
+WHERE status = 'pending' AND next_attempt_at <= {NOW} + 5000
+ORDER BY next_attempt_at, internal_sku, platform LIMIT 50""")
+SQL["job_claim"] = with_outbox(f"""
+SELECT internal_sku, platform, status, attempts, CAST(next_attempt_at + 30000 AS BIGINT) AS next_attempt_at
+FROM round1 WHERE status = 'pending' AND next_attempt_at <= {NOW} + 5000""")
+SQL["push_attempt_history"] = with_outbox(
+    "SELECT internal_sku, platform, attempt_no, attempt_at, outcome, message FROM hist")
+SQL["requeue"] = with_outbox(f"""
+SELECT internal_sku, platform, target_quantity,
+  CASE WHEN hit THEN 'pending' ELSE status END AS status,
+  CASE WHEN hit THEN CAST(0 AS BIGINT) ELSE attempts END AS attempts, max_attempts,
+  CASE WHEN hit THEN CAST({NOW} + 3600000 AS BIGINT) ELSE next_attempt_at END AS next_attempt_at,
+  CASE WHEN hit THEN NULL ELSE last_error END AS last_error
+FROM (SELECT *, (CAST(substr(internal_sku, 5) AS BIGINT) % 2 = 0 AND status = 'dead_letter') AS hit
+      FROM terminal_jobs) t""")
+SQL["dead_letters"] = with_outbox(f"SELECT {JOB_VIEW} FROM terminal_jobs WHERE status = 'dead_letter'")
+SQL["double_delivery"] = with_outbox("""
+SELECT internal_sku, platform, count(*) AS n
+FROM (SELECT * FROM hist UNION ALL SELECT * FROM hist) t
+WHERE outcome = 'succeeded' GROUP BY 1, 2 HAVING count(*) > 1""")
+
+RECON = f"""
+final_stock AS (
+  SELECT internal_sku, val AS available_units FROM (
+    SELECT internal_sku, val, row_number() OVER (PARTITION BY internal_sku ORDER BY {ORD_DESC}) AS r
+    FROM applied) t WHERE r = 1),
+live AS (
+  SELECT internal_sku,
+    CASE WHEN CAST(substr(internal_sku, 5) AS BIGINT) % 50 = 0 THEN available_units - 15
+         ELSE available_units END AS available_units
+  FROM final_stock),
+fled AS (
+  SELECT internal_sku, ts, kind, doc_pos, line_pos, tie1, tie2, reason,
+    change_units + CASE WHEN reason = 'sale' AND doc_pos % 17 = 0 THEN 2 ELSE 0 END AS change_units,
+    before_units + CASE WHEN reason = 'sale' AND doc_pos % 23 = 0 THEN 1 ELSE 0 END AS before_units,
+    after_units + CASE WHEN reason = 'sale' AND doc_pos % 23 = 0 THEN 1 ELSE 0 END AS after_units
+  FROM ledger WHERE internal_sku IN (SELECT internal_sku FROM live)),
+broken AS (
+  SELECT internal_sku, ts, doc_pos, line_pos, tie1, 'broken_row' AS type,
+    'before(' || coalesce(CAST(before_units AS VARCHAR), 'null') || ') + change('
+    || CAST(change_units AS VARCHAR) || ') != after(' || coalesce(CAST(after_units AS VARCHAR), 'null') || ')'
+      AS detail
+  FROM fled WHERE (coalesce(before_units, 0) + change_units) IS DISTINCT FROM after_units),
+gaps AS (
+  SELECT internal_sku, ts, doc_pos, line_pos, tie1, 'chain_gap' AS type,
+    'row starts at ' || CAST(before_units AS VARCHAR) || ' but previous row ended at '
+    || CAST(prev_after AS VARCHAR) AS detail
+  FROM (SELECT *, lag(after_units) OVER (PARTITION BY internal_sku ORDER BY {ORD}) AS prev_after FROM fled) t
+  WHERE before_units IS NOT NULL AND prev_after IS NOT NULL AND before_units <> prev_after),
+expected AS (
+  SELECT internal_sku, after_units AS expected_units FROM (
+    SELECT *, row_number() OVER (PARTITION BY internal_sku ORDER BY {ORD_DESC}) AS r FROM fled) t
+  WHERE r = 1),
+drift AS (
+  SELECT e.internal_sku, e.expected_units, l.available_units AS actual_units,
+         coalesce(l.available_units, 0) - e.expected_units AS delta
+  FROM expected e JOIN live l ON e.internal_sku = l.internal_sku
+  WHERE e.expected_units IS NOT NULL AND l.available_units IS DISTINCT FROM e.expected_units)"""
+
+
+def with_recon(body: str) -> str:
+    return f"WITH {INV},{DOCS},{LEDGER},{RECON}\n{body}"
+
+
+SQL["reconcile_broken_rows"] = with_recon(
+    "SELECT internal_sku, strftime(ts, '%Y-%m-%d') AS event_date, doc_pos, line_pos, tie1, type, detail FROM broken")
+SQL["reconcile_chain_gaps"] = with_recon(
+    "SELECT internal_sku, strftime(ts, '%Y-%m-%d') AS event_date, doc_pos, line_pos, tie1, type, detail FROM gaps")
+SQL["reconcile_drift"] = with_recon("SELECT * FROM drift")
+SQL["reconcile_summary"] = with_recon("""
+SELECT checked_skus, mismatch_count, chain_violation_count,
+  (mismatch_count = 0 AND chain_violation_count = 0) AS consistent,
+  CASE WHEN mismatch_count + chain_violation_count > 0 THEN 'drift' ELSE 'clean' END AS label
+FROM (SELECT (SELECT count(DISTINCT internal_sku) FROM fled) AS checked_skus,
+             (SELECT count(*) FROM drift) AS mismatch_count,
+             (SELECT count(*) FROM broken) + (SELECT count(*) FROM gaps) AS chain_violation_count) t""")
+
+
+REPORTS = """
+fitems AS (
+  SELECT i.internal_sku, i.product_name, i.tier, i.sync_enabled, i.monitoring_enabled,
+         f.available_units, i.low_stock_threshold, i.units_per_pack, i.notes, i.shopify_sku, i.etsy_sku
+  FROM inv i JOIN final_stock f ON i.internal_sku = f.internal_sku),
+lowstock AS (
+  SELECT * FROM fitems WHERE monitoring_enabled = 1 AND available_units IS NOT NULL
+    AND low_stock_threshold IS NOT NULL AND available_units <= low_stock_threshold)"""
+
+
+def with_reports(body: str) -> str:
+    return f"WITH {INV},{DOCS},{LEDGER},{OUTBOX},{RECON},{REPORTS}\n{body}"
+
+
+ITEM_VIEW = ("internal_sku, product_name, tier, sync_enabled, monitoring_enabled, available_units, "
+             "low_stock_threshold, units_per_pack, notes")
+SQL["inventory_snapshot"] = with_reports(f"SELECT {ITEM_VIEW}, shopify_sku, etsy_sku FROM fitems")
+SQL["low_stock"] = with_reports("SELECT internal_sku, available_units, low_stock_threshold FROM lowstock")
+SQL["low_stock_flag"] = with_reports("""
+SELECT internal_sku, available_units, internal_sku IN (SELECT internal_sku FROM lowstock) AS is_low_stock
+FROM fitems""")
+SQL["kpis"] = with_reports("""
+SELECT (SELECT count(*) FROM fitems) AS sku_count,
+       (SELECT CAST(coalesce(sum(coalesce(available_units, 0)), 0) AS BIGINT) FROM fitems) AS units_on_hand,
+       (SELECT count(*) FROM lowstock) AS low_stock_count,
+       (SELECT count(*) FROM terminal_jobs WHERE status = 'pending') AS pending_jobs,
+       (SELECT count(*) FROM terminal_jobs WHERE status = 'dead_letter') AS dead_letter_jobs,
+       CASE WHEN (SELECT count(*) FROM drift) + (SELECT count(*) FROM broken) + (SELECT count(*) FROM gaps) > 0
+            THEN 'drift' ELSE 'clean' END AS last_run_label""")
+SQL["recent_ledger"] = with_reports(f"""
+SELECT internal_sku, strftime(ts, '%Y-%m-%d') AS event_date, doc_pos, line_pos, tie1, reason, change_units,
+       before_units, after_units
+FROM ledger ORDER BY {ORD_DESC}, internal_sku DESC LIMIT 50""")
+SQL["exactly_once_audit"] = with_reports("""
+SELECT deliveries, distinct_events, processed, duplicates, sale_rows, stock_mismatch,
+       (processed = distinct_events AND stock_mismatch = 0) AS exactly_once
+FROM (SELECT
+  (SELECT count(*) FROM doc_outcome) AS deliveries,
+  (SELECT count(*) FROM (SELECT DISTINCT platform, external_event_id FROM doc_outcome) t) AS distinct_events,
+  (SELECT count(*) FROM doc_outcome WHERE status = 'processed') AS processed,
+  (SELECT count(*) FROM doc_outcome WHERE status = 'duplicate') AS duplicates,
+  (SELECT count(*) FROM ledger WHERE reason = 'sale') AS sale_rows,
+  (SELECT count(*) FROM (
+     SELECT l.internal_sku FROM (
+       SELECT internal_sku, after_units, row_number() OVER (PARTITION BY internal_sku ORDER BY {ORD_DESC}) AS r
+       FROM ledger) l JOIN final_stock f ON l.internal_sku = f.internal_sku
+     WHERE l.r = 1 AND l.after_units IS NOT NULL AND f.available_units IS DISTINCT FROM l.after_units) t)
+    AS stock_mismatch) x""".replace("{ORD_DESC}", ORD_DESC))
+SQL["percentiles_nearest_rank"] = with_reports("""
+SELECT platform, n,
+  max(CASE WHEN idx = least(n - 1, CAST(floor(50 / 100.0 * n) AS BIGINT)) THEN units END) AS p50,
+  max(CASE WHEN idx = least(n - 1, CAST(floor(95 / 100.0 * n) AS BIGINT)) THEN units END) AS p95,
+  max(CASE WHEN idx = least(n - 1, CAST(floor(99 / 100.0 * n) AS BIGINT)) THEN units END) AS p99
+FROM (SELECT platform, units, row_number() OVER (PARTITION BY platform ORDER BY units) - 1 AS idx,
+             count(*) OVER (PARTITION BY platform) AS n
+      FROM (SELECT platform, external_event_id, CAST(sum(quantity) AS BIGINT) AS units
+            FROM won WHERE line_valid GROUP BY 1, 2) po) r
+GROUP BY platform, n""")
+SQL["throughput"] = with_reports("""
+SELECT platform, n, seconds, CASE WHEN seconds > 0 THEN round(n / seconds, 6) END AS rows_per_second
+FROM (SELECT platform, count(*) AS n, date_diff('second', min(ts), max(ts)) AS seconds
+      FROM applied WHERE kind = 1 GROUP BY platform) t""")
+SQL["orphan_checks"] = with_reports("""
+SELECT 'mapping_without_item' AS "check", count(*) AS n FROM inv WHERE internal_sku NOT IN (SELECT internal_sku FROM fitems)
+UNION ALL SELECT 'ledger_without_item', count(*) FROM ledger WHERE internal_sku NOT IN (SELECT internal_sku FROM fitems)
+UNION ALL SELECT 'line_without_event', count(*) FROM won
+  WHERE (platform, external_event_id) NOT IN (SELECT (platform, external_event_id) FROM doc_outcome WHERE status = 'processed')""")
+SQL["order_results_nested"] = with_reports("""
+SELECT d.platform, d.external_order_id, 'processed' AS status, coalesce(r.n_lines, 0) AS n_lines,
+       coalesce(r.items_json, '[]') AS items_json
+FROM doc_outcome d LEFT JOIN (
+  SELECT platform, external_order_id, count(*) AS n_lines,
+    CAST(to_json(list({'line_pos': line_pos, 'tie1': tie1, 'internal_sku': internal_sku, 'quantity': quantity,
+                        'status': status}
+                 ORDER BY line_pos NULLS FIRST, tie1 NULLS FIRST, internal_sku NULLS FIRST,
+                          quantity NULLS FIRST, status NULLS FIRST)) AS VARCHAR) AS items_json
+  FROM (SELECT platform, external_order_id, line_pos, tie1, internal_sku, quantity,
+          CASE WHEN base IS NULL THEN 'tracked_only' WHEN seg_tier = 'tier1' AND seg_sync = 1 THEN 'enqueued'
+               WHEN seg_tier = 'tier2' THEN 'tracked_only' ELSE 'manual' END AS status
+        FROM applied WHERE kind = 1
+        UNION ALL
+        SELECT platform, external_order_id, line_pos, tie1, NULL, quantity, 'unresolved'
+        FROM won WHERE NOT line_valid) x
+  GROUP BY 1, 2) r ON d.platform = r.platform AND d.external_order_id = r.external_order_id
+WHERE d.status = 'processed'""")
+SQL["webhook_verify"] = """
+WITH p AS (
+  SELECT 'shopify-order-' || CAST(o_orderkey AS VARCHAR) AS external_event_id,
+    CASE WHEN o_orderkey % 13 = 0 THEN 'missing' WHEN o_orderkey % 11 = 0 THEN 'wrong_secret'
+         WHEN o_orderkey % 17 = 0 THEN 'tampered' ELSE 'valid' END AS "case",
+    '{"id":' || CAST(o_orderkey AS VARCHAR) || ',"name":"#' || CAST(o_orderkey AS VARCHAR) || '"}' AS body,
+    '{"id":' || CAST(o_orderkey AS VARCHAR) || ',"name":"#' || CAST(o_orderkey AS VARCHAR) || '!"}' AS tampered
+  FROM orders),
+s AS (
+  SELECT *,
+    CASE WHEN "case" = 'missing' THEN NULL
+         WHEN "case" = 'wrong_secret' THEN to_base64(unhex(sha256(unhex('32332871283439712f393f2e39285c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c') || unhex(sha256(unhex('5859421b425e531b4553554453423636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636') || encode(body))))))
+         ELSE to_base64(unhex(sha256(unhex('28392f28712b393e34333337712f393f2e39285c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c') || unhex(sha256(unhex('425345421b4153545e59595d1b455355445342363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636') || encode(body)))))) END AS signature,
+    CASE WHEN "case" = 'tampered' THEN tampered ELSE body END AS delivered
+  FROM p)
+SELECT external_event_id, "case",
+  coalesce(signature IS NOT NULL AND signature <> ''
+           AND signature = to_base64(unhex(sha256(unhex('28392f28712b393e34333337712f393f2e39285c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c') || unhex(sha256(unhex('425345421b4153545e59595d1b455355445342363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636') || encode(delivered)))))),
+           false) AS accepted
+FROM s"""
+SQL["stock_events_json"] = with_outbox(f"""
+SELECT internal_sku AS key, internal_sku, platform, target_quantity FROM round1
+WHERE status = 'pending' AND next_attempt_at <= {NOW} + 5000""")

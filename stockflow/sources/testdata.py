@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from stockflow import schemas as S
 from stockflow.functions import normalize as N
+from stockflow.operators.outbox import MOCK_FAILURE
 
 INITIAL_IMPORT_TS = "1990-01-01 00:00:00"
 RECOUNT_IMPORT_TS = "1998-06-01 00:00:00"
@@ -206,3 +207,94 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("line "), _s(ln)).alias("title"),
     )
     return _with_deliveries(out).drop("delivery")
+
+
+# ------------------------------------------------------------------ outbox
+NOW_MS = 1_700_000_000_000
+
+
+def partkey_of(sku: Column) -> Column:
+    return F.substring(sku, 5, 32).cast("long")
+
+
+def outbox_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mapping seen by the dispatcher: rows absent when p%13=4."""
+    _, mapping = initial_items_and_mapping(spark, sf_dir)
+    return mapping.filter(partkey_of(F.col("internal_sku")) % 13 != 4)
+
+
+def job_key(_df=None) -> Column:
+    """Fixture job number: 2 * (partkey div 3) + (1 for etsy)."""
+    pk = partkey_of(F.col("internal_sku"))
+    return F.floor(pk / 3).cast("long") * 2 + F.when(F.col("platform") == "etsy", 1).otherwise(0)
+
+
+def attempt_ok(attempt_no: Column) -> Column:
+    """Fixture platform behaviour: attempt k of job j succeeds iff (j + k) % 6 = 0."""
+    return (job_key(None) + attempt_no) % 6 == 0
+
+
+
+def fixture_results(routed: DataFrame) -> DataFrame:
+    """Attempt results of one dispatch round (attempt number = attempts + 1)."""
+    ok = attempt_ok(F.col("attempts") + 1)
+    return routed.filter(F.col("skip_reason").isNull()).select(
+        "job_id", ok.alias("ok"), F.when(~ok, F.lit(MOCK_FAILURE)).alias("error"))
+
+
+def fixture_attempts(routed: DataFrame) -> DataFrame:
+    """Results of attempts 1..max_attempts for every routed job (history)."""
+    k = F.explode(F.sequence(F.lit(1), F.col("max_attempts").cast("int"))).alias("attempt_no")
+    a = routed.select("job_id", "internal_sku", "platform", "skip_reason", k)
+    ok = F.col("skip_reason").isNull() & attempt_ok(F.col("attempt_no"))
+    return a.select("job_id", "skip_reason", "attempt_no", ok.alias("ok"),
+                    F.when(~ok & F.col("skip_reason").isNull(), F.lit(MOCK_FAILURE)).alias("error"))
+
+
+# ------------------------------------------------------------------ reconcile faults
+def ledger_with_faults(ledger: DataFrame) -> DataFrame:
+    """Sale rows: change + 2 when doc_pos%17=0 (broken row); before and after
+    + 1 when doc_pos%23=0 (a gap at this row and a broken row nowhere)."""
+    sale = F.col("reason") == S.REASON_SALE
+    d = F.col("seq.doc_pos")
+    broken = sale & (d % 17 == 0)
+    gap = sale & (d % 23 == 0)
+    return ledger.withColumns({
+        "change_units": F.when(broken, F.col("change_units") + 2).otherwise(F.col("change_units")),
+        "before_units": F.when(gap, F.col("before_units") + 1).otherwise(F.col("before_units")),
+        "after_units": F.when(gap, F.col("after_units") + 1).otherwise(F.col("after_units")),
+    })
+
+
+def items_with_drift(items: DataFrame) -> DataFrame:
+    """Live stock edited out of band: - 15 when p%50=0."""
+    p = partkey_of(F.col("internal_sku"))
+    return items.withColumn("available_units", F.when(p % 50 == 0, F.col("available_units") - 15)
+                            .otherwise(F.col("available_units")))
+
+
+# ------------------------------------------------------------------ webhooks
+# Fixed value: the webhook secret used by the reference's webhook tests.
+WEBHOOK_SECRET = "test-webhook-secret"
+WRONG_SECRET = "not-the-secret"
+
+
+def signed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One landed Shopify payload per order: valid, wrong secret (o%11=0),
+    missing signature (o%13=0) or tampered body (o%17=0)."""
+    from stockflow.functions.hmac import hmac_sha256_base64
+
+    o = F.col("o_orderkey")
+    oid = _s(o)
+    body = F.concat(F.lit('{"id":'), oid, F.lit(',"name":"#'), oid, F.lit('"}'))
+    tampered = F.concat(F.lit('{"id":'), oid, F.lit(',"name":"#'), oid, F.lit('!"}'))
+    case = (F.when(o % 13 == 0, F.lit("missing")).when(o % 11 == 0, F.lit("wrong_secret"))
+            .when(o % 17 == 0, F.lit("tampered")).otherwise(F.lit("valid")))
+    sig = (F.when(case == "missing", F.lit(None).cast("string"))
+           .when(case == "wrong_secret", hmac_sha256_base64(body, WRONG_SECRET))
+           .otherwise(hmac_sha256_base64(body, WEBHOOK_SECRET)))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit(S.SHOPIFY_EVENT_PREFIX), oid).alias("external_event_id"),
+        case.alias("case"),
+        F.when(case == "tampered", tampered).otherwise(body).cast("binary").alias("body"),
+        sig.alias("signature"))
