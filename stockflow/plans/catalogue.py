@@ -18,16 +18,31 @@ from stockflow.sources import webhook
 from stockflow.streaming import relay
 from stockflow.plans.ingest import Ingested, ingest
 from stockflow.sources import testdata as TD
+from stockflow.store import materialize
 
 SCAN_MODE = "plain"
 
 
+_CACHE: dict = {}
+
+
+def _cached(spark: SparkSession, sf_dir: str, name: str, build):
+    """Stage results shared by several catalogue queries, checkpointed once
+    per session and input folder (reliable checkpoints in spark.checkpoint.dir)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _CACHE:
+        _CACHE[key] = build()
+    return _CACHE[key]
+
+
 def _ingested(spark: SparkSession, sf_dir: str) -> Ingested:
-    items, mapping = TD.initial_items_and_mapping(spark, sf_dir)
-    return ingest(
-        TD.documents(spark, sf_dir), TD.lines(spark, sf_dir), items, mapping,
-        imports=TD.imports(spark, sf_dir), scan_mode=SCAN_MODE,
-    )
+    def build() -> Ingested:
+        items, mapping = TD.initial_items_and_mapping(spark, sf_dir)
+        return ingest(
+            TD.documents(spark, sf_dir), TD.lines(spark, sf_dir), items, mapping,
+            imports=TD.imports(spark, sf_dir), scan_mode=SCAN_MODE, materialize=materialize,
+        )
+    return _cached(spark, sf_dir, "ingested", build)
 
 
 def _seq_cols(prefix: str = "seq") -> list:
@@ -140,13 +155,19 @@ NOW_MS = TD.NOW_MS
 
 
 def _jobs(spark: SparkSession, sf_dir: str, ing: Ingested | None = None) -> DataFrame:
-    ing = ing or _ingested(spark, sf_dir)
-    return outbox.enqueue(outbox.empty_jobs(spark), outbox.owed_targets(ing.applied), 1, NOW_MS)
+    def build() -> DataFrame:
+        a = (ing or _ingested(spark, sf_dir)).applied
+        return materialize(outbox.enqueue(outbox.empty_jobs(spark), outbox.owed_targets(a), 1, NOW_MS))
+    return _cached(spark, sf_dir, "jobs", build)
 
 
 def _round1(spark: SparkSession, sf_dir: str):
-    jobs = _jobs(spark, sf_dir)
-    return outbox.dispatch_round(jobs, TD.outbox_mapping(spark, sf_dir), TD.fixture_results, NOW_MS)
+    def build():
+        jobs = _jobs(spark, sf_dir)
+        new, tr = outbox.dispatch_round(jobs, TD.outbox_mapping(spark, sf_dir), TD.fixture_results, NOW_MS)
+        tr = materialize(tr)
+        return materialize(outbox.apply_round(jobs, tr)), tr
+    return _cached(spark, sf_dir, "round1", build)
 
 
 def _history(spark: SparkSession, sf_dir: str, jobs: DataFrame) -> DataFrame:
@@ -202,8 +223,10 @@ def push_attempt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _terminal_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = _jobs(spark, sf_dir)
-    return outbox.jobs_after_history(jobs, _history(spark, sf_dir, jobs))
+    def build() -> DataFrame:
+        jobs = _jobs(spark, sf_dir)
+        return materialize(outbox.jobs_after_history(jobs, _history(spark, sf_dir, jobs)))
+    return _cached(spark, sf_dir, "terminal", build)
 
 
 def requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,10 +258,12 @@ def double_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- reconcile
 def _reconciled(spark: SparkSession, sf_dir: str):
-    ing = _ingested(spark, sf_dir)
-    led = TD.ledger_with_faults(ledger.ledger_rows(ing.applied))
-    items = TD.items_with_drift(ledger.final_units(ing.applied))
-    return led, items, reconcile.reconcile(led, items, scan_mode=SCAN_MODE)
+    def build():
+        ing = _ingested(spark, sf_dir)
+        led = materialize(TD.ledger_with_faults(ledger.ledger_rows(ing.applied)))
+        items = materialize(TD.items_with_drift(ledger.final_units(ing.applied)))
+        return led, items, reconcile.reconcile(led, items, scan_mode=SCAN_MODE)
+    return _cached(spark, sf_dir, "reconciled", build)
 
 
 def reconcile_broken_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,8 +325,7 @@ def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     ing = _ingested(spark, sf_dir)
     items, _ = _final_items(spark, sf_dir, ing)
     jobs = _terminal_jobs(spark, sf_dir)
-    led = TD.ledger_with_faults(ledger.ledger_rows(ing.applied))
-    rep = reconcile.reconcile(led, TD.items_with_drift(ledger.final_units(ing.applied)), scan_mode=SCAN_MODE)
+    _, _, rep = _reconciled(spark, sf_dir)
     return reports.kpis(items, jobs, rep["summary"])
 
 

@@ -8,6 +8,7 @@ Everything stays lazy; callers write what they need.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -42,11 +43,16 @@ def ingest(
     store: DataFrame | None = None,
     scan_mode: str = "plain",
     inline_push: bool = False,
+    materialize: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Ingested:
-    docs = dedupe.document_outcomes(documents, store)
+    """``materialize`` (e.g. :func:`stockflow.store.materialize`) is applied at
+    the three stage boundaries: document outcomes, resolved lines, applied
+    changes. Downstream reports then start from the checkpoint."""
+    mat = materialize or (lambda df: df)
+    docs = mat(dedupe.document_outcomes(documents, store))
     winners = docs.filter(F.col("status") == "processed")
     won = dedupe.winning_lines(lines, winners)
-    resolved = resolve.resolve_lines(won, items, mapping).withColumn("line_valid", valid_line())
+    resolved = mat(resolve.resolve_lines(won, items, mapping).withColumn("line_valid", valid_line()))
 
     parts = [ledger.sale_rows(resolved.filter("line_valid"))]
     if imports is not None:
@@ -56,7 +62,7 @@ def ingest(
     changes = parts[0]
     for p in parts[1:]:
         changes = changes.unionByName(p)
-    applied = ledger.apply_changes(changes, scan_mode=scan_mode, inline_push=inline_push)
+    applied = mat(ledger.apply_changes(changes, scan_mode=scan_mode, inline_push=inline_push))
 
     sale_results = applied.filter(F.col("row_kind") == "sale").select(
         "platform", "external_order_id", "seq", "internal_sku", "quantity", "status", "message",
