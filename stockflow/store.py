@@ -26,7 +26,11 @@ from stockflow.session import checkpoint_dir
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Reliable eager checkpoint in the cluster's shared checkpoint folder."""
+    """Reliable eager checkpoint in the cluster's shared checkpoint folder.
+
+    (Measured against writing a parquet table and reading it back: the
+    checkpoint was faster here for these narrow intermediate tables.)
+    """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
