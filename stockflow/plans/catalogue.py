@@ -407,6 +407,77 @@ def stock_events_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         "key", "internal_sku", "platform", "target_quantity")
 
 
+# ---------------------------------------------------------------- streaming
+def _feed_part() -> F.Column:
+    """Micro-batch file of a feed row: imports of 1990 first, one file per
+    order year, the recount inside its year, replayed deliveries last."""
+    year = F.year(F.col("seq.ts"))
+    return (F.when(F.col("arrival.batch") == 2, F.lit(99))
+            .when(F.col("feed_kind") == "import", F.when(year < 1995, F.lit(0)).otherwise(year - 1994))
+            .otherwise(year - 1994))
+
+
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-1/2/3: the ledger built by a file stream of micro-batches (one per
+    order year, replays last) with state carried between batches; equals the
+    one-batch ledger."""
+    from stockflow.store import scratch_root
+    from stockflow.streaming import ingest_stream
+
+    root = scratch_root(spark, "stream-ingest")
+    docs = TD.documents(spark, sf_dir).select(*ingest_stream.DOC_COLS, F.col("ts").alias("_ts"))
+    docs = docs.withColumn("seq", F.struct(F.col("_ts").alias("ts"))).drop("_ts")
+    feed = ingest_stream.change_feed(TD.imports(spark, sf_dir), docs.drop("seq"), TD.lines(spark, sf_dir))
+    # Documents carry their order time only for the file split.
+    doc_ts = TD.documents(spark, sf_dir).select("external_event_id", F.col("arrival").alias("_a"),
+                                                F.col("ts").alias("_doc_ts"))
+    feed = feed.join(doc_ts, (feed["external_event_id"] == doc_ts["external_event_id"])
+                     & (feed["arrival"] == doc_ts["_a"]), "left").drop(doc_ts["external_event_id"]).drop("_a")
+    part = F.when(F.col("feed_kind") == "doc",
+                  F.when(F.col("arrival.batch") == 2, F.lit(99)).otherwise(F.year("_doc_ts") - 1994)
+                  ).otherwise(_feed_part())
+    feed = materialize(feed.withColumn("_part", part).drop("_doc_ts"))
+    parts = sorted(r[0] for r in feed.select("_part").distinct().collect())
+    for k in parts:
+        feed.filter(F.col("_part") == k).drop("_part").coalesce(1).write.parquet(f"{root}/feed/{k:03d}")
+    schema = feed.drop("_part").schema
+    q, store = ingest_stream.start(spark, f"{root}/feed/*", f"{root}/store", f"{root}/ckpt", schema)
+    q.awaitTermination()
+    led = store.read("ledger")
+    return led.select("internal_sku", *_seq_cols(), "reason", "platform", "external_order_id",
+                      "change_units", "before_units", "after_units", "notes")
+
+
+def _relay_topic(spark: SparkSession, sf_dir: str):
+    def build():
+        from stockflow.store import scratch_root
+
+        root = scratch_root(spark, "relay")
+        jobs = _jobs(spark, sf_dir)
+        new_jobs = materialize(relay.relay_once(jobs, NOW_MS, f"{root}/topic"))
+        return root, new_jobs
+    return _cached(spark, sf_dir, "relay", build)
+
+
+def stream_relay_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-4/5: outbox -> topic (claimed, keyed by SKU) -> write-back consumer
+    stream -> job states after one delivery attempt each."""
+    root, jobs = _relay_topic(spark, sf_dir)
+    handler = relay.WritebackConsumer(jobs, TD.outbox_mapping(spark, sf_dir), TD.fixture_results, NOW_MS)
+    relay.start_consumer(spark, f"{root}/topic", f"{root}/ckpt-writeback", handler).awaitTermination()
+    return handler.transitions.select("internal_sku", "platform", "status", "attempts", "next_attempt_at",
+                                      "last_error", "outcome")
+
+
+def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-6: an independent consumer group sees every published event."""
+    root, _ = _relay_topic(spark, sf_dir)
+    out = f"{root}/audit"
+    relay.start_consumer(spark, f"{root}/topic", f"{root}/ckpt-audit", relay.AuditConsumer(out)).awaitTermination()
+    dec = relay.decode_events(spark.read.parquet(out))
+    return dec.select("key", "platform", "target_quantity")
+
+
 QUERIES = {
     "inventory_import_normalized": inventory_import_normalized,
     "sku_resolution": sku_resolution,
@@ -444,4 +515,7 @@ QUERIES = {
     "order_results_nested": order_results_nested,
     "webhook_verify": webhook_verify,
     "stock_events_json": stock_events_json,
+    "stream_ingest": stream_ingest,
+    "stream_relay_consume": stream_relay_consume,
+    "stream_audit": stream_audit,
 }

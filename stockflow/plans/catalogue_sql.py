@@ -571,3 +571,11 @@ FROM s"""
 SQL["stock_events_json"] = with_outbox(f"""
 SELECT internal_sku AS key, internal_sku, platform, target_quantity FROM round1
 WHERE status = 'pending' AND next_attempt_at <= {NOW} + 5000""")
+
+SQL["stream_ingest"] = SQL["ledger_with_imports"]
+SQL["stream_relay_consume"] = with_outbox(f"""
+SELECT internal_sku, platform, status, attempts,
+  CAST(CASE WHEN outcome = 'retry_scheduled' THEN {NOW} + 5000 ELSE {NOW} + 30000 END AS BIGINT) AS next_attempt_at,
+  last_error, outcome
+FROM round1""")
+SQL["stream_audit"] = with_outbox("SELECT internal_sku AS key, platform, target_quantity FROM jobs0")

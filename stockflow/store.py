@@ -21,6 +21,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from stockflow.session import checkpoint_dir
 
@@ -93,7 +94,11 @@ class TableStore:
         if p is None:
             return None
         entry = m["tables"][table]
-        df = self.spark.read.parquet(p)
+        schema = StructType.fromJson(json.loads(entry["schema"]))
+        fs, jvm = self._hadoop_fs()
+        if not fs.exists(jvm.org.apache.hadoop.fs.Path(p)):
+            return self.spark.createDataFrame([], schema)
+        df = self.spark.read.schema(schema).parquet(p)
         if entry["kind"] == "append":
             df = df.filter(df["batch_id"] <= m["last_batch"])
         return df
@@ -108,14 +113,14 @@ class TableStore:
         m = self.manifest()
         if batch_id <= m["last_batch"]:
             return False
-        self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         for name, df in (append or {}).items():
-            (df.selectExpr("*", f"CAST({int(batch_id)} AS BIGINT) AS batch_id")
-             .write.mode("overwrite").partitionBy("batch_id").parquet(f"{self.root}/{name}"))
-            m["tables"][name] = {"kind": "append"}
+            out = df.selectExpr("*", f"CAST({int(batch_id)} AS BIGINT) AS batch_id")
+            (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(f"{self.root}/{name}"))
+            m["tables"][name] = {"kind": "append", "schema": out.schema.json()}
         for name, df in (state or {}).items():
             df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={int(batch_id)}")
-            m["tables"][name] = {"kind": "state", "version": int(batch_id)}
+            m["tables"][name] = {"kind": "state", "version": int(batch_id), "schema": df.schema.json()}
         m["last_batch"] = int(batch_id)
         self._write_manifest(m)
         return True

@@ -41,3 +41,65 @@ def consumable(events: DataFrame, jobs: DataFrame) -> DataFrame:
     """
     ev = events.select("job_id").distinct()
     return jobs.join(ev, "job_id", "left_semi").filter(F.col("status") == "pending")
+
+
+def relay_once(jobs: DataFrame, now_ms: int, topic_path: str, lease_ms: int = S.CLAIM_LEASE_MS,
+               limit: int | None = None) -> DataFrame:
+    """STR-4: claim due jobs, publish their events keyed by SKU, return the
+    new jobs version. Messages are hash-partitioned by key so one SKU's
+    events stay in one partition file, in order."""
+    from stockflow.operators import outbox
+
+    claimed, new_jobs = outbox.claim(jobs, now_ms, lease_ms, limit)
+    msgs = encode_events(claimed).repartition(F.col("key"))
+    msgs.write.mode("append").parquet(topic_path)
+    return new_jobs
+
+
+def start_consumer(spark, topic_path: str, checkpoint: str, handler, available_now: bool = True):
+    """SRC-5/STR-5/STR-6: one consumer group = one streaming query with its
+    own checkpoint; a new group starts from the earliest message."""
+    schema = "key string, value string"
+    stream = spark.readStream.schema(schema).parquet(topic_path)
+    w = stream.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="2 seconds")
+    return w.start()
+
+
+class WritebackConsumer:
+    """STR-5 handler: decode, re-read the job, skip if not pending, attempt.
+
+    The job table is the state; every micro-batch produces its next version
+    (materialised), so a redelivered message finds its job already final.
+    """
+
+    def __init__(self, jobs: DataFrame, mapping: DataFrame, results_fn, now_ms: int,
+                 retry_base_ms: int = S.PUSH_RETRY_BASE_MS):
+        self.jobs = jobs
+        self.mapping = mapping
+        self.results_fn = results_fn
+        self.now_ms = now_ms
+        self.retry_base_ms = retry_base_ms
+        self.transitions = None
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        from stockflow.operators import outbox
+        from stockflow.store import materialize
+
+        events = decode_events(batch)
+        todo = consumable(events, self.jobs)
+        routed = outbox.skip_reason(todo, self.mapping)
+        tr = materialize(outbox.transition(routed, self.results_fn(routed), self.now_ms, self.retry_base_ms))
+        self.jobs = materialize(outbox.apply_round(self.jobs, tr))
+        self.transitions = tr if self.transitions is None else materialize(self.transitions.unionByName(tr))
+
+
+class AuditConsumer:
+    """STR-6 handler: append every message (key, value, batch) to a table."""
+
+    def __init__(self, out_path: str):
+        self.out_path = out_path
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("consumer_batch", F.lit(batch_id).cast("long")) \
+            .write.mode("append").parquet(self.out_path)
