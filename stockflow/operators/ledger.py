@@ -86,7 +86,7 @@ def _oversell_note(note: Column, requested: Column, before: Column) -> Column:
     return F.concat(prefix, F.format_string(S.OVERSELL_NOTE_FORMAT, requested, before))
 
 
-def apply_changes(changes: DataFrame, scan_mode: str = "plain", inline_push: bool = False) -> DataFrame:
+def apply_changes(changes: DataFrame, scan_mode: str = "chunked", inline_push: bool = False) -> DataFrame:
     """Fold the change stream; returns every change row with its effect.
 
     Added columns: ``before_units``, ``after_units``, ``change_units``,

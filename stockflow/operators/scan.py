@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_MICROS = 86_400_000_000
+CHUNK = "_scan_chunk"
 
 
 def _chunk_col(order: str, chunk_micros: int) -> Column:
@@ -68,8 +69,10 @@ def ordered_scan(
     if mode != "chunked":
         raise ValueError(f"unknown scan mode {mode!r}")
 
-    chunk = "_scan_chunk"
-    base = df.withColumn(chunk, _chunk_col(order, chunk_micros))
+    chunk = CHUNK
+    # Reuse the chunk column of an earlier chunked scan: the data is then
+    # already hash-partitioned by (keys, chunk) and no new exchange is needed.
+    base = df if chunk in df.columns else df.withColumn(chunk, _chunk_col(order, chunk_micros))
     # Materialise the scanned expressions once so both branches agree.
     tmp = {f"_scan_s_{n}": e for n, e in sums.items()}
     tmp.update({f"_scan_l_{n}": e for n, e in last_before.items()})
@@ -99,7 +102,7 @@ def ordered_scan(
     for n in last_before:
         local = local.withColumn(f"_local_l_{n}", F.last(f"_scan_l_{n}", ignorenulls=True).over(excl))
     joined = local.join(carry, on=[*keys, chunk], how="inner")
-    out_cols = [F.col(c) for c in df.columns]
+    out_cols = [F.col(c) for c in df.columns if c != chunk] + [F.col(chunk)]
     for n in sums:
         out_cols.append((F.col(f"_local_s_{n}") + F.col(f"_carry_s_{n}")).alias(n))
     for n in last_before:

@@ -20,7 +20,7 @@ from stockflow.plans.ingest import Ingested, ingest
 from stockflow.sources import testdata as TD
 from stockflow.store import materialize
 
-SCAN_MODE = "plain"
+SCAN_MODE = "chunked"
 
 
 _CACHE: dict = {}

@@ -41,7 +41,7 @@ def ingest(
     imports: DataFrame | None = None,
     state: DataFrame | None = None,
     store: DataFrame | None = None,
-    scan_mode: str = "plain",
+    scan_mode: str = "chunked",
     inline_push: bool = False,
     materialize: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Ingested:
