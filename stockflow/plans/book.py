@@ -29,6 +29,8 @@ from stockflow.sources import orders_json
 from stockflow.store import materialize
 
 _EPOCH = _dt.datetime(2000, 1, 1)
+EVENT_SCHEMA = ("platform string, external_event_id string, external_order_id string, order_name string, "
+                "order_status string, raw_payload string, processed int, processed_batch bigint, batch bigint")
 
 
 class StockBook:
@@ -48,8 +50,8 @@ class StockBook:
         map_schema = ", ".join(f"{c} string" for c in S.MAPPING_COLUMNS)
         self.items = spark.createDataFrame([], item_schema)
         self.mapping = spark.createDataFrame([], map_schema)
-        self.events = spark.createDataFrame([], "platform string, external_event_id string, "
-                                                "external_order_id string, batch bigint")
+        self.events = spark.createDataFrame([], EVENT_SCHEMA)
+        self.event_items = None
         self.ledger = None
         self.jobs = outbox.empty_jobs(spark)
         self.logs = None
@@ -123,9 +125,17 @@ class StockBook:
         self.items = materialize(items_op.with_units(self.items, ledger.final_units(ing.applied)))
         self.jobs = materialize(outbox.enqueue(self.jobs, outbox.owed_targets(sales), batch, now_ms,
                                                self.max_attempts))
+        # SNK-1/SNK-7: the event row and its lines are published with the
+        # stock change of the same batch, already marked processed.
         won = ing.documents.filter(F.col("status") == "processed").select(
-            "platform", "external_event_id", "external_order_id", F.lit(batch).cast("long").alias("batch"))
+            "platform", "external_event_id", "external_order_id", "order_name", "order_status",
+            F.col("raw_payload").cast("string").alias("raw_payload"), F.lit(1).alias("processed"),
+            F.lit(batch).cast("long").alias("processed_batch"), F.lit(batch).cast("long").alias("batch"))
         self.events = materialize(self.events.unionByName(won))
+        event_items = ing.lines.select(
+            "platform", "external_event_id", "seq", "platform_sku", "internal_sku", "quantity", "unit_price",
+            "title", F.lit(batch).cast("long").alias("batch"))
+        self.event_items = self._append(self.event_items, event_items)
         results = ing.line_results.unionByName(
             ing.documents.filter(F.col("status") == "duplicate").select(
                 "platform", "external_order_id", F.lit(None).alias("seq"),
@@ -139,6 +149,22 @@ class StockBook:
             self.process_due_push_jobs(now_ms, sink=sink)
         return results
 
+    # ---------------------------------------------------------------- reset / seed
+    def reset(self, rows: DataFrame | list[dict]) -> DataFrame:
+        """SNK-10: empty every table (new empty versions), then import ``rows``."""
+        fresh = StockBook(self.spark, self.push_enabled, self.retry_base_ms, self.max_attempts,
+                          self.default_location, self.inline_push)
+        fresh.batch = self.batch
+        self.__dict__.update(fresh.__dict__)
+        return self.import_inventory_rows(rows)
+
+    def seed_if_empty(self, rows: DataFrame | list[dict]) -> bool:
+        """SNK-11: import only when there is no item yet."""
+        if self.items.isEmpty():
+            self.import_inventory_rows(rows)
+            return True
+        return False
+
     # ---------------------------------------------------------------- outbox
     def process_due_push_jobs(self, now_ms: int, limit: int | None = S.DUE_BATCH_LIMIT,
                               sink: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
