@@ -438,11 +438,16 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
                   ).otherwise(_feed_part())
     feed = materialize(feed.withColumn("_part", part).drop("_doc_ts"))
     parts = sorted(r[0] for r in feed.select("_part").distinct().collect())
-    for k in parts:
-        feed.filter(F.col("_part") == k).drop("_part").coalesce(1).write.parquet(f"{root}/feed/{k:03d}")
     schema = feed.drop("_part").schema
-    q, store = ingest_stream.start(spark, f"{root}/feed/*", f"{root}/store", f"{root}/ckpt", schema)
-    q.awaitTermination()
+    # Data lands part by part; each arrival is consumed by an availableNow run
+    # of the same query (same checkpoint), so every part is one micro-batch
+    # and files are written with their natural parallelism.
+    store = None
+    for k in parts:
+        feed.filter(F.col("_part") == k).drop("_part").write.parquet(f"{root}/feed/{k:03d}")
+        q, store = ingest_stream.start(spark, f"{root}/feed/*", f"{root}/store", f"{root}/ckpt", schema,
+                                       files_per_trigger=None)
+        q.awaitTermination()
     led = store.read("ledger")
     return led.select("internal_sku", *_seq_cols(), "reason", "platform", "external_order_id",
                       "change_units", "before_units", "after_units", "notes")
