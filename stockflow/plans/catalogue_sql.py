@@ -229,7 +229,8 @@ inv AS ({_norm_select('inv_raw')})
 SELECT * EXCLUDE (_row) FROM inv"""
 
 SQL["sku_resolution"] = f"""WITH {INV},{DOCS}
-SELECT platform, external_event_id, delivery, strftime(ts, '%Y-%m-%d') AS event_date, doc_pos, line_pos, tie1,
+SELECT platform, external_event_id, CAST(delivery AS BIGINT) AS delivery, strftime(ts, '%Y-%m-%d') AS event_date,
+       doc_pos, line_pos, tie1,
        platform_sku, variant_id, internal_sku
 FROM resolved"""
 
