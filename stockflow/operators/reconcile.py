@@ -34,7 +34,7 @@ def broken_rows(ledger: DataFrame, items: DataFrame) -> DataFrame:
     return led.filter(bad).select("internal_sku", "seq", F.lit("broken_row").alias("type"), detail.alias("detail"))
 
 
-def chain_gaps(ledger: DataFrame, items: DataFrame, scan_mode: str = "chunked") -> DataFrame:
+def chain_gaps(ledger: DataFrame, items: DataFrame, scan_mode: str = "auto") -> DataFrame:
     """WIN-5: ``before`` and the previous row's ``after`` both set and different."""
     led = _checked_ledger(ledger, items).select("internal_sku", "seq", "before_units", "after_units")
     prev = ordered_scan(led, ["internal_sku"], "seq",
@@ -84,7 +84,7 @@ def summary(ledger: DataFrame, items: DataFrame, violations: DataFrame, mismatch
     )
 
 
-def reconcile(ledger: DataFrame, items: DataFrame, scan_mode: str = "chunked") -> dict[str, DataFrame]:
+def reconcile(ledger: DataFrame, items: DataFrame, scan_mode: str = "auto") -> dict[str, DataFrame]:
     """STA-8: the three reports and the summary row."""
     violations = broken_rows(ledger, items).unionByName(chain_gaps(ledger, items, scan_mode))
     mismatches = drift(ledger, items)

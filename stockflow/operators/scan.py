@@ -6,6 +6,9 @@ Two associative scans cover every sequential fold of the reference:
 * "last non-null value strictly before this row" of an expression
   (``lag`` is the special case of an always-non-null struct wrapper).
 
+``mode="auto"`` (default) counts rows per key once and sends keys above
+``hot_rows`` through the chunked form, the rest through the plain one.
+
 ``mode="plain"`` is a single window ``partitionBy(keys).orderBy(order)``:
 one task per key, fine while no key is large.
 
@@ -31,6 +34,19 @@ from pyspark.sql import functions as F
 
 DAY_MICROS = 86_400_000_000
 CHUNK = "_scan_chunk"
+HOT_ROWS = 1_000_000
+
+
+def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``(cold, hot)``: rows of keys with at most / more than ``hot_rows`` rows.
+
+    The per-key count is a partial/final aggregate over the keys only. The
+    hot-key list holds at most ``total_rows / hot_rows`` keys; AQE broadcasts
+    it when it is small and keeps a shuffle (skew-split) join otherwise.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_scan_n"))
+    hot = counts.filter(F.col("_scan_n") > F.lit(hot_rows)).select(*keys)
+    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
 def _chunk_col(order: str, chunk_micros: int) -> Column:
@@ -46,8 +62,9 @@ def ordered_scan(
     order: str,
     sums: dict[str, Column] | None = None,
     last_before: dict[str, Column] | None = None,
-    mode: str = "plain",
+    mode: str = "auto",
     chunk_micros: int = 30 * DAY_MICROS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add running-sum and last-non-null-before columns per key in ``order``.
 
@@ -56,6 +73,11 @@ def ordered_scan(
     """
     sums = sums or {}
     last_before = last_before or {}
+    if mode == "auto":
+        cold, hot = split_hot(df, keys, hot_rows)
+        a = ordered_scan(cold, keys, order, sums, last_before, "plain")
+        b = ordered_scan(hot, keys, order, sums, last_before, "chunked", chunk_micros).drop(CHUNK)
+        return a.unionByName(b)
     if mode == "plain":
         w = Window.partitionBy(*keys).orderBy(order)
         incl = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -20,7 +20,7 @@ from stockflow.plans.ingest import Ingested, ingest
 from stockflow.sources import testdata as TD
 from stockflow.store import materialize
 
-SCAN_MODE = "chunked"
+SCAN_MODE = "auto"
 
 
 _CACHE: dict = {}
@@ -119,7 +119,7 @@ def ledger_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(stock.select("internal_sku"), "internal_sku", "left_semi")
     )
     changes = ledger.sale_rows(sales).unionByName(ledger.import_rows(imports))
-    applied = ledger.apply_changes(changes, scan_mode=SCAN_MODE)
+    applied = ledger.apply_changes(changes, scan_mode=SCAN_MODE, materialize=materialize, materialize_input=True)
     return applied.filter(F.col("row_kind") == "sale").select(
         "internal_sku", *_seq_cols(), "quantity", "before_units", "after_units", "change_units", "oversold")
 

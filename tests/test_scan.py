@@ -100,3 +100,20 @@ def test_chunked_small_buckets(spark):
     finally:
         scan.ordered_scan, ledger.ordered_scan = orig, orig
     assert got == want
+
+
+def test_auto_mode_splits_hot_and_cold(spark):
+    """auto: SKUs above hot_rows go through the chunked scans, the rest plain."""
+    ev = _events(11, n=500, skus=5)
+    # Make S0 dominant so that it is the only hot key.
+    ev += [{"sku": "S0", "t": 40 + i % 30, "kind": 1, "pos": 10_000 + i, "units": None, "q": 1 + i % 4}
+           for i in range(300)]
+    ev.sort(key=lambda e: (e["t"], e["kind"], e["pos"]))
+    want, final = _fold(ev)
+    app = ledger.apply_changes(_changes(spark, ev), scan_mode="auto", hot_rows=200)
+    led = ledger.ledger_rows(app).select(
+        "internal_sku", "seq.ts", "seq.doc_pos", "reason", "change_units", "before_units", "after_units")
+    base = dt.datetime(2020, 1, 1)
+    got = sorted(((r[0], (r[1] - base).days, r[2], r[3], r[4], r[5], r[6]) for r in led.collect()), key=repr)
+    assert got == want
+    assert {r[0]: r[1] for r in ledger.final_units(app).collect()} == final
