@@ -64,7 +64,10 @@ class StockBook:
         return self.batch, F.lit(ts).cast("timestamp_ntz")
 
     def _append(self, cur: DataFrame | None, new: DataFrame) -> DataFrame:
-        return materialize(new if cur is None else cur.unionByName(new, allowMissingColumns=True))
+        """Append-only tables: materialise only the new batch and union it
+        lazily with earlier batches (history is never rewritten)."""
+        new = materialize(new)
+        return new if cur is None else cur.unionByName(new, allowMissingColumns=True)
 
     def _text_rows(self, docs: Iterable[dict | str], batch: int) -> DataFrame:
         rows = [(json.dumps(d) if not isinstance(d, str) else d, i) for i, d in enumerate(docs)]
@@ -131,7 +134,7 @@ class StockBook:
             "platform", "external_event_id", "external_order_id", "order_name", "order_status",
             F.col("raw_payload").cast("string").alias("raw_payload"), F.lit(1).alias("processed"),
             F.lit(batch).cast("long").alias("processed_batch"), F.lit(batch).cast("long").alias("batch"))
-        self.events = materialize(self.events.unionByName(won))
+        self.events = self._append(self.events, won)
         event_items = ing.lines.select(
             "platform", "external_event_id", "seq", "platform_sku", "internal_sku", "quantity", "unit_price",
             "title", F.lit(batch).cast("long").alias("batch"))
