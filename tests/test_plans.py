@@ -25,7 +25,7 @@ def test_no_cartesian_or_nested_loop(spark, name):
 
 
 def test_lineitem_scan_is_pruned(spark):
-    df = E.queries()["ledger_clamped"](spark, SMOKE)
+    df = E.queries()["sku_resolution"](spark, SMOKE)
     plan = df._jdf.queryExecution().explainString(
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     schemas = [line for line in plan.split("\n") if "ReadSchema" in line and "l_orderkey" in line]
