@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow import schemas as S
-from stockflow.operators.scan import HOT_ROWS, ordered_scan, split_hot
+from stockflow.operators.scan import CHUNK_ROWS, HOT_ROWS, T0, WIDTH, ordered_scan, split_hot
 
 KIND_STATE, KIND_IMPORT, KIND_SALE = -1, 0, 1
 
@@ -87,7 +87,8 @@ def _oversell_note(note: Column, requested: Column, before: Column) -> Column:
 
 
 def apply_changes(changes: DataFrame, scan_mode: str = "auto", inline_push: bool = False,
-                  materialize=None, hot_rows: int = HOT_ROWS, materialize_input: bool = False) -> DataFrame:
+                  materialize=None, hot_rows: int = HOT_ROWS, materialize_input: bool = False,
+                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Fold the change stream; returns every change row with its effect.
 
     Added columns: ``before_units``, ``after_units``, ``change_units``,
@@ -103,9 +104,9 @@ def apply_changes(changes: DataFrame, scan_mode: str = "auto", inline_push: bool
         # first unless its sources are already materialised.
         if materialize is not None and materialize_input:
             changes = materialize(changes)
-        cold, hot = split_hot(changes, ["internal_sku"], hot_rows)
+        cold, hot = split_hot(changes, ["internal_sku"], hot_rows, "seq", chunk_rows)
         return _apply(cold, "plain", inline_push, None).unionByName(
-            _apply(hot, "chunked", inline_push, materialize))
+            _apply(hot, "chunked", inline_push, materialize).drop(T0, WIDTH))
     return _apply(changes, scan_mode, inline_push, materialize)
 
 

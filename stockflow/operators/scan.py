@@ -13,8 +13,9 @@ Two associative scans cover every sequential fold of the reference:
 one task per key, fine while no key is large.
 
 ``mode="chunked"`` is the two-level form. Rows are cut into chunks by a
-time bucket of the leading timestamp of the order (``chunk_micros``), so
-every chunk is a contiguous run of the key's order:
+time bucket of the leading timestamp of the order (``chunk_micros``, or a
+per-key width sized from the key's row count and time span in auto mode),
+so every chunk is a contiguous run of the key's order:
 
 1. per (key, chunk) partial: sum, and the last non-null value
    (``max_by`` on the order) - a partial/final hash aggregate;
@@ -34,24 +35,51 @@ from pyspark.sql import functions as F
 
 DAY_MICROS = 86_400_000_000
 CHUNK = "_scan_chunk"
+T0, WIDTH = "_scan_t0", "_scan_width"
 HOT_ROWS = 1_000_000
+CHUNK_ROWS = HOT_ROWS // 4
 
 
-def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """``(cold, hot)``: rows of keys with at most / more than ``hot_rows`` rows.
+def _micros(ts: Column) -> Column:
+    """Wall-clock microseconds (second precision) of a timestamp, without any
+    time-zone conversion, so the value is monotone in the timestamp."""
+    secs = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return F.unix_date(F.to_date(ts)).cast("long") * F.lit(DAY_MICROS) + secs.cast("long") * F.lit(1_000_000)
 
-    The per-key count is a partial/final aggregate over the keys only. The
-    hot-key list holds at most ``total_rows / hot_rows`` keys; AQE broadcasts
-    it when it is small and keeps a shuffle (skew-split) join otherwise.
-    """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_scan_n"))
-    hot = counts.filter(F.col("_scan_n") > F.lit(hot_rows)).select(*keys)
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
+def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, order: str | None = None,
+              chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """``(cold, hot)``: rows of keys with at most / more than ``hot_rows`` rows.
 
-def _chunk_col(order: str, chunk_micros: int) -> Column:
-    ts = F.col(f"{order}.ts")
-    bucket = F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(chunk_micros)).cast("long")
+    The per-key count is a partial/final aggregate. The hot-key list holds at
+    most ``total_rows / hot_rows`` keys; AQE broadcasts it when it is small
+    and keeps a shuffle (skew-split) join otherwise. With ``order`` the hot
+    rows also carry a per-key bucket origin and width sized so that a bucket
+    holds about ``chunk_rows`` rows when the key's rows spread evenly over
+    its time span.
+    """
+    aggs = [F.count(F.lit(1)).alias("_scan_n")]
+    if order is not None:
+        us = _micros(F.col(f"{order}.ts"))
+        aggs += [F.min(us).alias("_scan_lo"), F.max(us).alias("_scan_hi")]
+    counts = df.groupBy(*keys).agg(*aggs)
+    hot = counts.filter(F.col("_scan_n") > F.lit(hot_rows))
+    if order is None:
+        hot = hot.select(*keys)
+        return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+    span = F.coalesce(F.col("_scan_hi") - F.col("_scan_lo"), F.lit(0)) + 1
+    n_chunks = F.ceil(F.col("_scan_n") / F.lit(chunk_rows))
+    hot = hot.select(*keys, F.coalesce(F.col("_scan_lo"), F.lit(0)).alias(T0),
+                     F.greatest(F.lit(1).cast("long"), F.ceil(span / n_chunks).cast("long")).alias(WIDTH))
+    return df.join(hot.select(*keys), keys, "left_anti"), df.join(hot, keys, "inner")
+
+
+def _chunk_col(order: str, chunk_micros: int, per_key: bool = False) -> Column:
+    us = _micros(F.col(f"{order}.ts"))
+    if per_key:
+        bucket = F.floor((us - F.col(T0)) / F.col(WIDTH)).cast("long")
+    else:
+        bucket = F.floor(us / F.lit(chunk_micros)).cast("long")
     # A null timestamp sorts first, so it belongs to the lowest chunk.
     return F.coalesce(bucket, F.lit(-(2**62)).cast("long"))
 
@@ -65,6 +93,7 @@ def ordered_scan(
     mode: str = "auto",
     chunk_micros: int = 30 * DAY_MICROS,
     hot_rows: int = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add running-sum and last-non-null-before columns per key in ``order``.
 
@@ -74,9 +103,9 @@ def ordered_scan(
     sums = sums or {}
     last_before = last_before or {}
     if mode == "auto":
-        cold, hot = split_hot(df, keys, hot_rows)
+        cold, hot = split_hot(df, keys, hot_rows, order, chunk_rows)
         a = ordered_scan(cold, keys, order, sums, last_before, "plain")
-        b = ordered_scan(hot, keys, order, sums, last_before, "chunked", chunk_micros).drop(CHUNK)
+        b = ordered_scan(hot, keys, order, sums, last_before, "chunked", chunk_micros).drop(CHUNK, T0, WIDTH)
         return a.unionByName(b)
     if mode == "plain":
         w = Window.partitionBy(*keys).orderBy(order)
@@ -94,7 +123,9 @@ def ordered_scan(
     chunk = CHUNK
     # Reuse the chunk column of an earlier chunked scan: the data is then
     # already hash-partitioned by (keys, chunk) and no new exchange is needed.
-    base = df if chunk in df.columns else df.withColumn(chunk, _chunk_col(order, chunk_micros))
+    # Rows that carry a per-key bucket width (from split_hot) use it.
+    base = df if chunk in df.columns else df.withColumn(
+        chunk, _chunk_col(order, chunk_micros, per_key=WIDTH in df.columns))
     # Materialise the scanned expressions once so both branches agree.
     tmp = {f"_scan_s_{n}": e for n, e in sums.items()}
     tmp.update({f"_scan_l_{n}": e for n, e in last_before.items()})

@@ -110,10 +110,25 @@ def test_auto_mode_splits_hot_and_cold(spark):
            for i in range(300)]
     ev.sort(key=lambda e: (e["t"], e["kind"], e["pos"]))
     want, final = _fold(ev)
-    app = ledger.apply_changes(_changes(spark, ev), scan_mode="auto", hot_rows=200)
+    app = ledger.apply_changes(_changes(spark, ev), scan_mode="auto", hot_rows=200, chunk_rows=40)
     led = ledger.ledger_rows(app).select(
         "internal_sku", "seq.ts", "seq.doc_pos", "reason", "change_units", "before_units", "after_units")
     base = dt.datetime(2020, 1, 1)
     got = sorted(((r[0], (r[1] - base).days, r[2], r[3], r[4], r[5], r[6]) for r in led.collect()), key=repr)
     assert got == want
     assert {r[0]: r[1] for r in ledger.final_units(app).collect()} == final
+
+
+def test_per_key_chunks_are_monotone(spark):
+    """split_hot widths cut a hot key into several contiguous chunks."""
+    from stockflow.operators import scan
+
+    ev = _events(13, n=100, skus=2)
+    ev += [{"sku": "S0", "t": i % 80, "kind": 1, "pos": 20_000 + i, "units": None, "q": 1} for i in range(400)]
+    changes = _changes(spark, ev)
+    _, hot = scan.split_hot(changes, ["internal_sku"], 200, "seq", 50)
+    rows = hot.select("internal_sku", "seq", scan._chunk_col("seq", 1, per_key=True).alias("c")).collect()
+    rows.sort(key=lambda r: (r.seq.ts is not None, r.seq))
+    chunks = [r.c for r in rows]
+    assert {r.internal_sku for r in rows} == {"S0"}
+    assert chunks == sorted(chunks) and len(set(chunks)) >= 5
