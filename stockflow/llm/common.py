@@ -67,3 +67,19 @@ def n_words_of(text: Column) -> Column:
 def null_key(c: Column) -> Column:
     """A non-null string key that keeps null apart from every value."""
     return F.when(c.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), c.cast("string")))
+
+
+def python_path(spark: SparkSession) -> None:
+    """Let local Python workers import this package as the driver does.
+
+    On a cluster the package is shipped with ``--py-files`` as usual.
+    """
+    import os
+
+    import stockflow
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(stockflow.__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
