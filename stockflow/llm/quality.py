@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
 Every document gets the base measures; documents that pass the base verdict
-go through further rules. On a bounded sample the cost of each rule (seconds)
+go through further rules. On a sample of bounded size the cost of each rule (seconds)
 and its selectivity (share rejected) are estimated; the rules run in falling
 order of rejection per cost inside one CASE, which stops at the first that
 rejects. A rule that needs only the base measures is nearly free; one that
@@ -104,14 +104,15 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, *, id_col: str = "
             sample_rows: int = 2000, base: Column | None = None) -> DataFrame:
     """Measures, base verdict and cascade verdict of every document.
 
-    ``sample_rows`` bounds the sample that costs are estimated on; it has no
+    About ``sample_rows`` random rows serve to estimate costs; they have no
     influence on ``kept``. Adds ``base_failed, rejected_by, kept``.
     """
     rules = default_rules() if rules is None else rules
     base = base_failed() if base is None else base
     measured = measures(docs, id_col=id_col, text_col=text_col)
     if len(rules) > 1:
-        sample = cut(measures(docs.limit(sample_rows), id_col=id_col, text_col=text_col), "quality-sample")
+        share = min(1.0, sample_rows / max(docs.count(), 1))
+        sample = cut(measures(docs.sample(share, seed=1), id_col=id_col, text_col=text_col), "quality-sample")
         rules = order_rules(estimate(sample.where(~base), rules))
     chain = F.when(F.col("base_failed"), F.lit("base"))
     for rule in rules:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import bpe, chat, mixing, quality
+from stockflow.llm import bpe, chat, mixing, ngram_join, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +54,15 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = ngram_join.JoinSpec(k=4, percent=85)
+    return ngram_join.component_ids(ngram_join.ngram_join(_table(spark, sf_dir, "documents"), spec))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_entropy_mix": op2_entropy_mix,
     "op4_chat_format": op4_chat_format,
     "op8_quality_cascade": op8_quality_cascade,
+    "op9_ngram_join": op9_ngram_join,
 }
