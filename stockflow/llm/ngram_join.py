@@ -34,6 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockflow.llm import bloom
 from stockflow.llm.common import cut, python_path
 from stockflow.llm.components import components
 
@@ -110,16 +111,6 @@ def profile(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> Data
     return _scan(docs, id_col, text_col).mapInArrow(run, _PROFILE)
 
 
-def _fixed_array(rows: DataFrame, size: int, dtype):
-    """A numpy array of fixed size from rows (place, value) of distinct places."""
-    import numpy as np
-
-    out = np.zeros(size, dtype)
-    t = rows.toArrow()
-    out[t.column(0).to_numpy()] = t.column(1).to_numpy().astype(dtype)
-    return out
-
-
 def _order(s, counts):
     """Places of the shingles, rare first."""
     import numpy as np
@@ -166,26 +157,12 @@ def prefixes(docs: DataFrame, spec: JoinSpec, counts, id_col: str, text_col: str
     return _scan(docs, id_col, text_col).mapInArrow(run, "h long, c long, n int, pos int")
 
 
-#: Bit fields of ``c ^ did`` that place a set in the filter.
-_FIELDS = (0, 20, 41)
-
-
-def _wanted(ids: DataFrame):
-    """A Bloom filter (BLOOM_BITS bits as numpy words) of rows ``c, did``."""
-    import numpy as np
-
-    x = F.col("c").bitwiseXOR(F.col("did"))
-    place = F.explode(F.array(*[F.shiftrightunsigned(x, f).bitwiseAND(F.lit((1 << BLOOM_BITS) - 1)) for f in _FIELDS]))
-    bits = ids.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    return _fixed_array(bits, 1 << (BLOOM_BITS - 6), np.int64).view(np.uint64)
-
-
 def sets_of(docs: DataFrame, spec: JoinSpec, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``c, did, s``: whole shingle sets of at least the documents in ``ids``
     (``c, did``). A filter of fixed size keeps most others back; a false hit
     costs a row that no join asks for."""
-    bloom = docs.sparkSession.sparkContext.broadcast(_wanted(ids))
+    wanted = bloom.build(ids, F.col("c").bitwiseXOR(F.col("did")), BLOOM_BITS)
+    wanted = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         import numpy as np
@@ -193,7 +170,7 @@ def sets_of(docs: DataFrame, spec: JoinSpec, ids: DataFrame, id_col: str, text_c
 
         from stockflow.llm import shingling as S
 
-        ws, filled, low = S.weights(spec.k), bloom.value, (1 << BLOOM_BITS) - 1
+        ws, filled = S.weights(spec.k), wanted.value
         for batch in batches:
             dids, cs, out, held = [], [], [], 0
 
@@ -204,12 +181,8 @@ def sets_of(docs: DataFrame, spec: JoinSpec, ids: DataFrame, id_col: str, text_c
 
             for did, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = S.shingle_set(text.as_py(), spec.k, ws, spec.lower)
-                if not len(s):
-                    continue
                 c = _class_key(s)
-                x = (c ^ did) & ((1 << 64) - 1)
-                places = [x >> f & low for f in _FIELDS]
-                if not all(int(filled[p >> 6]) >> (p & 63) & 1 for p in places):
+                if not len(s) or not bloom.hits(filled, np.array([c ^ did]).view(np.uint64), BLOOM_BITS)[0]:
                     continue
                 dids.append(did)
                 cs.append(c)
@@ -281,7 +254,7 @@ def ngram_join(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "d
     classes = cut(members.where("n > 0").groupBy("c").agg(
         F.min("did").alias("did"), F.count(F.lit(1)).alias("docs"), *[F.first(x).alias(x) for x in ("n", "s0", "s1", "s2", "s3")]), "join-classes")
     cells = seen.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = docs.sparkSession.sparkContext.broadcast(_fixed_array(cells, 1 << SKETCH_BITS, np.int64))
+    counts = docs.sparkSession.sparkContext.broadcast(bloom.fixed_array(cells, 1 << SKETCH_BITS, np.int64))
 
     pre = cut(prefixes(docs, spec, counts, id_col, text_col), "join-prefixes")
     groups = pre.groupBy("h").agg(F.min(F.struct("c", "n")).alias("first"), F.max("c").alias("last"))

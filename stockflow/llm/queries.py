@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import bpe, chat, mixing, ngram_join, quality
+from stockflow.llm import bpe, chat, mixing, ngram_join, quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.cascade(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -63,6 +68,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_entropy_mix": op2_entropy_mix,
     "op4_chat_format": op4_chat_format,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_ngram_join": op9_ngram_join,
 }

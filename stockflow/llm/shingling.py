@@ -56,6 +56,30 @@ def shingles(h: np.ndarray, k: int, ws: list[np.uint64]) -> np.ndarray:
     return mix(total)
 
 
+#: Base of the rolling hash (odd, hence invertible modulo 2**64) and its inverse.
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    have = _POWERS.get(base)
+    if have is None or len(have[0]) < n:
+        size = max(n, 4096, 2 * len(have[0]) if have else 0)
+        with np.errstate(over="ignore"):
+            up = np.cumprod(np.full(size, base, np.uint64), dtype=np.uint64)
+            down = np.cumprod(np.full(size, pow(base, -1, 1 << 64), np.uint64), dtype=np.uint64)
+        have = _POWERS[base] = (up, down)
+    return have
+
+
+def windows(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
+    """Hashes of all k-word windows by prefix sums, in a time independent of k."""
+    n, base = len(h), _BASE + 2 * seed
+    up, down = _powers(n, base)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n], dtype=np.uint64)])
+    return mix((sums[k:] - sums[:n - k + 1]) * down[:n - k + 1])
+
+
 def shingle_set(text: str | None, k: int, ws: list[np.uint64], lower: bool = True) -> np.ndarray:
     """Sorted distinct shingle hashes; shorter texts are one shingle, texts without words none."""
     found = words(text, lower)
