@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import bpe, chat, mixing, ngram_join, quality, substring_dedup
+from stockflow.llm import bpe, chat, imatch, mixing, ngram_join, quality, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.component_ids(ngram_join.ngram_join(_table(spark, sf_dir, "documents"), spec))
 
 
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare_with_edits(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_entropy_mix": op2_entropy_mix,
@@ -71,4 +75,5 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_ngram_join": op9_ngram_join,
+    "op10_imatch": op10_imatch,
 }
