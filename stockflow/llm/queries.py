@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import bpe, chat, imatch, mixing, ngram_join, quality, substring_dedup
+from stockflow.llm import bpe, chat, imatch, mixing, ngram_join, quality, substring_dedup, warc
+from stockflow.llm.common import scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out_dir = scratch(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), out_dir)
+    back = warc.read_warc(spark, out_dir, with_payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -72,6 +80,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_entropy_mix": op2_entropy_mix,
     "op4_chat_format": op4_chat_format,
+    "op5_warc": op5_warc,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_ngram_join": op9_ngram_join,

@@ -1,3 +1,17 @@
 """DuckDB statements for the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+#: Base 32 of a SHA-1: every five hex digits (20 bits) give four characters.
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        ((('0x' || substr(h, (i // 4)::INT * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '')"""
+
+SQL: dict[str, str] = {
+    "op5_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+             d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h FROM p),
+             f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h)
+        SELECT page_id, n::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d JOIN f USING (h)""",
+}
