@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import bpe, chat, imatch, mixing, ngram_join, quality, substring_dedup, warc
+from stockflow.llm import bpe, chat, imatch, mixing, ngram_join, pii, quality, substring_dedup, warc
 from stockflow.llm.common import scratch
 
 
@@ -35,6 +35,11 @@ def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), found_col="kinds")
+    return out.select("doc_id", "text", F.size("kinds").cast("long").alias("n_values"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = "</s>[INST] ok [/INST]"
@@ -79,6 +84,7 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_entropy_mix": op2_entropy_mix,
+    "op3_feistel_pii": op3_feistel_pii,
     "op4_chat_format": op4_chat_format,
     "op5_warc": op5_warc,
     "op7_substring_dedup": op7_substring_dedup,
