@@ -2,8 +2,7 @@
 
 Library code never creates its own session; these helpers exist for tests,
 the bench and scripts. ``checkpoint_dir`` reads the cluster's shared
-``spark.checkpoint.dir`` and only falls back to a scratch folder when the
-setting is absent (local tests).
+``spark.checkpoint.dir``; only a local session without it gets a scratch folder.
 """
 
 from __future__ import annotations
@@ -37,12 +36,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster; set one only if unset."""
+    """The shared checkpoint folder named by the cluster.
+
+    Without the setting a local session (one process) gets a scratch folder;
+    on a cluster that is an error, as executors would write to their own disks.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(configured)
         return configured
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    # One process, as in tests and local runs: any folder is shared.
     local = tempfile.mkdtemp(prefix="stockflow-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
