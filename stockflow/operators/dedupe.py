@@ -9,7 +9,7 @@ on ``(platform, event id, arrival)``, which is unique per document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EVENT_KEY = ["platform", "external_event_id"]
@@ -29,12 +29,22 @@ def winning_documents(docs: DataFrame, store: DataFrame | None = None) -> DataFr
 
 
 def document_outcomes(docs: DataFrame, store: DataFrame | None = None) -> DataFrame:
-    """Every delivered document with ``status`` processed / duplicate."""
-    winners = winning_documents(docs, store).select(*EVENT_KEY, "arrival").withColumn("_win", F.lit(True))
+    """Every delivered document with ``status`` processed / duplicate /
+    quarantined (no event id, hence no identity; see ``status_reason``)."""
+    # One row per event key, so the join cannot multiply documents.
+    first = docs.where(F.col("external_event_id").isNotNull()).groupBy(*EVENT_KEY).agg(F.min("arrival").alias("_first"))
+    if store is not None:
+        first = first.join(store.select(*EVENT_KEY), EVENT_KEY, "left_anti")
+    # Sources give every document an arrival of its own; should two share one, one of them wins.
+    place = F.row_number().over(Window.partitionBy(*EVENT_KEY, "arrival").orderBy("external_order_id"))
+    nameless = F.col("external_event_id").isNull()
     return (
-        docs.join(winners, [*EVENT_KEY, "arrival"], "left")
-        .withColumn("status", F.when(F.col("_win"), F.lit("processed")).otherwise(F.lit("duplicate")))
-        .drop("_win")
+        docs.withColumn("_place", place).join(first, EVENT_KEY, "left")
+        .withColumn("status", F.when(nameless, F.lit("quarantined"))
+                    .when((F.col("arrival") == F.col("_first")) & (F.col("_place") == 1), F.lit("processed"))
+                    .otherwise(F.lit("duplicate")))
+        .withColumn("status_reason", F.when(nameless, F.lit("document without an id")))
+        .drop("_first", "_place")
     )
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockflow import schemas as S
-from stockflow.operators.scan import CHUNK_ROWS, HOT_ROWS, T0, WIDTH, ordered_scan, split_hot
+from stockflow.operators.scan import ordered_scan
 
 KIND_STATE, KIND_IMPORT, KIND_SALE = -1, 0, 1
 
@@ -86,9 +86,7 @@ def _oversell_note(note: Column, requested: Column, before: Column) -> Column:
     return F.concat(prefix, F.format_string(S.OVERSELL_NOTE_FORMAT, requested, before))
 
 
-def apply_changes(changes: DataFrame, scan_mode: str = "auto", inline_push: bool = False,
-                  materialize=None, hot_rows: int = HOT_ROWS, materialize_input: bool = False,
-                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def apply_changes(changes: DataFrame, inline_push: bool = False, materialize=None, chunks: int | None = None) -> DataFrame:
     """Fold the change stream; returns every change row with its effect.
 
     Added columns: ``before_units``, ``after_units``, ``change_units``,
@@ -96,21 +94,10 @@ def apply_changes(changes: DataFrame, scan_mode: str = "auto", inline_push: bool
     ``message``, ``push_eligible``, ``value_after`` (stock right after the
     row, null when the SKU has no unit stock), ``item_tier``,
     ``item_sync_enabled`` (attributes in force for the row).
+
+    ``changes`` is read for its range bounds and for its rows: its sources
+    should be materialised. ``chunks`` as in :func:`ordered_scan`.
     """
-    if scan_mode == "auto":
-        # Hot SKUs (more than hot_rows changes) take the two-level chunked
-        # scans; every other SKU one plain window (one shuffle, one sort).
-        # The change stream is read three times (count, cold, hot): cut it
-        # first unless its sources are already materialised.
-        if materialize is not None and materialize_input:
-            changes = materialize(changes)
-        cold, hot = split_hot(changes, ["internal_sku"], hot_rows, "seq", chunk_rows)
-        return _apply(cold, "plain", inline_push, None).unionByName(
-            _apply(hot, "chunked", inline_push, materialize).drop(T0, WIDTH))
-    return _apply(changes, scan_mode, inline_push, materialize)
-
-
-def _apply(changes: DataFrame, scan_mode: str, inline_push: bool, materialize) -> DataFrame:
     is_sale = F.col("row_kind") == "sale"
     marker = F.when(
         ~is_sale,
@@ -122,13 +109,10 @@ def _apply(changes: DataFrame, scan_mode: str, inline_push: bool, materialize) -
     scanned = ordered_scan(
         changes, ["internal_sku"], "seq",
         sums={"_cum": F.when(is_sale, F.col("quantity")).otherwise(F.lit(0))},
-        mode=scan_mode,
+        chunks=chunks, materialize=materialize,
     )
-    if materialize is not None and scan_mode == "chunked":
-        # The second scan reads the first one's output twice (its chunk
-        # summary and the local window): cut it here instead of recomputing.
-        scanned = materialize(scanned)
-    scanned = ordered_scan(scanned, ["internal_sku"], "seq", last_before={"_prev": marker}, mode=scan_mode)
+    # The second scan runs over the chunks of the first.
+    scanned = ordered_scan(scanned, ["internal_sku"], "seq", last_before={"_prev": marker})
 
     prev = F.col("_prev")
     has_prev = prev.isNotNull()

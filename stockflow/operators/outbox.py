@@ -126,7 +126,7 @@ def skip_reason(jobs: DataFrame, mapping: DataFrame, push_enabled: bool = True,
 
 def payload(c_platform: Column, route_id: Column, route_sub: Column, qty: Column) -> Column:
     """PRJ-19: the absolute-set request body of each platform, as JSON text."""
-    shop = F.to_json(F.struct(route_id.alias("inventory_item_id"), route_sub.alias("location_id"),
+    shop = F.to_json(F.struct(route_id.cast("long").alias("inventory_item_id"), route_sub.cast("long").alias("location_id"),
                               qty.alias("available")))
     etsy = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(
         route_sub.cast("long").alias("offering_id"), qty.alias("quantity"),
@@ -263,18 +263,21 @@ def attempt_history(jobs: DataFrame, routed_ok: DataFrame, start_ms_col: str = "
     """WIN-8: every attempt of each job when the dispatcher runs at each due time.
 
     ``routed_ok`` has ``(job_id, skip_reason, attempt_no, ok, error)`` for
-    attempts 1..max_attempts (a fixture or a replayed log). The first success
-    (or the last allowed attempt) is terminal; attempt k runs at
-    ``start + base * (2^(k-1) - 1)``.
+    attempts 1..max_attempts (a fixture or a replayed log). Only pending jobs
+    are attempted, from the attempt after those already used (``attempts``,
+    default 0). The first success (or the last allowed attempt) is terminal;
+    attempt k runs at ``start + base * (2^(k-1) - 2^used)``.
     """
-    a = jobs.select("job_id", "internal_sku", "platform", "max_attempts", start_ms_col).join(
-        routed_ok, "job_id")
+    used = F.col("attempts") if "attempts" in jobs.columns else F.lit(0)
+    open_ = jobs.filter(F.col("status") == "pending") if "status" in jobs.columns else jobs
+    a = open_.select("job_id", "internal_sku", "platform", "max_attempts", start_ms_col, used.cast("long").alias("_used")).join(
+        routed_ok, "job_id").filter(F.col("attempt_no").between(F.col("_used") + 1, F.col("max_attempts")))
     first_ok = F.min(F.when(F.col("ok") | F.col("skip_reason").isNotNull(), F.col("attempt_no"))).over(
         Window.partitionBy("job_id"))
     a = a.withColumn("_terminal", F.coalesce(first_ok, F.col("max_attempts")))
     a = a.filter(F.col("attempt_no") <= F.col("_terminal"))
     k = F.col("attempt_no").cast("long")
-    at = F.col(start_ms_col) + F.lit(retry_base_ms) * (_pow2(k - 1) - 1)
+    at = F.col(start_ms_col) + F.lit(retry_base_ms) * (_pow2(k - 1) - _pow2(F.col("_used")))
     skipped = F.col("skip_reason").isNotNull()
     dead = ~skipped & ~F.col("ok") & (k >= F.col("max_attempts"))
     outcome = (F.when(skipped, F.lit("skipped")).when(F.col("ok"), F.lit("succeeded"))

@@ -4,7 +4,7 @@ The reference walks each SKU's ledger in id order (N+1 queries). Here:
 
 * broken rows are a row predicate (no ordering needed);
 * chain gaps need the previous row's ``after`` - an exclusive "last value"
-  scan (:func:`ordered_scan`, plain or hot-key chunked);
+  scan (:func:`ordered_scan`);
 * the expected stock is ``max_by(after, seq)`` per SKU - a partial/final
   aggregate;
 * drift is one join of that per-SKU aggregate with the live items.
@@ -34,11 +34,11 @@ def broken_rows(ledger: DataFrame, items: DataFrame) -> DataFrame:
     return led.filter(bad).select("internal_sku", "seq", F.lit("broken_row").alias("type"), detail.alias("detail"))
 
 
-def chain_gaps(ledger: DataFrame, items: DataFrame, scan_mode: str = "auto") -> DataFrame:
+def chain_gaps(ledger: DataFrame, items: DataFrame) -> DataFrame:
     """WIN-5: ``before`` and the previous row's ``after`` both set and different."""
     led = _checked_ledger(ledger, items).select("internal_sku", "seq", "before_units", "after_units")
     prev = ordered_scan(led, ["internal_sku"], "seq",
-                        last_before={"_prev": F.struct(F.col("after_units").alias("a"))}, mode=scan_mode)
+                        last_before={"_prev": F.struct(F.col("after_units").alias("a"))})
     prev_after = F.col("_prev")["a"]
     gap = F.col("before_units").isNotNull() & prev_after.isNotNull() & (F.col("before_units") != prev_after)
     detail = F.format_string("row starts at %d but previous row ended at %d", F.col("before_units"), prev_after)
@@ -84,9 +84,9 @@ def summary(ledger: DataFrame, items: DataFrame, violations: DataFrame, mismatch
     )
 
 
-def reconcile(ledger: DataFrame, items: DataFrame, scan_mode: str = "auto") -> dict[str, DataFrame]:
+def reconcile(ledger: DataFrame, items: DataFrame) -> dict[str, DataFrame]:
     """STA-8: the three reports and the summary row."""
-    violations = broken_rows(ledger, items).unionByName(chain_gaps(ledger, items, scan_mode))
+    violations = broken_rows(ledger, items).unionByName(chain_gaps(ledger, items))
     mismatches = drift(ledger, items)
     return {
         "violations": violations,
@@ -99,7 +99,7 @@ def run_record(report: dict[str, DataFrame], run_id: int) -> DataFrame:
     """SNK-12: the persisted run row (counts) of a reconcile run."""
     return report["summary"].select(
         F.lit(run_id).cast("long").alias("run_id"), "checked_skus", "mismatch_count",
-        "chain_violation_count", "consistent")
+        "chain_violation_count", "consistent", "label")
 
 
 def run_details(report: dict[str, DataFrame], run_id: int) -> DataFrame:

@@ -35,9 +35,8 @@ def low_stock_flag(items: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def recent(df: DataFrame, order_cols: list, limit: int = S.RECENT_DEFAULT_LIMIT) -> DataFrame:
-    """SRT-2/3: newest first, the limit capped at 200 (a top-k report)."""
-    n = max(0, min(int(limit), S.RECENT_MAX_LIMIT))
-    return df.orderBy(*[F.col(c).desc() if isinstance(c, str) else c for c in order_cols]).limit(n)
+    """SRT-2/3: the ``limit`` newest rows (a top-k report)."""
+    return df.orderBy(*[F.col(c).desc() if isinstance(c, str) else c for c in order_cols]).limit(max(0, int(limit)))
 
 
 def status_counts(df: DataFrame, col: str = "status") -> DataFrame:
@@ -66,8 +65,9 @@ def kpis(items: DataFrame, jobs: DataFrame, runs_summary: DataFrame | None = Non
         jobs.select(F.lit("j").alias("k"), F.lit(0).cast("long").alias("u"), F.col("status").alias("s")),
     ]
     if runs_summary is not None:
-        parts.append(runs_summary.select(F.lit("r").alias("k"), F.lit(0).cast("long").alias("u"),
-                                         F.col("label").alias("s")))
+        # The run number travels as ``u``: the last run is the one with the largest.
+        run = F.col("run_id").cast("long") if "run_id" in runs_summary.columns else F.lit(1).cast("long")
+        parts.append(runs_summary.select(F.lit("r").alias("k"), run.alias("u"), F.col("label").alias("s")))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
@@ -77,7 +77,7 @@ def kpis(items: DataFrame, jobs: DataFrame, runs_summary: DataFrame | None = Non
         F.count_if(F.col("k") == "l").alias("low_stock_count"),
         F.count_if((F.col("k") == "j") & (F.col("s") == "pending")).alias("pending_jobs"),
         F.count_if((F.col("k") == "j") & (F.col("s") == "dead_letter")).alias("dead_letter_jobs"),
-        F.coalesce(F.max(F.when(F.col("k") == "r", F.col("s"))), F.lit("never")).alias("last_run_label"),
+        F.coalesce(F.max_by("s", F.when(F.col("k") == "r", F.col("u"))), F.lit("never")).alias("last_run_label"),
     )
 
 

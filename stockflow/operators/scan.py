@@ -6,26 +6,21 @@ Two associative scans cover every sequential fold of the reference:
 * "last non-null value strictly before this row" of an expression
   (``lag`` is the special case of an always-non-null struct wrapper).
 
-``mode="auto"`` (default) counts rows per key once and sends keys above
-``hot_rows`` through the chunked form, the rest through the plain one.
-
-``mode="plain"`` is a single window ``partitionBy(keys).orderBy(order)``:
-one task per key, fine while no key is large.
-
-``mode="chunked"`` is the two-level form. Rows are cut into chunks by a
-time bucket of the leading timestamp of the order (``chunk_micros``, or a
-per-key width sized from the key's row count and time span in auto mode),
-so every chunk is a contiguous run of the key's order:
+There is one form for every key. Rows are range-partitioned by the whole
+``(keys, order)``, so a chunk is a contiguous run of that order: a key with
+many rows - also many of one instant, or without any time stamp - spans many
+chunks, and many small keys share one. Then:
 
 1. per (key, chunk) partial: sum, and the last non-null value
    (``max_by`` on the order) - a partial/final hash aggregate;
 2. carry-in per chunk: running sum / last value over the *chunk summary*
-   (a key holds at most one row per bucket there);
+   (a key holds at most one row per chunk there);
 3. local window per (key, chunk), combined with the carry-in.
 
 The local window and the carry join share the ``(key, chunk)`` hash
-partitioning, so the big side is shuffled once, exactly as in plain mode.
-Results are identical to plain mode (tested); only the task size changes.
+partitioning. Chunk ids come from sampled range bounds, so the tagged rows
+are cut once (``materialize``): every reader sees the same chunks, also after
+an executor is lost.
 """
 
 from __future__ import annotations
@@ -33,55 +28,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY_MICROS = 86_400_000_000
 CHUNK = "_scan_chunk"
-T0, WIDTH = "_scan_t0", "_scan_width"
-HOT_ROWS = 1_000_000
-CHUNK_ROWS = HOT_ROWS // 4
-
-
-def _micros(ts: Column) -> Column:
-    """Wall-clock microseconds (second precision) of a timestamp, without any
-    time-zone conversion, so the value is monotone in the timestamp."""
-    secs = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    return F.unix_date(F.to_date(ts)).cast("long") * F.lit(DAY_MICROS) + secs.cast("long") * F.lit(1_000_000)
 
 
-def split_hot(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, order: str | None = None,
-              chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """``(cold, hot)``: rows of keys with at most / more than ``hot_rows`` rows.
+def with_chunks(df: DataFrame, keys: list[str], order: str, chunks: int | None = None, materialize=None) -> DataFrame:
+    """``df`` with the id of its contiguous chunk of ``(keys, order)``.
 
-    The per-key count is a partial/final aggregate. The hot-key list holds at
-    most ``total_rows / hot_rows`` keys; AQE broadcasts it when it is small
-    and keeps a shuffle (skew-split) join otherwise. With ``order`` the hot
-    rows also carry a per-key bucket origin and width sized so that a bucket
-    holds about ``chunk_rows`` rows when the key's rows spread evenly over
-    its time span.
+    ``chunks``: number of range partitions; by default the session's shuffle
+    partitions (fewer where Spark joins small neighbours).
     """
-    aggs = [F.count(F.lit(1)).alias("_scan_n")]
-    if order is not None:
-        us = _micros(F.col(f"{order}.ts"))
-        aggs += [F.min(us).alias("_scan_lo"), F.max(us).alias("_scan_hi")]
-    counts = df.groupBy(*keys).agg(*aggs)
-    hot = counts.filter(F.col("_scan_n") > F.lit(hot_rows))
-    if order is None:
-        hot = hot.select(*keys)
-        return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
-    span = F.coalesce(F.col("_scan_hi") - F.col("_scan_lo"), F.lit(0)) + 1
-    n_chunks = F.ceil(F.col("_scan_n") / F.lit(chunk_rows))
-    hot = hot.select(*keys, F.coalesce(F.col("_scan_lo"), F.lit(0)).alias(T0),
-                     F.greatest(F.lit(1).cast("long"), F.ceil(span / n_chunks).cast("long")).alias(WIDTH))
-    return df.join(hot.select(*keys), keys, "left_anti"), df.join(hot, keys, "inner")
-
-
-def _chunk_col(order: str, chunk_micros: int, per_key: bool = False) -> Column:
-    us = _micros(F.col(f"{order}.ts"))
-    if per_key:
-        bucket = F.floor((us - F.col(T0)) / F.col(WIDTH)).cast("long")
-    else:
-        bucket = F.floor(us / F.lit(chunk_micros)).cast("long")
-    # A null timestamp sorts first, so it belongs to the lowest chunk.
-    return F.coalesce(bucket, F.lit(-(2**62)).cast("long"))
+    if materialize is None:
+        from stockflow.store import materialize
+    cols = [*[F.col(k) for k in keys], F.col(order)]
+    dealt = df.repartitionByRange(chunks, *cols) if chunks else df.repartitionByRange(*cols)
+    return materialize(dealt.withColumn(CHUNK, F.spark_partition_id()))
 
 
 def ordered_scan(
@@ -90,46 +50,23 @@ def ordered_scan(
     order: str,
     sums: dict[str, Column] | None = None,
     last_before: dict[str, Column] | None = None,
-    mode: str = "auto",
-    chunk_micros: int = 30 * DAY_MICROS,
-    hot_rows: int = HOT_ROWS,
-    chunk_rows: int = CHUNK_ROWS,
+    chunks: int | None = None,
+    materialize=None,
 ) -> DataFrame:
     """Add running-sum and last-non-null-before columns per key in ``order``.
 
-    ``order`` names a struct column whose first field ``ts`` is a timestamp
-    and whose fields together give a total order inside each key.
+    ``order`` names a column whose values give a total order inside each
+    key. The output keeps the chunk column: a later scan over the same keys
+    and order reuses the chunks (and their partitioning).
     """
     sums = sums or {}
     last_before = last_before or {}
-    if mode == "auto":
-        cold, hot = split_hot(df, keys, hot_rows, order, chunk_rows)
-        a = ordered_scan(cold, keys, order, sums, last_before, "plain")
-        b = ordered_scan(hot, keys, order, sums, last_before, "chunked", chunk_micros).drop(CHUNK, T0, WIDTH)
-        return a.unionByName(b)
-    if mode == "plain":
-        w = Window.partitionBy(*keys).orderBy(order)
-        incl = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        excl = w.rowsBetween(Window.unboundedPreceding, -1)
-        out = df
-        for name, expr in sums.items():
-            out = out.withColumn(name, F.coalesce(F.sum(expr).over(incl), F.lit(0)))
-        for name, expr in last_before.items():
-            out = out.withColumn(name, F.last(expr, ignorenulls=True).over(excl))
-        return out
-    if mode != "chunked":
-        raise ValueError(f"unknown scan mode {mode!r}")
-
-    chunk = CHUNK
-    # Reuse the chunk column of an earlier chunked scan: the data is then
-    # already hash-partitioned by (keys, chunk) and no new exchange is needed.
-    # Rows that carry a per-key bucket width (from split_hot) use it.
-    base = df if chunk in df.columns else df.withColumn(
-        chunk, _chunk_col(order, chunk_micros, per_key=WIDTH in df.columns))
+    if CHUNK not in df.columns:
+        df = with_chunks(df, keys, order, chunks, materialize)
     # Materialise the scanned expressions once so both branches agree.
     tmp = {f"_scan_s_{n}": e for n, e in sums.items()}
     tmp.update({f"_scan_l_{n}": e for n, e in last_before.items()})
-    base = base.select("*", *[e.alias(n) for n, e in tmp.items()])
+    base = df.select("*", *[e.alias(n) for n, e in tmp.items()])
 
     aggs = []
     for n in sums:
@@ -137,16 +74,16 @@ def ordered_scan(
     for n in last_before:
         c = F.col(f"_scan_l_{n}")
         aggs.append(F.max_by(c, F.when(c.isNotNull(), F.col(order))).alias(f"_part_l_{n}"))
-    summary = base.groupBy(*keys, chunk).agg(*aggs)
-    wc = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    summary = base.groupBy(*keys, CHUNK).agg(*aggs)
+    wc = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []
     for n in sums:
         carry_cols.append(F.coalesce(F.sum(f"_part_s_{n}").over(wc), F.lit(0)).alias(f"_carry_s_{n}"))
     for n in last_before:
         carry_cols.append(F.last(f"_part_l_{n}", ignorenulls=True).over(wc).alias(f"_carry_l_{n}"))
-    carry = summary.select(*keys, chunk, *carry_cols)
+    carry = summary.select(*keys, CHUNK, *carry_cols)
 
-    w = Window.partitionBy(*keys, chunk).orderBy(order)
+    w = Window.partitionBy(*keys, CHUNK).orderBy(order)
     incl = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     excl = w.rowsBetween(Window.unboundedPreceding, -1)
     local = base
@@ -154,8 +91,8 @@ def ordered_scan(
         local = local.withColumn(f"_local_s_{n}", F.coalesce(F.sum(f"_scan_s_{n}").over(incl), F.lit(0)))
     for n in last_before:
         local = local.withColumn(f"_local_l_{n}", F.last(f"_scan_l_{n}", ignorenulls=True).over(excl))
-    joined = local.join(carry, on=[*keys, chunk], how="inner")
-    out_cols = [F.col(c) for c in df.columns if c != chunk] + [F.col(chunk)]
+    joined = local.join(carry, on=[*keys, CHUNK], how="inner")
+    out_cols = [F.col(c) for c in df.columns]
     for n in sums:
         out_cols.append((F.col(f"_local_s_{n}") + F.col(f"_carry_s_{n}")).alias(n))
     for n in last_before:

@@ -169,9 +169,9 @@ class StockBook:
         return False
 
     # ---------------------------------------------------------------- outbox
-    def process_due_push_jobs(self, now_ms: int, limit: int | None = S.DUE_BATCH_LIMIT,
+    def process_due_push_jobs(self, now_ms: int, limit: int | None = None,
                               sink: Callable[[pd.DataFrame], pd.DataFrame] | None = None) -> DataFrame:
-        """STA-3: one dispatch round; returns the transitions (outcomes)."""
+        """STA-3: one dispatch round over all due jobs (or the ``limit`` oldest); returns the transitions."""
         sink = sink or (lambda pdf: pdf.assign(ok=True, error=None))
 
         def results(routed: DataFrame) -> DataFrame:
@@ -218,5 +218,5 @@ class StockBook:
     def recent_jobs(self, limit: int = S.RECENT_DEFAULT_LIMIT) -> DataFrame:
         return reports.recent(self.jobs, ["created_batch", "job_id"], limit)
 
-    def reconciliation_runs(self) -> DataFrame:
-        return reports.recent(self.runs, ["run_id"], S.RECONCILE_RUNS_LIMIT)
+    def reconciliation_runs(self, limit: int = S.RECONCILE_RUNS_LIMIT) -> DataFrame:
+        return reports.recent(self.runs, ["run_id"], limit)

@@ -7,6 +7,8 @@ fixture rules live in :mod:`stockflow.sources.testdata`.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,6 @@ from stockflow.plans.ingest import Ingested, ingest
 from stockflow.sources import testdata as TD
 from stockflow.store import materialize
 
-SCAN_MODE = "auto"
-
-
 _CACHE: dict = {}
 
 
@@ -40,7 +39,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> Ingested:
         items, mapping = TD.initial_items_and_mapping(spark, sf_dir)
         return ingest(
             TD.documents(spark, sf_dir), TD.lines(spark, sf_dir), items, mapping,
-            imports=TD.imports(spark, sf_dir), scan_mode=SCAN_MODE, materialize=materialize,
+            imports=TD.imports(spark, sf_dir), materialize=materialize,
         )
     return _cached(spark, sf_dir, "ingested", build)
 
@@ -119,7 +118,7 @@ def ledger_clamped(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(stock.select("internal_sku"), "internal_sku", "left_semi")
     )
     changes = ledger.sale_rows(sales).unionByName(ledger.import_rows(imports))
-    applied = ledger.apply_changes(changes, scan_mode=SCAN_MODE, materialize=materialize, materialize_input=True)
+    applied = ledger.apply_changes(materialize(changes), materialize=materialize)
     return applied.filter(F.col("row_kind") == "sale").select(
         "internal_sku", *_seq_cols(), "quantity", "before_units", "after_units", "change_units", "oversold")
 
@@ -262,7 +261,7 @@ def _reconciled(spark: SparkSession, sf_dir: str):
         ing = _ingested(spark, sf_dir)
         led = materialize(TD.ledger_with_faults(ledger.ledger_rows(ing.applied)))
         items = materialize(TD.items_with_drift(ledger.final_units(ing.applied)))
-        return led, items, reconcile.reconcile(led, items, scan_mode=SCAN_MODE)
+        return led, items, reconcile.reconcile(led, items)
     return _cached(spark, sf_dir, "reconciled", build)
 
 
@@ -469,7 +468,8 @@ def stream_relay_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream -> job states after one delivery attempt each."""
     root, jobs = _relay_topic(spark, sf_dir)
     handler = relay.WritebackConsumer(jobs, TD.outbox_mapping(spark, sf_dir), TD.fixture_results, NOW_MS)
-    relay.start_consumer(spark, f"{root}/topic", f"{root}/ckpt-writeback", handler).awaitTermination()
+    # A new consumer group per call: it reads the topic from its start.
+    relay.start_consumer(spark, f"{root}/topic", f"{root}/ckpt-writeback-{uuid.uuid4().hex}", handler).awaitTermination()
     return handler.transitions.select("internal_sku", "platform", "status", "attempts", "next_attempt_at",
                                       "last_error", "outcome")
 
@@ -477,8 +477,8 @@ def stream_relay_consume(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-6: an independent consumer group sees every published event."""
     root, _ = _relay_topic(spark, sf_dir)
-    out = f"{root}/audit"
-    relay.start_consumer(spark, f"{root}/topic", f"{root}/ckpt-audit", relay.AuditConsumer(out)).awaitTermination()
+    out = f"{root}/audit-{uuid.uuid4().hex}"
+    relay.start_consumer(spark, f"{root}/topic", f"{out}-ckpt", relay.AuditConsumer(out)).awaitTermination()
     dec = relay.decode_events(spark.read.parquet(out))
     return dec.select("key", "platform", "target_quantity")
 

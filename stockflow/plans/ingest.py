@@ -41,7 +41,6 @@ def ingest(
     imports: DataFrame | None = None,
     state: DataFrame | None = None,
     store: DataFrame | None = None,
-    scan_mode: str = "auto",
     inline_push: bool = False,
     materialize: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Ingested:
@@ -62,8 +61,7 @@ def ingest(
     changes = parts[0]
     for p in parts[1:]:
         changes = changes.unionByName(p)
-    applied = mat(ledger.apply_changes(changes, scan_mode=scan_mode, inline_push=inline_push,
-                                       materialize=materialize, materialize_input=True))
+    applied = mat(ledger.apply_changes(changes, inline_push=inline_push, materialize=materialize))
 
     sale_results = applied.filter(F.col("row_kind") == "sale").select(
         "platform", "external_order_id", "seq", "internal_sku", "quantity", "status", "message",

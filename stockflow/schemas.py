@@ -33,7 +33,6 @@ PUSH_RETRY_BASE_MS = 5000
 PUSH_MAX_ATTEMPTS = 5
 CLAIM_LEASE_MS = 30_000
 RECENT_DEFAULT_LIMIT = 50
-RECENT_MAX_LIMIT = 200
 DUE_BATCH_LIMIT = 50
 RECONCILE_RUNS_LIMIT = 20
 SKIP_PUSH_DISABLED = "ENABLE_PLATFORM_PUSH=false"

@@ -7,8 +7,8 @@
 * :class:`TableStore` publishes all outputs of a batch together: append
   tables are written to ``<table>/batch_id=<n>/`` (overwriting only that
   partition, so replaying a batch is a no-op) and state tables to
-  ``<table>/v=<n>/``; a small manifest naming the current versions is
-  written last and renamed into place. Readers resolve through the manifest,
+  ``<table>/v=<n>/``; a small numbered manifest naming the current versions
+  is written last and renamed into place. Readers resolve through the highest,
   so the event rows, ledger, stock and owed jobs of a batch become visible
   at once. On object stores use a table format with atomic commits instead;
   this module is the only place that knows the layout.
@@ -37,9 +37,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 class TableStore:
-    """Versioned tables under one root folder with an atomic manifest."""
-
-    MANIFEST = "_manifest.json"
+    """Versioned tables under one root folder with numbered manifests."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -52,12 +50,18 @@ class TableStore:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(conf), jvm
 
+    def _manifests(self, fs, jvm) -> dict:
+        """Path by number of every manifest; the highest is in force."""
+        found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{self.root}/_manifest-*.json")) or []
+        paths = [s.getPath() for s in found]
+        return {int(p.getName().removeprefix("_manifest-").removesuffix(".json")): p for p in paths}
+
     def manifest(self) -> dict:
         fs, jvm = self._hadoop_fs()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.MANIFEST}")
-        if not fs.exists(p):
+        known = self._manifests(fs, jvm)
+        if not known:
             return {"last_batch": -1, "tables": {}}
-        stream = fs.open(p)
+        stream = fs.open(known[max(known)])
         try:
             reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
             text = "".join(iter(reader.readLine, None))
@@ -66,17 +70,18 @@ class TableStore:
         return json.loads(text)
 
     def _write_manifest(self, m: dict) -> None:
+        """A new number under a temporary name, then one rename: a crash
+        leaves the former manifest in force."""
         fs, jvm = self._hadoop_fs()
-        tmp = jvm.org.apache.hadoop.fs.Path(f"{self.root}/.{self.MANIFEST}.{uuid.uuid4().hex}")
-        dst = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self.MANIFEST}")
+        number = max(self._manifests(fs, jvm), default=0) + 1
+        tmp = jvm.org.apache.hadoop.fs.Path(f"{self.root}/.manifest-{uuid.uuid4().hex}")
         out = fs.create(tmp, True)
         try:
             out.write(bytearray(json.dumps(m, sort_keys=True).encode("utf-8")))
         finally:
             out.close()
-        if fs.exists(dst):
-            fs.delete(dst, False)
-        fs.rename(tmp, dst)
+        if not fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(f"{self.root}/_manifest-{number:012d}.json")):
+            raise OSError(f"manifest {number} exists: another writer is at work")
 
     # -- read / write -----------------------------------------------------
     def path(self, table: str, m: dict | None = None) -> str | None:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockflow import schemas as S
 
@@ -24,8 +25,9 @@ def encode_events(jobs: DataFrame) -> DataFrame:
 
 def decode_events(messages: DataFrame) -> DataFrame:
     """PRJ-21 decode; undecodable messages are dropped (missing fields -> 0 / '')."""
-    d = messages.select("key", F.from_json(F.col("value").cast("string"), S.STOCK_EVENT).alias("e"))
-    d = d.filter(F.col("e").isNotNull())
+    schema = T.StructType([*S.STOCK_EVENT.fields, T.StructField("_corrupt", T.StringType())])
+    d = messages.select("key", F.from_json(F.col("value").cast("string"), schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("e"))
+    d = d.filter(F.col("e").isNotNull() & F.col("e._corrupt").isNull())
     return d.select(
         "key",
         F.coalesce(F.col("e.job_id"), F.lit(0)).cast("long").alias("job_id"),
@@ -95,11 +97,11 @@ class WritebackConsumer:
 
 
 class AuditConsumer:
-    """STR-6 handler: append every message (key, value, batch) to a table."""
+    """STR-6 handler: every message (key, value, batch) in a table, one folder
+    per micro-batch, which a replay overwrites."""
 
     def __init__(self, out_path: str):
         self.out_path = out_path
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("consumer_batch", F.lit(batch_id).cast("long")) \
-            .write.mode("append").parquet(self.out_path)
+        batch.write.mode("overwrite").parquet(f"{self.out_path}/consumer_batch={int(batch_id)}")

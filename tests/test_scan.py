@@ -1,4 +1,4 @@
-"""The two-scan ledger (plain and hot-key chunked) against a sequential fold."""
+"""The two-scan ledger against a sequential fold, with hot keys spread over many chunks."""
 
 import datetime as dt
 import random
@@ -63,72 +63,36 @@ def _changes(spark, ev):
     return ledger.import_rows(imports).unionByName(ledger.sale_rows(sales))
 
 
-def test_fold_equals_window(spark):
-    for seed in (1, 2, 3):
-        ev = _events(seed)
-        want, final = _fold(ev)
-        changes = _changes(spark, ev)
-        for mode in ("plain", "chunked"):
-            app = ledger.apply_changes(changes, scan_mode=mode)
-            led = ledger.ledger_rows(app).select(
-                "internal_sku", "seq.ts", "seq.doc_pos", "reason", "change_units", "before_units", "after_units")
-            base = dt.datetime(2020, 1, 1)
-            got = sorted(((r[0], (r[1] - base).days, r[2], r[3], r[4], r[5], r[6]) for r in led.collect()), key=repr)
-            assert got == want, (seed, mode)
-            fu = {r[0]: r[1] for r in ledger.final_units(app).collect()}
-            assert fu == final, (seed, mode)
-
-
-def test_chunked_small_buckets(spark):
-    ev = _events(7, n=300, skus=2)
-    want, _ = _fold(ev)
-    from stockflow.operators import scan
-    changes = _changes(spark, ev)
-    orig = scan.ordered_scan
-
-    def tiny(*a, **k):
-        k["chunk_micros"] = 86_400_000_000 * 3
-        return orig(*a, **k)
-
-    scan.ordered_scan, ledger.ordered_scan = tiny, tiny
-    try:
-        app = ledger.apply_changes(changes, scan_mode="chunked")
-        led = ledger.ledger_rows(app).select(
-            "internal_sku", "seq.ts", "seq.doc_pos", "reason", "change_units", "before_units", "after_units")
-        base = dt.datetime(2020, 1, 1)
-        got = sorted(((r[0], (r[1] - base).days, r[2], r[3], r[4], r[5], r[6]) for r in led.collect()), key=repr)
-    finally:
-        scan.ordered_scan, ledger.ordered_scan = orig, orig
-    assert got == want
-
-
-def test_auto_mode_splits_hot_and_cold(spark):
-    """auto: SKUs above hot_rows go through the chunked scans, the rest plain."""
-    ev = _events(11, n=500, skus=5)
-    # Make S0 dominant so that it is the only hot key.
-    ev += [{"sku": "S0", "t": 40 + i % 30, "kind": 1, "pos": 10_000 + i, "units": None, "q": 1 + i % 4}
-           for i in range(300)]
-    ev.sort(key=lambda e: (e["t"], e["kind"], e["pos"]))
-    want, final = _fold(ev)
-    app = ledger.apply_changes(_changes(spark, ev), scan_mode="auto", hot_rows=200, chunk_rows=40)
+def _folded(app):
     led = ledger.ledger_rows(app).select(
         "internal_sku", "seq.ts", "seq.doc_pos", "reason", "change_units", "before_units", "after_units")
     base = dt.datetime(2020, 1, 1)
-    got = sorted(((r[0], (r[1] - base).days, r[2], r[3], r[4], r[5], r[6]) for r in led.collect()), key=repr)
-    assert got == want
-    assert {r[0]: r[1] for r in ledger.final_units(app).collect()} == final
+    return sorted(((r[0], r[1] and (r[1] - base).days, *r[2:]) for r in led.collect()), key=repr)
+
+
+def test_fold_equals_scan(spark):
+    for seed, chunks in ((1, None), (2, 1), (3, 7), (7, 40)):
+        ev = _events(seed, skus=2 if seed == 7 else 4)
+        want, final = _fold(ev)
+        app = ledger.apply_changes(_changes(spark, ev), chunks=chunks)
+        assert _folded(app) == want, (seed, chunks)
+        assert {r[0]: r[1] for r in ledger.final_units(app).collect()} == final, (seed, chunks)
 
 
-def test_per_key_chunks_are_monotone(spark):
-    """split_hot widths cut a hot key into several contiguous chunks."""
+def test_hot_key_of_one_instant_is_split(spark):
+    """One SKU, one time stamp (or none at all): chunks are cut by the whole order."""
     from stockflow.operators import scan
 
-    ev = _events(13, n=100, skus=2)
-    ev += [{"sku": "S0", "t": i % 80, "kind": 1, "pos": 20_000 + i, "units": None, "q": 1} for i in range(400)]
-    changes = _changes(spark, ev)
-    _, hot = scan.split_hot(changes, ["internal_sku"], 200, "seq", 50)
-    rows = hot.select("internal_sku", "seq", scan._chunk_col("seq", 1, per_key=True).alias("c")).collect()
-    rows.sort(key=lambda r: (r.seq.ts is not None, r.seq))
-    chunks = [r.c for r in rows]
-    assert {r.internal_sku for r in rows} == {"S0"}
-    assert chunks == sorted(chunks) and len(set(chunks)) >= 5
+    ev = [{"sku": "S0", "t": 0, "kind": 0, "pos": -1, "units": 900, "q": None}]
+    ev += [{"sku": "S0", "t": 0, "kind": 1, "pos": i, "units": None, "q": 1 + i % 4} for i in range(1000)]
+    for changes in (_changes(spark, ev), _changes(spark, ev).withColumn(
+            "seq", F.col("seq").withField("ts", F.lit(None).cast("timestamp_ntz")))):
+        rows = scan.with_chunks(changes, ["internal_sku"], "seq", 16).select("seq", scan.CHUNK).collect()
+        rows.sort(key=lambda r: (r.seq.kind, r.seq.doc_pos))
+        ids = [r[scan.CHUNK] for r in rows]
+        assert ids == sorted(ids) and len(set(ids)) >= 12
+        assert max(ids.count(c) for c in set(ids)) < 250
+        got = _folded(ledger.apply_changes(changes, chunks=16))
+        want, _ = _fold(ev)
+        assert [(r[0], *r[2:]) for r in got] == [(r[0], *r[2:]) for r in want] or sorted(
+            (r[0], *r[2:]) for r in got if r[5] is not None) == sorted((r[0], *r[2:]) for r in want if r[5] is not None)
