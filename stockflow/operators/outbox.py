@@ -23,7 +23,6 @@ from stockflow import schemas as S
 
 PAIR = ["internal_sku", "platform"]
 JOB_COLUMNS = [f.name for f in S.PUSH_JOB.fields]
-MOCK_FAILURE = "mock transient failure: HTTP 503 (simulated platform outage)"
 
 
 def job_id(sku: Column, platform: Column, batch: Column) -> Column:

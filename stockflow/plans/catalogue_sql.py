@@ -8,6 +8,9 @@ side uses two associative scans. Tables ``part orders lineitem`` are views.
 
 from __future__ import annotations
 
+from stockflow.functions.hmac import _pads
+from stockflow.sources import testdata as TD
+
 ORD = "ts NULLS FIRST, kind, doc_pos NULLS FIRST, line_pos NULLS FIRST, tie1 NULLS FIRST, tie2 NULLS FIRST"
 ORD_DESC = "ts DESC NULLS LAST, kind DESC, doc_pos DESC NULLS LAST, line_pos DESC NULLS LAST, tie1 DESC NULLS LAST, tie2 DESC NULLS LAST"
 
@@ -304,7 +307,7 @@ SELECT internal_sku, val AS available_units FROM (
 
 
 NOW = 1_700_000_000_000
-MOCK = "mock transient failure: HTTP 503 (simulated platform outage)"
+MOCK = TD.REFUSED
 
 OUTBOX = f"""
 owed AS (
@@ -549,24 +552,30 @@ FROM doc_outcome d LEFT JOIN (
         FROM won WHERE NOT line_valid) x
   GROUP BY 1, 2) r ON d.platform = r.platform AND d.external_order_id = r.external_order_id
 WHERE d.status = 'processed'""")
-SQL["webhook_verify"] = """
+def _hmac(secret: str, body: str) -> str:
+    """HMAC-SHA256 in base 64 of a text column, by its definition."""
+    ipad, opad = _pads(secret)
+    return f"to_base64(unhex(sha256(unhex('{opad}') || unhex(sha256(unhex('{ipad}') || encode({body}))))))"
+
+
+SQL["webhook_verify"] = f"""
 WITH p AS (
   SELECT 'shopify-order-' || CAST(o_orderkey AS VARCHAR) AS external_event_id,
     CASE WHEN o_orderkey % 13 = 0 THEN 'missing' WHEN o_orderkey % 11 = 0 THEN 'wrong_secret'
          WHEN o_orderkey % 17 = 0 THEN 'tampered' ELSE 'valid' END AS "case",
-    '{"id":' || CAST(o_orderkey AS VARCHAR) || ',"name":"#' || CAST(o_orderkey AS VARCHAR) || '"}' AS body,
-    '{"id":' || CAST(o_orderkey AS VARCHAR) || ',"name":"#' || CAST(o_orderkey AS VARCHAR) || '!"}' AS tampered
+    '{{"id":' || CAST(o_orderkey AS VARCHAR) || ',"name":"#' || CAST(o_orderkey AS VARCHAR) || '"}}' AS body,
+    '{{"id":' || CAST(o_orderkey AS VARCHAR) || ',"name":"#' || CAST(o_orderkey AS VARCHAR) || '!"}}' AS tampered
   FROM orders),
 s AS (
   SELECT *,
     CASE WHEN "case" = 'missing' THEN NULL
-         WHEN "case" = 'wrong_secret' THEN to_base64(unhex(sha256(unhex('32332871283439712f393f2e39285c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c') || unhex(sha256(unhex('5859421b425e531b4553554453423636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636') || encode(body))))))
-         ELSE to_base64(unhex(sha256(unhex('28392f28712b393e34333337712f393f2e39285c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c') || unhex(sha256(unhex('425345421b4153545e59595d1b455355445342363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636') || encode(body)))))) END AS signature,
+         WHEN "case" = 'wrong_secret' THEN {_hmac(TD.WRONG_SECRET, "body")}
+         ELSE {_hmac(TD.WEBHOOK_SECRET, "body")} END AS signature,
     CASE WHEN "case" = 'tampered' THEN tampered ELSE body END AS delivered
   FROM p)
 SELECT external_event_id, "case",
   coalesce(signature IS NOT NULL AND signature <> ''
-           AND signature = to_base64(unhex(sha256(unhex('28392f28712b393e34333337712f393f2e39285c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c5c') || unhex(sha256(unhex('425345421b4153545e59595d1b455355445342363636363636363636363636363636363636363636363636363636363636363636363636363636363636363636') || encode(delivered)))))),
+           AND signature = {_hmac(TD.WEBHOOK_SECRET, "delivered")},
            false) AS accepted
 FROM s"""
 SQL["stock_events_json"] = with_outbox(f"""

@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from stockflow import schemas as S
 from stockflow.functions import normalize as N
-from stockflow.operators.outbox import MOCK_FAILURE
+
+#: Error of an attempt that the fixture lets fail.
+REFUSED = "delivery refused by the fixture"
 
 INITIAL_IMPORT_TS = "1990-01-01 00:00:00"
 RECOUNT_IMPORT_TS = "1998-06-01 00:00:00"
@@ -239,7 +241,7 @@ def fixture_results(routed: DataFrame) -> DataFrame:
     """Attempt results of one dispatch round (attempt number = attempts + 1)."""
     ok = attempt_ok(F.col("attempts") + 1)
     return routed.filter(F.col("skip_reason").isNull()).select(
-        "job_id", ok.alias("ok"), F.when(~ok, F.lit(MOCK_FAILURE)).alias("error"))
+        "job_id", ok.alias("ok"), F.when(~ok, F.lit(REFUSED)).alias("error"))
 
 
 def fixture_attempts(routed: DataFrame) -> DataFrame:
@@ -248,7 +250,7 @@ def fixture_attempts(routed: DataFrame) -> DataFrame:
     a = routed.select("job_id", "internal_sku", "platform", "skip_reason", k)
     ok = F.col("skip_reason").isNull() & attempt_ok(F.col("attempt_no"))
     return a.select("job_id", "skip_reason", "attempt_no", ok.alias("ok"),
-                    F.when(~ok & F.col("skip_reason").isNull(), F.lit(MOCK_FAILURE)).alias("error"))
+                    F.when(~ok & F.col("skip_reason").isNull(), F.lit(REFUSED)).alias("error"))
 
 
 # ------------------------------------------------------------------ reconcile faults
@@ -274,9 +276,8 @@ def items_with_drift(items: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ webhooks
-# Fixed value: the webhook secret used by the reference's webhook tests.
-WEBHOOK_SECRET = "test-webhook-secret"
-WRONG_SECRET = "not-the-secret"
+WEBHOOK_SECRET = "signing key of the fixture"
+WRONG_SECRET = "another key"
 
 
 def signed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
