@@ -7,15 +7,18 @@
    is valid). A document emits the prefix of its shingles in that order:
    sets with Jaccard >= t share a shingle within both prefixes.
 3. Classes that share a prefix shingle are candidates, pruned by the length,
-   positional and suffix filters. The suffix filter compares 256 parity
-   cells of the hash space: every differing shingle flips one cell, so the
-   number of differing cells never exceeds the symmetric difference.
+   positional and suffix filters. The suffix filter compares parity cells of
+   the hash space (256 in the join, about one per shingle before the
+   verification): every differing shingle flips one cell, so the number of
+   differing cells never exceeds the symmetric difference.
 4. Each candidate pair is verified once on the whole sets.
 
+Shingles are 64-bit hashes; only prefix shingles of two or more classes go
+through the join (a filter of fixed size keeps most others back).
+
 Groups of near copies hold a number of links that is quadratic in their
 size. For components they need not all be listed: first every class is
-verified against one partner (the most frequent smallest class of its
-groups) and components are formed; then only candidates in *different*
+verified against one partner (the most popular class it meets) and components are formed; then only candidates in *different*
 components are tested, all of them, leaving out the largest component of
 each group on one side. No link between different components is lost, and a
 group that has become one component makes no more pairs. With
@@ -32,15 +35,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from stockflow.llm import bloom
 from stockflow.llm.common import cut, python_path
 from stockflow.llm.components import components
 
-#: Cells of the shingle count sketch and bits of the filter of wanted sets:
-#: both are of fixed size whatever the input, as they pass the driver.
-SKETCH_BITS, BLOOM_BITS = 18, 23
+#: Cells of the shingle count sketch, bits of the filters of documents and of
+#: shared prefix shingles: of fixed size whatever the input, as they pass the driver.
+SKETCH_BITS, BLOOM_BITS, SHARED_BITS = 18, 23, 25
 NO_ID = (1 << 63) - 1
 
 
@@ -65,16 +70,22 @@ def _class_key(s) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _signature(s):
-    """256 parity cells of a set as four longs: a cell is odd if an odd number
-    of shingles fall into it."""
+def _cells(s, cells: int):
+    """Parities as longs: cell i is odd if an odd number of shingles fall into it."""
     import numpy as np
 
-    odd = np.bincount((s >> np.uint64(8)).astype(np.int64) & 255, minlength=256).astype(np.uint8) & 1
+    odd = np.bincount((s >> np.uint64(8)).astype(np.int64) & (cells - 1), minlength=cells).astype(np.uint8) & 1
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-_PROFILE = "did long, n long, c long, s0 long, s1 long, s2 long, s3 long, cell int"
+def _signature(s):
+    """Parity cells, about as many as shingles (a power of two from 256 to
+    65,536), so that they tell near from not so near at any size."""
+    return _cells(s, min(max(256, 1 << (len(s) - 1).bit_length() if len(s) else 0), 65536))
+
+
+#: A signature of 256 cells for the join itself, and the full one.
+_PROFILE = "did long, n long, c long, s0 long, s1 long, s2 long, s3 long, sig array<long>, cell int"
 
 
 def profile(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> DataFrame:
@@ -88,25 +99,27 @@ def profile(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> Data
         from stockflow.llm import shingling as S
 
         names = [f.split()[0] for f in _PROFILE.split(", ")]
-        ws, cells = S.weights(spec.k), np.zeros(1 << SKETCH_BITS, np.int64)
+        cells = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            n, c, sig = [], [], []
+            n, c, short, sig = [], [], [], []
             for text in batch.column(1):
-                s = S.shingle_set(text.as_py(), spec.k, ws, spec.lower)
+                s = S.shingle_set(S.utf8(text), spec.k, spec.lower)
                 n.append(len(s))
                 c.append(_class_key(s))
+                short.append(_cells(s, 256))
                 sig.append(_signature(s))
                 np.add.at(cells, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
             if n:
-                sig = np.stack(sig)
+                short = np.stack(short)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sig)]), pa.int32()), pa.array(np.concatenate(sig)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), *(pa.array(sig[:, i].copy()) for i in range(4)),
-                     pa.nulls(len(n), pa.int32())], names)
+                    [batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), *(pa.array(short[:, i].copy()) for i in range(4)),
+                     lists, pa.nulls(len(n), pa.int32())], names)
         used = np.flatnonzero(cells)
         for i in range(0, len(used), 65536):
             part = used[i:i + 65536]
             none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(cells[part]), none, none, none, none, none, pa.array(part, pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([none, pa.array(cells[part]), none, none, none, none, none, pa.nulls(len(part), pa.list_(pa.int64())), pa.array(part, pa.int32())], names)
 
     return _scan(docs, id_col, text_col).mapInArrow(run, _PROFILE)
 
@@ -118,8 +131,10 @@ def _order(s, counts):
     return np.lexsort((s, counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
 
 
-def prefixes(docs: DataFrame, spec: JoinSpec, counts, id_col: str, text_col: str) -> DataFrame:
-    """``h, c, n, pos``: the prefix shingles of every document, rare first."""
+def prefixes(docs: DataFrame, spec: JoinSpec, counts, known, id_col: str, text_col: str, shared=None) -> DataFrame:
+    """``h, c, n, pos``: the prefix shingles, rare first, of one document of
+    each class (``known``: filter of their keys; false hits are copies that
+    add rows equal to others). With ``shared``, only shingles it lets through."""
 
     def run(batches):
         import numpy as np
@@ -127,31 +142,29 @@ def prefixes(docs: DataFrame, spec: JoinSpec, counts, id_col: str, text_col: str
 
         from stockflow.llm import shingling as S
 
-        ws, seen = S.weights(spec.k), counts.value
+        seen = counts.value
         for batch in batches:
-            hs, cs, ns, ps = [], [], [], []
+            out, held = [], 0
 
             def rows():
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x).astype(t)) for x, t in ((hs, np.int64), (cs, np.int64), (ns, np.int32), (ps, np.int32))],
-                    ["h", "c", "n", "pos"])
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["h", "c", "n", "pos"])
 
-            held = 0
-            for text in batch.column(1):
-                s = S.shingle_set(text.as_py(), spec.k, ws, spec.lower)
-                n = len(s)
-                if not n:
+            for did, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = S.shingle_set(S.utf8(text), spec.k, spec.lower)
+                n, c = len(s), _class_key(s)
+                if not n or not bloom.hits(known.value, np.array([c ^ did]).view(np.uint64), BLOOM_BITS)[0]:
                     continue
                 p = n - -(-spec.percent * n // 100) + 1
-                hs.append(s[_order(s, seen)[:p]].view(np.int64))
-                cs.append(np.full(p, _class_key(s), np.int64))
-                ns.append(np.full(p, n, np.int32))
-                ps.append(np.arange(p, dtype=np.int32))
-                held += p
+                h, pos = s[_order(s, seen)[:p]], np.arange(p, dtype=np.int32)
+                if shared is not None:
+                    hit = bloom.hits(shared.value, h, SHARED_BITS)
+                    h, pos = h[hit], pos[hit]
+                out.append((h.view(np.int64), np.full(len(h), c, np.int64), np.full(len(h), n, np.int32), pos))
+                held += len(h)
                 if held > 500_000:
                     yield rows()
-                    hs, cs, ns, ps, held = [], [], [], [], 0
-            if held:
+                    out, held = [], 0
+            if out:
                 yield rows()
 
     return _scan(docs, id_col, text_col).mapInArrow(run, "h long, c long, n int, pos int")
@@ -170,7 +183,7 @@ def sets_of(docs: DataFrame, spec: JoinSpec, ids: DataFrame, id_col: str, text_c
 
         from stockflow.llm import shingling as S
 
-        ws, filled = S.weights(spec.k), wanted.value
+        filled = wanted.value
         for batch in batches:
             dids, cs, out, held = [], [], [], 0
 
@@ -180,7 +193,7 @@ def sets_of(docs: DataFrame, spec: JoinSpec, ids: DataFrame, id_col: str, text_c
                 return pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(dids, pa.int64()), lists], ["c", "did", "s"])
 
             for did, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = S.shingle_set(text.as_py(), spec.k, ws, spec.lower)
+                s = S.shingle_set(S.utf8(text), spec.k, spec.lower)
                 c = _class_key(s)
                 if not len(s) or not bloom.hits(filled, np.array([c ^ did]).view(np.uint64), BLOOM_BITS)[0]:
                     continue
@@ -220,9 +233,19 @@ def suffix_filter(spec: JoinSpec, x: str, y: str) -> Column:
     return apart <= n - 2 * _need(spec, F.col(f"{x}.n"), F.col(f"{y}.n"))
 
 
+def full_suffix_filter(spec: JoinSpec, x: str, y: str) -> Column:
+    """The same on the full signatures; of two sizes the larger is folded."""
+    few, many = (F.when((F.size(f"{x}.sig") <= F.size(f"{y}.sig")) == flag, F.col(f"{x}.sig")).otherwise(F.col(f"{y}.sig")) for flag in (True, False))
+    apart = F.aggregate(F.sequence(F.lit(0), F.size(few) - 1), F.lit(0), lambda a, j: a + F.bit_count(
+        F.get(few, j).bitwiseXOR(F.get(many, j)).bitwiseXOR(F.when(F.size(many) > F.size(few), F.get(many, j + F.size(few))).otherwise(F.lit(0)))))
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    # Sizes further apart than twofold are left to the verification.
+    return (F.size(many) > 2 * F.size(few)) | (apart <= n - 2 * _need(spec, F.col(f"{x}.n"), F.col(f"{y}.n")))
+
+
 @dataclass(frozen=True)
 class Joined:
-    """``members`` (did, n, c), ``classes`` (c, did, n, docs, s0..s3) and
+    """``members`` (did, n, c), ``classes`` (c, did, n, docs, signatures) and
     ``links`` (a, b, common) between class keys."""
     members: DataFrame
     classes: DataFrame
@@ -233,7 +256,7 @@ def verify(docs: DataFrame, spec: JoinSpec, pairs: DataFrame, classes: DataFrame
     """Links among distinct pairs ``a, b`` of class keys, each checked once on whole sets."""
     x, y = classes.alias("x"), classes.alias("y")
     p = pairs.join(x, F.col("a") == F.col("x.c")).join(y, F.col("b") == F.col("y.c"))
-    p = p.where(length_filter(spec, F.col("x.n"), F.col("y.n")) & suffix_filter(spec, "x", "y"))
+    p = p.where(length_filter(spec, F.col("x.n"), F.col("y.n")) & full_suffix_filter(spec, "x", "y"))
     p = cut(p.select("a", "b", F.col("x.did").alias("a_did"), F.col("y.did").alias("b_did")), "join-pairs")
     ids = p.select(F.col("a").alias("c"), F.col("a_did").alias("did")).unionAll(p.select(F.col("b").alias("c"), F.col("b_did").alias("did")))
     sets = cut(sets_of(docs, spec, ids, id_col, text_col), "join-sets")
@@ -244,6 +267,20 @@ def verify(docs: DataFrame, spec: JoinSpec, pairs: DataFrame, classes: DataFrame
     return v.where(F.col("common") * 100 >= (F.col("both") - F.col("common")) * spec.percent).select("a", "b", "common").distinct()
 
 
+def stars(shared: DataFrame) -> DataFrame:
+    """For every class the one partner ``b`` it is verified against first: of
+    the centres of its prefix shingles the one it meets most often. The centre
+    of a shingle is its most popular class, by the classes met over all its
+    prefix shingles; in a group of near copies that is the least edited one."""
+    sizes = shared.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+    popular = shared.select("h", "c").join(sizes, "h").groupBy("c").agg(F.sum("size").alias("popular"))
+    rows = shared.select("h", "c").join(popular, "c")
+    centre = rows.groupBy("h").agg(F.max(F.struct("popular", "c")).alias("m")).select("h", F.col("m.c").alias("b"), F.col("m.popular").alias("p"))
+    met = shared.select("h", "c").join(centre, "h").where(F.col("c") != F.col("b"))
+    met = met.groupBy("c", "b").agg(F.count(F.lit(1)).alias("k"), F.max("p").alias("p"))
+    return met.groupBy("c").agg(F.max(F.struct("k", "p", "b")).alias("best")).select(F.col("c").alias("a"), F.col("best.b").alias("b"))
+
+
 def ngram_join(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text",
                connected_only: bool = True) -> Joined:
     """Classes of equal sets and links between similar classes."""
@@ -252,21 +289,20 @@ def ngram_join(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "d
     seen = cut(profile(docs, spec, id_col, text_col), "join-profile")
     members = seen.where(F.col("cell").isNull()).drop("cell")
     classes = cut(members.where("n > 0").groupBy("c").agg(
-        F.min("did").alias("did"), F.count(F.lit(1)).alias("docs"), *[F.first(x).alias(x) for x in ("n", "s0", "s1", "s2", "s3")]), "join-classes")
+        F.min("did").alias("did"), F.count(F.lit(1)).alias("docs"), *[F.first(x).alias(x) for x in ("n", "s0", "s1", "s2", "s3", "sig")]), "join-classes")
     cells = seen.where(F.col("cell").isNotNull()).groupBy("cell").agg(F.sum("n").alias("n"))
     counts = docs.sparkSession.sparkContext.broadcast(bloom.fixed_array(cells, 1 << SKETCH_BITS, np.int64))
 
-    pre = cut(prefixes(docs, spec, counts, id_col, text_col), "join-prefixes")
-    groups = pre.groupBy("h").agg(F.min(F.struct("c", "n")).alias("first"), F.max("c").alias("last"))
-    groups = groups.where(F.col("first.c") < F.col("last")).select("h", "first")
-    shared = cut(pre.join(groups, "h"), "join-shared")
+    known = docs.sparkSession.sparkContext.broadcast(bloom.build(classes, F.col("c").bitwiseXOR(F.col("did")), BLOOM_BITS))
+    groups = prefixes(docs, spec, counts, known, id_col, text_col).groupBy("h").agg(F.min("c").alias("first"), F.max("c").alias("last"))
+    groups = cut(groups.where("first < last").select("h"), "join-groups")
+    several = docs.sparkSession.sparkContext.broadcast(bloom.build(groups, F.col("h"), SHARED_BITS))
+    shared = cut(prefixes(docs, spec, counts, known, id_col, text_col, several).join(groups, "h"), "join-shared")
 
     found = None
     comp = F.col("c")
     if connected_only:
-        star = shared.where((F.col("c") != F.col("first.c")) & length_filter(spec, F.col("n"), F.col("first.n")))
-        star = star.groupBy("c", F.col("first.c").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-        star = star.groupBy("c").agg(F.max(F.struct("k", "b")).alias("best")).select(F.col("c").alias("a"), F.col("best.b").alias("b"))
+        star = stars(shared)
         found = cut(verify(docs, spec, star, classes, id_col, text_col), "join-links")
         roots = components(found).withColumnRenamed("node", "c")
         shared = shared.join(roots, "c", "left")
@@ -278,9 +314,9 @@ def ngram_join(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "d
     largest = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"))
     rows = rows.join(largest.select("h", F.col("m.comp").alias("main")), "h").join(classes.select("c", "s0", "s1", "s2", "s3"), "c")
     rows = cut(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / min(spec.percent, 99))))), "join-rows")
-    x = rows.where("comp != main").alias("x")
     # Similar sizes lie in the same band or in neighbours.
-    y = rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("y")
+    x = rows.where("comp != main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
+    y = rows.alias("y")
     c = F.col
     pairs = x.join(y, (c("x.h") == c("y.h")) & (c("x.band") == c("y.band")) & (c("x.comp") != c("y.comp"))
                    & ((c("y.comp") == c("y.main")) | (c("x.c") < c("y.c")))
@@ -292,21 +328,58 @@ def ngram_join(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "d
     return Joined(members, classes, links)
 
 
-def component_ids(joined: Joined) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, class_docs``
-    (rows with an equal set) and ``class_links`` (links of its class that were
-    verified). ``component_id`` is the smallest id reachable."""
+def _with_components(joined: Joined) -> DataFrame:
+    """``did, n, c, component, docs, class_links`` per document; the last
+    three are null for classes of one document without links."""
     roots = components(joined.links).withColumnRenamed("node", "c")
     ends = joined.links.select(F.col("a").alias("c")).unionAll(joined.links.select(F.col("b").alias("c")))
     degree = ends.groupBy("c").agg(F.count(F.lit(1)).alias("class_links"))
-    # Classes of one document without links need no row: they are their own component.
     of = joined.classes.select("c", "did", "docs").join(roots, "c", "left").join(degree, "c", "left")
     of = cut(of.where((F.col("docs") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "c")), "join-roots")
     least = of.groupBy("root").agg(F.min("did").alias("component"))
     of = of.join(least, "root").select("c", "component", "docs", "class_links")
     m = joined.members.select("did", "n", F.when(F.col("n") > 0, F.col("c")).alias("c"))
-    m = m.join(of, "c", "left")
+    return m.join(of, "c", "left")
+
+
+def component_ids(joined: Joined) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, class_docs``
+    (rows with an equal set) and ``class_links`` (links of its class that were
+    verified). ``component_id`` is the smallest id reachable."""
     back = lambda x: F.when(x != NO_ID, x)
-    return m.select(back(F.col("did")).alias("doc_id"), F.col("n").alias("n_shingles"),
-                    back(F.coalesce("component", "did")).alias("component_id"),
-                    F.coalesce("docs", F.lit(1)).alias("class_docs"), F.coalesce("class_links", F.lit(0)).alias("class_links"))
+    return _with_components(joined).select(
+        back(F.col("did")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("component", "did")).alias("component_id"),
+        F.coalesce("docs", F.lit(1)).alias("class_docs"), F.coalesce("class_links", F.lit(0)).alias("class_links"))
+
+
+def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest
+    id (of rows repeating that id and set, one). Documents without words all
+    stay. Rows that a filter of fixed size knows to be unaffected pass
+    straight through; only the others are joined."""
+    m = _with_components(ngram_join(docs, spec, id_col=id_col, text_col=text_col)).where("n > 0")
+    marks = m.groupBy("did", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.coalesce("component", "did")).alias("component"))
+    marks = cut(marks.where((F.col("k") > 1) | (F.col("component") != F.col("did"))).select(
+        F.col("did").alias("_did"), F.col("c").alias("_c"), (F.col("component") != F.col("did")).alias("_drop")), "join-marks")
+    filled = bloom.build(marks, F.col("_c").bitwiseXOR(F.col("_did")), BLOOM_BITS)
+    filled = docs.sparkSession.sparkContext.broadcast(filled)
+    names, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from stockflow.llm import shingling as S
+
+        for batch in batches:
+            c = np.array([_class_key(S.shingle_set(S.utf8(t), spec.k, spec.lower)) for t in batch.column(at)], np.int64)
+            hit = bloom.hits(filled.value, (c ^ batch.column(len(names)).to_numpy()).view(np.uint64), BLOOM_BITS)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c), pa.array(hit)], [*names, "_did", "_c", "_hit"])
+
+    python_path(docs.sparkSession)
+    schema = StructType([*docs.schema, StructField("_did", LongType()), StructField("_c", LongType()), StructField("_hit", BooleanType())])
+    seen = docs.withColumn("_did", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).mapInArrow(run, schema)
+    held = seen.where("_hit").join(marks, ["_did", "_c"], "left")
+    place = F.row_number().over(W.partitionBy("_did", "_c").orderBy(F.xxhash64(text_col)))
+    held = held.withColumn("_place", place).where(F.col("_drop").isNull() | (~F.col("_drop") & (F.col("_place") == 1)))
+    return seen.where("NOT _hit").select(*names).unionAll(held.select(*names))
