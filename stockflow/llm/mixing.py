@@ -69,7 +69,7 @@ def balance(hist: DataFrame, targets: DataFrame, cap: float = 2.0, tolerance: fl
     at the cap, empty source). Sums are decimals, hence independent of the
     order of rows: reruns give the same multipliers bit for bit.
     """
-    ratio = F.col("target") / F.col("source_size")
+    ratio = F.try_divide(F.col("target"), F.col("source_size"))
     s = targets.withColumn("scale", F.greatest(F.col("source_size") / F.col("docs"), F.lit(1e-9)))
     s = s.withColumn("fixed", F.when(F.col("source_size") == 0, F.lit(1.0)).when(F.col("target") <= 0, F.lit(0.0))
                      .when(F.col("target") >= F.col("source_size") * (cap * (1 - 1e-12)), F.lit(float(cap))))

@@ -14,4 +14,49 @@ SQL: dict[str, str] = {
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first THEN first END AS refers_to
         FROM d JOIN f USING (h)""",
+    "op4_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (
+            SELECT *, length(regexp_replace(text, '([<\[])(\\*)(\|im_start\|>|\|im_sep\|>|\|im_end\|>|/?s>|/?INST\]|</?SYS>>|\|endoftext\|>)', '\1\\\2\3', 'g')) AS chars,
+                   (lag(role) OVER o IS DISTINCT FROM role OR row_number() OVER o = 1)::INT AS starts
+            FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               -- marks: <|im_start|>, role, line feed, <|im_end|>, line feed for a block; <|im_sep|> within one
+               (sum(chars) + sum(starts * (24 + length(role))) + 10 * (count(*) - sum(starts)))::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
+    "op8_quality_cascade": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents),
+        w AS (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+        win AS (
+            SELECT id, i, CASE WHEN lead(word, 7) OVER o IS NOT NULL THEN
+                list(word) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) END AS k,
+                (lead(word) OVER o = word)::INT AS same
+            FROM w WINDOW o AS (PARTITION BY id ORDER BY i)),
+        again AS (SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, k) AS n FROM win WHERE k IS NOT NULL) WHERE n > 1),
+        rep AS (SELECT id, count(DISTINCT p) AS n FROM (SELECT id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY id),
+        adj AS (SELECT id, sum(same) AS n FROM win GROUP BY id),
+        m AS (
+            SELECT doc_id, text, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+                   len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+                   (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+                   coalesce(adj.n, 0) AS adjacent, len(regexp_extract_all(text, '[^\n]+')) AS full_lines,
+                   len(regexp_extract_all(text, '\p{L}')) AS letters, len(regexp_extract_all(text, '(?m)(\.\.\.|…)\s*$')) AS ellipses,
+                   len(regexp_extract_all(text, '(?m)^\s*[-*•]')) AS bullets
+            FROM d LEFT JOIN rep USING (id) LEFT JOIN adj USING (id)),
+        b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR n_symbols * 10 > n_words
+                    OR n_dup_lines * 2 > full_lines OR adjacent * 10 > 3 * n_words OR letters * 10 < 6 * word_chars
+                    OR ellipses * 10 > 3 * full_lines OR bullets * 10 > 9 * full_lines) AS kept
+        FROM b""",
 }
