@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import bpe, chat, imatch, mixing, ngram_join, pii, quality, substring_dedup, warc
+from stockflow.llm import bpe, chat, imatch, mixing, ngram_join, pii, quality, substring_dedup, toxicity, warc
 from stockflow.llm.common import scratch
 
 
@@ -61,6 +61,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, chain, keep=["doc_id"])
+    toxic = toxicity.is_in(chain, "toxic")
+    return scored.select("doc_id", "p_low_quality", "p_toxic", toxic.alias("toxic"), (~toxic).alias("kept"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -87,6 +95,7 @@ QUERIES = {
     "op3_feistel_pii": op3_feistel_pii,
     "op4_chat_format": op4_chat_format,
     "op5_warc": op5_warc,
+    "op6_toxicity_chain": op6_toxicity_chain,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_cascade": op8_quality_cascade,
     "op9_ngram_join": op9_ngram_join,
