@@ -38,8 +38,10 @@ from stockflow.llm.common import python_path
 
 #: The published pre-token pattern of the byte-level scheme (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries a worker caches before it starts anew, bytes up to which pre-tokens are cached, and ids a yielded slice holds at most (one document may exceed it).
-CACHE_ENTRIES, CACHE_BYTES, SLICE_IDS = 300_000, 64, 2_000_000
+#: Pre-tokens a worker caches before it starts anew, length up to which they are cached, and ids a yielded slice holds at most (one document may exceed it).
+CACHE_ENTRIES, CACHE_BYTES, SLICE_IDS = 500_000, 48, 1_000_000
+#: Texts below this code point go through the standard regular expressions.
+LOW = 0x250
 #: Fragments longer than this are merged with a heap.
 LONG = 48
 
@@ -52,49 +54,75 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-def odd_classes(path: str) -> dict[int, str]:
-    """Code points whose class (letter, number, space, other) the library's
-    engine sees differently from the regex module, with a stand-in of that class."""
+def char_classes(path: str) -> tuple[dict[str, str], dict[int, str]]:
+    """How the library's engine classes characters: the letters, numbers and
+    spaces below LOW, and for code points above that the regex module sees
+    differently a stand-in of the same class."""
     import regex
     from tokenizers import Tokenizer
 
     split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-    points = [c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
-    mine = regex.compile(r"(\p{L})|(\p{N})|(\s)|(.)", regex.DOTALL)
-    text = "".join(map(chr, points))
-    own = [m.lastindex for m in mine.finditer(text)]
-    theirs = [3] * len(points)
-    # In "aXaX..." a pre-token starts at X unless X is a letter; likewise for "1X1X..." and "!X!X...".
-    marks = {1: "a", 2: "1", 4: "!"}
-    for k, mark in marks.items():
-        starts = {start for _, (start, _end) in split(mark + mark.join(map(chr, points)))}
-        for i in range(len(points)):
-            if 2 * i + 1 not in starts:
-                theirs[i] = k
-    return {c: marks.get(k, "\t") for c, k, m in zip(points, theirs, own, strict=True) if k != m}
+    marks = {"L": "a", "N": "1", "S": "\t", "O": "!"}
+
+    def one_class(run: str, kind: str) -> bool:
+        # After a mark of its class, a run of one class stays in one pre-token.
+        return len(split(marks[kind] + run)) == 1
+
+    low = {k: "".join(c for c in map(chr, range(LOW)) if c != " " and one_class(c, k)) for k in "LNS"}
+    low["S"] += " "
+    odd: dict[int, str] = {}
+    points = "".join(chr(c) for c in range(LOW, 0x110000) if not 0xD800 <= c < 0xE000)
+    for m in regex.finditer(r"(?P<L>\p{L}+)|(?P<N>\p{N}+)|(?P<S>\s+)|(?P<O>[^\p{L}\p{N}\s]+)", points):
+        runs = [m[0][i:i + 512] for i in range(0, len(m[0]), 512)]
+        for c in (c for run in runs if not one_class(run, m.lastgroup) for c in run):
+            kind = next(k for k in marks if one_class(c, k))
+            if kind != m.lastgroup:
+                odd[ord(c)] = marks[kind]
+    return low, odd
+
+
+class PreTokens(dict):
+    """Ids of pre-tokens, computed on first use and kept up to a bound."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        ids = self.model.pre_token(token)
+        if len(token) <= CACHE_BYTES:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[token] = ids
+        return ids
 
 
 class Model:
     """Vocabulary, merges and certain cuts of one tokenizer file."""
 
-    def __init__(self, vocab: list[bytes], merges: list[tuple[int, int, int]], special: dict[str, int], odd: dict[int, str]):
+    def __init__(self, vocab: list[bytes], merges: list[tuple[int, int, int]], special: dict[str, int], low: dict[str, str], odd: dict[int, str]):
         import regex
 
         self.vocab, self.special, self.odd = vocab, special, odd
-        self.find = regex.compile(PATTERN).findall
         self.find_iter = regex.compile(PATTERN).finditer
-        self.odd_chars = re.compile("[" + "".join(re.escape(chr(c)) for c in odd) + "]") if odd else None
+        self.find = regex.compile(PATTERN).findall
+        # Texts of low characters only go through the faster engine, with the classes spelled out.
+        spelled = PATTERN.replace(r"[^\s\p{L}\p{N}]", "[^LNS]").replace(r"\p{L}", "[L]").replace(r"\p{N}", "[N]").replace(r"\s", "[S]").replace(r"\S", "[^S]")
+        self.find_low = re.compile(re.sub(r"(?<=[\[^LN])[LNS]", lambda m: re.escape(low[m[0]]), spelled)).findall
+        self.high = re.compile(f"[{chr(LOW)}-\U0010ffff]").search
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.rank = {(a, b): (r, c) for r, (a, b, c) in enumerate(merges)}
+        ints = list(range(max(len(vocab), 256)))  # shared objects, so that cached ids take no memory of their own
+        self.rank = {a << 20 | b: r for r, (a, b, _) in enumerate(merges)}
+        self.made = [ints[c] for *_, c in merges]
         self.byte_id = [0] * 256
         inside = bytearray(65536)
         for i, token in enumerate(vocab):
             if len(token) == 1:
-                self.byte_id[token[0]] = i
+                self.byte_id[token[0]] = ints[i]
             for a, b in pairwise(token):
                 inside[a << 8 | b] = 1
         self.inside = bytes(inside)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache = PreTokens(self)
         self.fragments: dict[bytes, tuple[int, ...]] = {}
 
     def cuts(self, data: bytes) -> list[bytes]:
@@ -108,79 +136,69 @@ class Model:
         return out
 
     def merge(self, data: bytes) -> list[int]:
-        """Ids of one fragment: the best-ranked pair is merged until none is left."""
+        """Ids of one fragment: the best-ranked pair, leftmost first, is merged until none is left."""
         ids = [self.byte_id[b] for b in data]
         if len(ids) > LONG:
             return self.merge_long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best = min((rank[p] for p in pairwise(ids) if p in rank), default=None)
-            if best is None:
-                break
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and rank.get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        get, made, none = self.rank.get, self.made, len(self.rank)
+        ranks = [get(a << 20 | b, none) for a, b in pairwise(ids)]
+        while ranks and (best := min(ranks)) != none:
+            i = ranks.index(best)
+            ids[i] = made[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same in O(n log n): a heap of (rank, place) over a linked list."""
-        rank, n = self.rank, len(ids)
+        get, n = self.rank.get, len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(rank[p][0], i, p) for i, p in enumerate(pairwise(ids)) if p in rank]
+        heap = [(r, i) for i, (a, b) in enumerate(pairwise(ids)) if (r := get(a << 20 | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            rank, i = heapq.heappop(heap)
             j = after[i] if ids[i] >= 0 else -1
-            if j < 0 or (ids[i], ids[j]) != pair:
+            if j < 0 or get(ids[i] << 20 | ids[j]) != rank:
                 continue
-            ids[i], ids[j] = rank[pair][1], -1
+            ids[i], ids[j] = self.made[rank], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (p := (ids[a], ids[b])) in rank:
-                    heapq.heappush(heap, (rank[p][0], a, p))
+                if a >= 0 and b >= 0 and (r := get(ids[a] << 20 | ids[b])) is not None:
+                    heapq.heappush(heap, (r, a))
         return [i for i in ids if i >= 0]
 
     def pre_token(self, token: str) -> tuple[int, ...]:
+        pieces = self.cuts(token.encode())
+        if len(pieces) == 1:
+            return tuple(self.merge(pieces[0]))
         out: list[int] = []
-        fragments = self.fragments
-        for piece in self.cuts(token.encode()):
-            ids = fragments.get(piece)
+        for piece in pieces:
+            ids = self.fragments.get(piece)
             if ids is None:
                 ids = tuple(self.merge(piece))
                 if len(piece) <= CACHE_BYTES:
-                    if len(fragments) >= CACHE_ENTRIES:
-                        fragments.clear()
-                    fragments[piece] = ids
+                    if len(self.fragments) >= CACHE_ENTRIES // 4:
+                        self.fragments.clear()
+                    self.fragments[piece] = ids
             out += ids
         return tuple(out)
 
     def split(self, text: str) -> list[str]:
-        if self.odd_chars and self.odd_chars.search(text):
-            return [text[m.start():m.end()] for m in self.find_iter(text.translate(self.odd))]
-        return self.find(text)
+        if not self.high(text):
+            return self.find_low(text)
+        if self.odd.keys().isdisjoint(map(ord, text)):
+            return self.find(text)
+        return [text[m.start():m.end()] for m in self.find_iter(text.translate(self.odd))]
 
     def encode(self, text: str) -> Iterator[int]:
         parts = self.specials.split(text) if self.specials else [text]
         return chain.from_iterable(
-            (self.special[p],) if i % 2 else chain.from_iterable(map(self.lookup, self.split(p))) for i, p in enumerate(parts))
-
-    def lookup(self, token: str) -> tuple[int, ...]:
-        ids = self.cache.get(token)
-        if ids is None:
-            ids = self.pre_token(token)
-            if len(token) <= CACHE_BYTES:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[token] = ids
-        return ids
+            (self.special[p],) if i % 2 else chain.from_iterable(map(self.cache.__getitem__, self.split(p))) for i, p in enumerate(parts))
 
     def decode(self, ids: list[int]) -> str:
         vocab, n = self.vocab, len(self.vocab)
@@ -208,11 +226,11 @@ def read_tokenizer(path: str) -> tuple:
     for pair in spec["model"]["merges"]:
         a, b = pair.split(" ") if isinstance(pair, str) else pair
         merges.append((ids[a], ids[b], ids[a + b]))
-    return vocab, merges, special, odd_classes(path)
+    return vocab, merges, special, *char_classes(path)
 
 
 _SHIPPED: dict[tuple[str, str], object] = {}
-_MODELS: dict[int, Model] = {}
+_MODELS: dict[object, Model] = {}
 
 
 def _ship(spark: SparkSession, path: str):
@@ -225,11 +243,12 @@ def _ship(spark: SparkSession, path: str):
 
 
 def _model(shipped) -> Model:
-    """The model of this worker process, built once from the broadcast."""
-    if id(shipped.value) not in _MODELS:
+    """The model of this worker process, kept from task to task."""
+    key = shipped._path if hasattr(shipped, "_path") else id(shipped)
+    if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[id(shipped.value)] = Model(*shipped.value)
-    return _MODELS[id(shipped.value)]
+        _MODELS[key] = Model(*shipped.value)
+    return _MODELS[key]
 
 
 def _schema(df: DataFrame, keep: list[str], out: StructField) -> StructType:
