@@ -32,6 +32,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -313,8 +314,9 @@ def ngram_join(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "d
     rows = cut(rows.join(several, "h").distinct(), "join-rows")
     largest = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"))
     rows = rows.join(largest.select("h", F.col("m.comp").alias("main")), "h").join(classes.select("c", "s0", "s1", "s2", "s3"), "c")
-    rows = cut(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / min(spec.percent, 99))))), "join-rows")
-    # Similar sizes lie in the same band or in neighbours.
+    # Similar sizes lie in the same band or in neighbours (bands a little wider than the least ratio, for rounding).
+    width = 1.000001 * math.log(100.0 / min(spec.percent, 99))
+    rows = cut(rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width)), "join-rows")
     x = rows.where("comp != main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
     y = rows.alias("y")
     c = F.col
