@@ -34,12 +34,12 @@ from itertools import chain, pairwise
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from stockflow.llm.common import python_path
+from stockflow.llm.common import python_path, settled
 
 #: The published pre-token pattern of the byte-level scheme (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens a worker caches before it starts anew, length up to which they are cached, and ids a yielded slice holds at most (one document may exceed it).
-CACHE_ENTRIES, CACHE_BYTES, SLICE_IDS = 500_000, 48, 1_000_000
+CACHE_ENTRIES, CACHE_BYTES, SLICE_IDS = 250_000, 48, 1_000_000
 #: Texts below this code point go through the standard regular expressions.
 LOW = 0x250
 #: Fragments longer than this are merged with a heap.
@@ -280,7 +280,7 @@ def encode(df: DataFrame, path: str, *, text_col: str = "text", keep: list[str],
                     flat, ends, start = [], [0], row + 1
 
     schema = _schema(df, keep, StructField(out_col, ArrayType(IntegerType())))
-    return df.select(*[df[c] for c in keep], df[text_col].alias("_text")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], df[text_col].alias("_text")).mapInArrow(settled(run), schema)
 
 
 def decode(df: DataFrame, path: str, *, ids_col: str = "ids", keep: list[str], out_col: str = "text") -> DataFrame:
@@ -302,4 +302,4 @@ def decode(df: DataFrame, path: str, *, ids_col: str = "ids", keep: list[str], o
 
     ids = F.coalesce(df[ids_col], F.array().cast("array<int>"))
     schema = _schema(df, keep, StructField(out_col, StringType()))
-    return df.select(*[df[c] for c in keep], ids.alias("_ids")).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], ids.alias("_ids")).mapInArrow(settled(run), schema)

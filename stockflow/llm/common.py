@@ -70,9 +70,11 @@ def null_key(c: Column) -> Column:
 
 
 def python_path(spark: SparkSession) -> None:
-    """Let local Python workers import this package as the driver does.
+    """Prepare a session for this package's Python tasks.
 
-    On a cluster the package is shipped with ``--py-files`` as usual.
+    Local Python workers can import the package as the driver does (on a
+    cluster it is shipped with ``--py-files`` as usual). Texts are large rows:
+    unless the user has set a batch size, Arrow batches hold 2,000 of them.
     """
     import os
 
@@ -83,3 +85,21 @@ def python_path(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size, "10000") == "10000":
+        spark.conf.set(size, "2000")
+
+
+def settled(run):
+    """``run`` over a task's batches, then unused memory goes back to the
+    system: workers are reused and idle ones should hold little."""
+    def wrapped(batches):
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+    return wrapped

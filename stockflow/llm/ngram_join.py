@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from stockflow.llm import bloom
-from stockflow.llm.common import cut, python_path
+from stockflow.llm.common import cut, python_path, settled
 from stockflow.llm.components import components
 
 #: Cells of the shingle count sketch, bits of the filters of documents and of
@@ -122,7 +122,7 @@ def profile(docs: DataFrame, spec: JoinSpec, id_col: str, text_col: str) -> Data
             none = pa.nulls(len(part), pa.int64())
             yield pa.RecordBatch.from_arrays([none, pa.array(cells[part]), none, none, none, none, none, pa.nulls(len(part), pa.list_(pa.int64())), pa.array(part, pa.int32())], names)
 
-    return _scan(docs, id_col, text_col).mapInArrow(run, _PROFILE)
+    return _scan(docs, id_col, text_col).mapInArrow(settled(run), _PROFILE)
 
 
 def _order(s, counts):
@@ -168,7 +168,7 @@ def prefixes(docs: DataFrame, spec: JoinSpec, counts, known, id_col: str, text_c
             if out:
                 yield rows()
 
-    return _scan(docs, id_col, text_col).mapInArrow(run, "h long, c long, n int, pos int")
+    return _scan(docs, id_col, text_col).mapInArrow(settled(run), "h long, c long, n int, pos int")
 
 
 def sets_of(docs: DataFrame, spec: JoinSpec, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -208,7 +208,7 @@ def sets_of(docs: DataFrame, spec: JoinSpec, ids: DataFrame, id_col: str, text_c
             if out:
                 yield rows()
 
-    return _scan(docs, id_col, text_col).mapInArrow(run, "c long, did long, s array<long>")
+    return _scan(docs, id_col, text_col).mapInArrow(settled(run), "c long, did long, s array<long>")
 
 
 # -- filters on a pair of classes x, y with sizes and signatures ------------
@@ -380,7 +380,7 @@ def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc
 
     python_path(docs.sparkSession)
     schema = StructType([*docs.schema, StructField("_did", LongType()), StructField("_c", LongType()), StructField("_hit", BooleanType())])
-    seen = docs.withColumn("_did", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).mapInArrow(run, schema)
+    seen = docs.withColumn("_did", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).mapInArrow(settled(run), schema)
     held = seen.where("_hit").join(marks, ["_did", "_c"], "left")
     place = F.row_number().over(W.partitionBy("_did", "_c").orderBy(F.xxhash64(text_col)))
     held = held.withColumn("_place", place).where(F.col("_drop").isNull() | (~F.col("_drop") & (F.col("_place") == 1)))

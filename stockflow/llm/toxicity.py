@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import cut, python_path
+from stockflow.llm.common import cut, python_path, settled
 
 FEATURE_BITS, PREFIXES = 18, (4, 5, 6)
 #: Least documents of the sample that hold a feature, penalty and steps of a fit.
@@ -174,7 +174,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[Cat
 
     ys = ", ".join(f"{c} double" for c in keep[1:])
     rows = rows.select(*keep, F.pmod(F.shiftright("h", 20), F.lit(folds)).cast("int").alias("fold"), "text")
-    return rows.mapInArrow(run, f"id long, {ys}, fold int, feats array<int>")
+    return rows.mapInArrow(settled(run), f"id long, {ys}, fold int, feats array<int>")
 
 
 def fold_fitter(step: int, dim: int):
@@ -215,7 +215,7 @@ def fold_fitter(step: int, dim: int):
     return fit_fold
 
 
-def train(docs: DataFrame, labels: DataFrame, *, categories: Sequence[Category] = CATEGORIES, sample_rows: int = 8000, folds: int = 5,
+def train(docs: DataFrame, labels: DataFrame, *, categories: Sequence[Category] = CATEGORIES, sample_rows: int = 5000, folds: int = 5,
           id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit the chain. Every (category, fold) is one task over the bounded sample."""
     python_path(docs.sparkSession)
@@ -276,7 +276,7 @@ def score(docs: DataFrame, chain: Chain, *, keep: list[str], text_col: str = "te
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(pa.array(row) for row in out)], [*keep, *names])
 
     schema = StructType([*(docs.schema[c] for c in keep), *(StructField(x, DoubleType()) for x in names)])
-    return docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text")).mapInArrow(settled(run), schema)
 
 
 def is_in(chain: Chain, name: str) -> Column:

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm.common import cut, python_path
+from stockflow.llm.common import cut, python_path, settled
 
 NO_ID = (1 << 63) - 1
 #: Payload bytes of a range, ranges at most (a bound on parallelism, not on rows), and sampled ids per range.
@@ -194,7 +194,7 @@ def write_warc(pages: DataFrame, out_dir: str, *, id_col: str = "page_id", url_c
         if shards is not None:
             yield pa.RecordBatch.from_pylist([shards.close()], schema)
 
-    written = cut(dealt.mapInArrow(write, _MANIFEST_SCHEMA), "warc-written")
+    written = cut(dealt.mapInArrow(settled(write), _MANIFEST_SCHEMA), "warc-written")
 
     def commit(batches) -> Iterator:
         from pyarrow import fs as pafs
@@ -211,7 +211,7 @@ def write_warc(pages: DataFrame, out_dir: str, *, id_col: str = "page_id", url_c
                     raise OSError(f"{r['name']} was not committed")
             yield batch
 
-    written.mapInArrow(commit, _MANIFEST_SCHEMA).drop("temporary").write.parquet(f"{out_dir}/{MANIFEST}")
+    written.mapInArrow(settled(commit), _MANIFEST_SCHEMA).drop("temporary").write.parquet(f"{out_dir}/{MANIFEST}")
     fs.delete_dir(f"{root}/_temporary")
     return spark.read.parquet(f"{out_dir}/{MANIFEST}")
 
@@ -290,4 +290,4 @@ def read_warc(spark: SparkSession, out_dir: str, *, with_payload: bool = True) -
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, typed)
 
-    return manifest.repartition(min(files, 100_000)).mapInArrow(read, schema)
+    return manifest.repartition(min(files, 100_000)).mapInArrow(settled(read), schema)
