@@ -25,6 +25,14 @@ Defined results: null text stays null, with no values found; repeated rows
 and repeated values get the same pseudonyms; values touching others without
 a separator are taken as one longer, mostly invalid, value; an empty table
 gives no rows; other columns are untouched.
+
+Values beside each other: a match is tried at every place a value may start,
+as its first word alone, then whole, then one word shorter each time, and the
+leftmost valid one is taken. A group of digits that begins a date, social
+security number, address, fraction or card in its usual groups is part of no
+number before it. Digits that fit the number before them belong to it: a
+grouped card of 16 digits and a number of 3 that make a valid one of 19, or a
+plain number behind a grouped phone number whose country has no fixed length.
 """
 
 from __future__ import annotations
@@ -37,19 +45,38 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 _CARD = (r"(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}"
          r"|3(?:0[0-5]|[68]\d)\d{11}|35(?:2[89]|[3-8]\d)\d{12}|6(?:011\d\d|5\d{4}|4[4-9]\d{3}|2\d{4})\d{10})")
+#: What a group of digits behind a blank may begin instead of going on with the number before it.
+_DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"
+_OTHER = (rf"(?!(?:{_DATE})(?![\d/-])|\d{{3}}-\d{{2}}-\d{{4}}(?![\d-])|\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?![\w])(?!\.\d)|\d{{1,2}}/\d)")
+_NO_CARD = r"(?!(?:\d{4}[ -]){3}\d{1,4}(?!\d)|3\d{3}[ -]\d{6}[ -]\d{4,5}(?!\d)|\d{13,19}(?!\d))"
+#: National digits of countries where all numbers have the same length.
+_NATIONAL = {11: "86", 10: "1|7|44|52|91", 9: "31|33|34|41|48|61", 8: "45|47"}
+_PHONE = "|".join(
+    [rf"\+(?:{cc})(?:(?: {_OTHER}|[ .-]?\(|\)[ .-]?|[.-])?\d){{{n}}}(?![.-]?\d)" for n, cc in _NATIONAL.items()]
+    # At most 15 digits; whatever has more is cut at a group.
+    + [rf"\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:(?: {_OTHER}{_NO_CARD}|[.-])?\d{{2,4}}){{1,3}}(?!\d)(?<!" + 16 * r"\d[ .()-]{0,2}" + ")",
+       r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)"])
 #: Found values by kind; bounded repetitions only, so matching takes no stack.
 PATTERNS: dict[str, str] = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-])(?!\.\d)",
+    "date": r"(?<![\d./-])(?:" + _DATE + r")(?![\d/-])(?!\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w])(?!\.\d)",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\d)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\d])(?![.-]\d)",
+    "phone": rf"(?<![\w+])(?:{_PHONE})" r"|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\d)",
+    "card": rf"(?<![\w.-])(?:\d{{4}}(?:[ -]\d{{4}}){{3}}(?:[ -]\d{{3}})?|\d(?:(?: {_OTHER}{_NO_CARD}|-)?\d){{12,18}})(?![\d])(?![.-]\d)",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "token": r"(?<=(?:token|secret|password|api_key) ?[=:] ?[\"'])[A-Za-z0-9]{16,64}(?=[\"'])",
 }
 ANY = "|".join(PATTERNS.values())
+#: Characters of an IBAN by country.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV",
+    22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU"}
+_CHARS = r"\A(?:" + "|".join(rf"(?:{w.replace(' ', '|')}).{{{n - 2}}}" for n, w in IBAN_CHARS.items()) + "|(?!" + "|".join(
+    " ".join(IBAN_CHARS.values()).split()) + r").*)\z"
 _HINT = r"[0-9@]|AKIA|(?:token|secret|password|api_key) ?[=:]"
 #: Days from 1900-01-01 as 300 x 270; social security areas but 000, 666 and 900-999, times the rest.
 _DAYS, _IP, _SSN = (300, 270), (65536, 65536), (898, 99 * 9999)
@@ -157,7 +184,7 @@ def _iban(key: str, m: Column) -> Column:
     flat = F.replace(m, F.lit(" "), F.lit(""))
     body, country = F.substring(flat, F.lit(5), F.length(flat)), F.substring(flat, 1, 2)
     valid = _mod97(F.concat(body, F.substring(flat, 1, 4))) == 1
-    valid = valid & F.length(flat).between(15, 34) & F.substring(flat, 3, 2).between("02", "98")
+    valid = valid & F.length(flat).between(15, 34) & F.substring(flat, 3, 2).between("02", "98") & flat.rlike(_CHARS)
     new = _letters(key, "iban", body)
     check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
     # Groups of four keep their blanks.
@@ -238,6 +265,46 @@ def pseudonym(match: Column, secret: str) -> Column:
         F.when(p["text"].isNotNull(), p["kind"]).alias("kind"), F.coalesce(p["text"], match).alias("text")))
 
 
+def first_valid(match: Column, secret: str) -> Column:
+    """struct(kind, text, size) of the value that ``match`` begins with, size
+    being its length: its first word, all of it, or the longest part valid."""
+    none = F.lit(None).cast("struct<kind:string,text:string,size:int>")
+
+    def tried(words: Column) -> Column:
+        n = F.size(words)
+        order = F.when(n > 1, F.concat(F.array(F.lit(1)), F.sequence(n, F.lit(2), F.lit(-1)))).otherwise(F.array(F.lit(1)))
+        parts = F.transform(order, lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+        # Only kinds with blanks have shorter parts. A phone number's first word may be a piece of it, unless it has a whole number's digits.
+        parts = F.filter(parts, lambda p: (p == match) | p.rlike(_SHAPE["iban"]) | p.rlike(_SHAPE["card"])
+                         | p.startswith("+") & (p.contains(" ") | (F.length(_digits(p)) >= 11)))
+        return F.aggregate(parts, none, lambda done, p: F.when(done.isNotNull(), done).otherwise(_let(
+            pseudonym(p, secret), lambda r: F.when(r["kind"].isNotNull(), F.struct(
+                r["kind"].alias("kind"), r["text"].alias("text"), F.length(p).alias("size"))))))
+
+    return _let(F.split(match, " ", -1), tried)
+
+
+def _joined(pieces: Column, found: Column) -> Column:
+    """The text as an array of struct(kind, text); kind is null for what
+    stays. ``pieces`` is the text cut before every match."""
+    ahead = F.size(pieces) - F.size(found)
+    part = lambda kind, text: F.struct(kind.cast("string").alias("kind"), text.alias("text"))
+    kept = lambda text: part(F.lit(None), text)
+    state = lambda out, skip: F.struct(out.alias("out"), skip.cast("int").alias("skip"))
+
+    def turn(s: Column, i: Column) -> Column:
+        piece, v = F.get(pieces, i + ahead), F.get(found, i)
+        tail = lambda n: F.substring(piece, n + 1, F.length(piece))
+        # A value taken before may reach over this piece.
+        inside = state(F.concat(s["out"], F.array(kept(tail(s["skip"])))), F.greatest(s["skip"] - F.length(piece), F.lit(0)))
+        stays = state(F.concat(s["out"], F.array(kept(piece))), F.lit(0))
+        taken = state(F.concat(s["out"], F.array(part(v["kind"], v["text"]), kept(tail(v["size"])))), F.greatest(v["size"] - F.length(piece), F.lit(0)))
+        return F.when(s["skip"] > 0, inside).when(v.isNull(), stays).otherwise(taken)
+
+    start = state(F.when(ahead > 0, F.array(kept(F.get(pieces, F.lit(0))))).otherwise(F.array().cast("array<struct<kind:string,text:string>>")), F.lit(0))
+    return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, turn, lambda s: s["out"])
+
+
 def pseudonymise(docs: DataFrame, *, text_col: str = "text", secret: str = "pseudonyms", found_col: str | None = None) -> DataFrame:
     """``docs`` with the values of ``text_col`` replaced; ``found_col`` (if
     named) receives the kinds of the replaced values in order."""
@@ -246,12 +313,13 @@ def pseudonymise(docs: DataFrame, *, text_col: str = "text", secret: str = "pseu
     while {values, new} & taken:
         values, new = "_" + values, "_" + new
     text = F.col(f"`{text_col}`")
-    some = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1)))
+    # One match for every place that a value may start at; they may overlap.
+    some = F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(f"(?=({ANY}))"), F.lit(1)))
     df = docs.withColumn(values, some)
-    df = df.withColumn(new, F.when(F.size(values) > 0, F.transform(values, lambda m: pseudonym(m, secret))))
-    gaps = F.split(text, ANY, -1)
-    rebuilt = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(new, i)["text"], F.lit("")))), "")
-    out = df.withColumn(text_col, F.when(F.col(new).isNotNull(), rebuilt).otherwise(text))
+    made = _let(F.transform(values, lambda m: first_valid(m, secret)), lambda found: _let(
+        F.split(text, f"(?={ANY})", -1), lambda pieces: _joined(pieces, found)))
+    df = df.withColumn(new, F.when(F.size(values) > 0, made))
+    out = df.withColumn(text_col, F.when(F.col(new).isNotNull(), F.array_join(F.transform(new, lambda x: x["text"]), "")).otherwise(text))
     if found_col:
         out = out.withColumn(found_col, F.coalesce(F.filter(F.transform(new, lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>")))
     return out.drop(values, new)
