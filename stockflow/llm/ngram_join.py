@@ -22,7 +22,10 @@ verified against one partner (the most popular class it meets) and components ar
 components are tested, all of them, leaving out the largest component of
 each group on one side. No link between different components is lost, and a
 group that has become one component makes no more pairs. With
-``connected_only=False`` all candidates are tested and all links listed.
+``connected_only=False`` all candidates are tested and all links listed;
+``count_links`` instead counts those of every class without listing them. Links
+lie inside components, so the classes of a component are dealt into blocks and
+every pair of blocks is one small matrix of intersections.
 
 Defined results: null or word-less texts have no shingles and link with
 nothing, their component is their own id; a null id counts as larger than
@@ -33,7 +36,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,6 +51,8 @@ from stockflow.llm.components import components
 #: shared prefix shingles: of fixed size whatever the input, as they pass the driver.
 SKETCH_BITS, BLOOM_BITS, SHARED_BITS = 18, 23, 25
 NO_ID = (1 << 63) - 1
+#: Classes and shingles of a block of a component, about, and columns of the matrices of a pair of blocks.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 4096
 
 
 @dataclass(frozen=True)
@@ -247,10 +252,13 @@ def full_suffix_filter(spec: JoinSpec, x: str, y: str) -> Column:
 @dataclass(frozen=True)
 class Joined:
     """``members`` (did, n, c), ``classes`` (c, did, n, docs, signatures) and
-    ``links`` (a, b, common) between class keys."""
+    ``links`` (a, b, common) between class keys. ``degrees`` (c, class_links)
+    is there if all links are known, ``roots`` (c, root) if components are."""
     members: DataFrame
     classes: DataFrame
     links: DataFrame
+    degrees: DataFrame | None = None
+    roots: DataFrame | None = None
 
 
 def verify(docs: DataFrame, spec: JoinSpec, pairs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -327,16 +335,129 @@ def ngram_join(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "d
     pairs = pairs.select(F.greatest("x.c", "y.c").alias("a"), F.least("x.c", "y.c").alias("b")).distinct()
     more = verify(docs, spec, pairs, classes, id_col, text_col)
     links = cut(more if found is None else found.unionAll(more), "join-links")
-    return Joined(members, classes, links)
+    return Joined(members, classes, links, None if connected_only else _degrees(links))
+
+
+def _degrees(links: DataFrame) -> DataFrame:
+    ends = links.select(F.col("a").alias("c")).unionAll(links.select(F.col("b").alias("c")))
+    return ends.groupBy("c").agg(F.count(F.lit(1)).alias("class_links"))
+
+
+def _linked(x, y, same: bool, percent: int, columns: int = COLUMNS):
+    """Links of every set of ``x`` with sets of ``y``, and the other way round;
+    ``x`` and ``y`` are (sizes, shingles one set after the other)."""
+    import numpy as np
+
+    (nx, vx), (ny, vy) = x, y
+    _, col, times = np.unique(vx if same else np.concatenate([vx, vy]), return_inverse=True, return_counts=True)
+    # Only shingles of several sets count for an intersection (of other sets than itself).
+    place = np.cumsum(times > 1) - 1
+    width = int(place[-1]) + 1 if len(place) else 0
+
+    def cells(n, cols):
+        row, keep = np.repeat(np.arange(len(n)), n), times[cols] > 1
+        row, cols = row[keep], place[cols[keep]]
+        order = np.argsort(cols, kind="stable")
+        return row[order], cols[order]
+
+    rx, cx = cells(nx, col[:len(vx)])
+    ry, cy = (rx, cx) if same else cells(ny, col[len(vx):])
+    common = np.zeros((len(nx), len(ny)), np.int64)
+    for lo in range(0, width, columns):
+        def part(n, r, c, lo=lo):
+            a, b = np.searchsorted(c, [lo, lo + columns])
+            m = np.zeros((len(n), min(columns, width - lo)), np.float32)
+            m[r[a:b], c[a:b] - lo] = 1
+            return m
+
+        a = part(nx, rx, cx)
+        common += (a @ (a if same else part(ny, ry, cy)).T).astype(np.int64)
+    link = common * 100 >= (nx[:, None] + ny[None, :] - common) * percent
+    if same:
+        np.fill_diagonal(link, False)
+    return link.sum(1), link.sum(0)
+
+
+def count_links(docs: DataFrame, spec: JoinSpec, joined: Joined, *, id_col: str = "doc_id", text_col: str = "text") -> Joined:
+    """``joined`` with the number of links of every class, all of them: in a
+    component whose links are not all listed, every two classes are compared."""
+    roots = cut(components(joined.links).withColumnRenamed("node", "c"), "join-roots")
+    of = joined.classes.select("c", "did", "n").join(roots, "c")
+    listed = joined.links.select(F.col("a").alias("c")).join(roots, "c").groupBy("root").agg(F.count(F.lit(1)).alias("listed"))
+    size = of.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w")).join(listed, "root")
+    size = size.withColumn("open", F.col("listed") * 2 < F.col("m") * (F.col("m") - 1)).withColumn(
+        "blocks", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("w") / BLOCK_SHINGLES)))
+    of = cut(of.join(size.select("root", "m", "open", "blocks"), "root"), "join-open")
+    rows = of.where("open")
+    sets = sets_of(docs, spec, rows.select("c", "did"), id_col, text_col)
+    # Rows repeated in the input give their set several times.
+    sets = cut(sets.join(rows.select("c", "did", "root", "blocks"), ["c", "did"]).groupBy("c").agg(
+        *[F.first(x).alias(x) for x in ("root", "blocks", "s")]), "join-sets")
+    block = F.pmod(F.xxhash64("c"), F.col("blocks"))
+    sets = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sets = sets.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "c", "s")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        percent, key, held, out = spec.percent, None, [], []
+
+        def counted():
+            block, c, n = (np.concatenate([h[i] for h in held]) for i in range(3))
+            values, ends = np.concatenate([h[3] for h in held]), np.cumsum(n)
+            sides = []
+            for b in key[1:]:
+                mine = block == b
+                sides.append((c[mine], n[mine], values[np.repeat(mine, n)]))
+            (c1, n1, v1), (c2, n2, v2) = sides
+            same = key[1] == key[2]
+            if ends[-1] and len(c1) and len(c2):
+                k1, k2 = _linked((n1, v1), (n2, v2), same, percent)
+                out.append((c1, k1))
+                if not same:
+                    out.append((c2, k2))
+
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], ["c", "k"])
+
+        for batch in batches:
+            root, x, y, block, c = (batch.column(i).to_numpy() for i in range(5))
+            lists = batch.column(5)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            new = np.flatnonzero((root[1:] != root[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            for lo, hi in zip([0, *new], [*new, len(c)], strict=True):
+                if lo == hi:
+                    continue
+                now = (root[lo], x[lo], y[lo])
+                if held and now != key:
+                    counted()
+                    held = []
+                key = now
+                held.append((block[lo:hi].copy(), c[lo:hi].copy(), np.diff(ends[lo:hi + 1]).astype(np.int64), values[ends[lo]:ends[hi]].copy()))
+                if sum(len(a) for a, _ in out) > 100_000:
+                    yield rows()
+                    out.clear()
+        if held:
+            counted()
+        if out:
+            yield rows()
+
+    dealt = sets.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
+    counts = dealt.mapInArrow(settled(run), "c long, k long").groupBy("c").agg(F.sum("k").alias("class_links"))
+    whole = of.where("NOT open").select("c", (F.col("m") - 1).alias("class_links"))
+    return replace(joined, degrees=cut(whole.unionAll(counts), "join-degrees"), roots=roots)
 
 
 def _with_components(joined: Joined) -> DataFrame:
     """``did, n, c, component, docs, class_links`` per document; the last
     three are null for classes of one document without links."""
-    roots = components(joined.links).withColumnRenamed("node", "c")
-    ends = joined.links.select(F.col("a").alias("c")).unionAll(joined.links.select(F.col("b").alias("c")))
-    degree = ends.groupBy("c").agg(F.count(F.lit(1)).alias("class_links"))
-    of = joined.classes.select("c", "did", "docs").join(roots, "c", "left").join(degree, "c", "left")
+    roots = components(joined.links).withColumnRenamed("node", "c") if joined.roots is None else joined.roots
+    of = joined.classes.select("c", "did", "docs").join(roots, "c", "left")
+    if joined.degrees is None:
+        of = of.withColumn("class_links", F.lit(None).cast("long"))
+    else:
+        of = of.join(joined.degrees, "c", "left")
     of = cut(of.where((F.col("docs") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "c")), "join-roots")
     least = of.groupBy("root").agg(F.min("did").alias("component"))
     of = of.join(least, "root").select("c", "component", "docs", "class_links")
@@ -346,12 +467,13 @@ def _with_components(joined: Joined) -> DataFrame:
 
 def component_ids(joined: Joined) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id, class_docs``
-    (rows with an equal set) and ``class_links`` (links of its class that were
-    verified). ``component_id`` is the smallest id reachable."""
+    (rows with an equal set) and ``class_links`` (classes that its class is
+    similar to; null unless ``joined`` has all links or counts them).
+    ``component_id`` is the smallest id reachable."""
     back = lambda x: F.when(x != NO_ID, x)
     return _with_components(joined).select(
         back(F.col("did")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("component", "did")).alias("component_id"),
-        F.coalesce("docs", F.lit(1)).alias("class_docs"), F.coalesce("class_links", F.lit(0)).alias("class_links"))
+        F.coalesce("docs", F.lit(1)).alias("class_docs"), (F.coalesce("class_links", F.lit(0)) if joined.degrees is not None else F.col("class_links")).alias("class_links"))
 
 
 def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -82,7 +82,8 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = ngram_join.JoinSpec(k=4, percent=85)
-    return ngram_join.component_ids(ngram_join.ngram_join(_table(spark, sf_dir, "documents"), spec))
+    docs = _table(spark, sf_dir, "documents")
+    return ngram_join.component_ids(ngram_join.count_links(docs, spec, ngram_join.ngram_join(docs, spec)))
 
 
 def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,3 +115,31 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op9_ngram_join(spark, str(tmp_path)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows, 4, 85)[0]
+
+
+def test_query_counts_every_link(spark, tmp_path, monkeypatch):
+    rows = corpus(6)
+    sets = {shingle_set(t, 4) for _, t in rows} - {frozenset()}
+    links = {s: sum(s != t and 100 * len(s & t) >= 85 * len(s | t) for t in sets) for s in sets}
+    assert max(links.values()) >= 20
+    want = sorted(((d, links.get(shingle_set(t, 4), 0)) for d, t in rows), key=str)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    # The group of near copies in one block, and over many.
+    for block in (J.BLOCK, 7):
+        monkeypatch.setattr(J, "BLOCK", block)
+        got = queries.op9_ngram_join(spark, str(tmp_path)).select("doc_id", "class_links").collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
+@pytest.mark.parametrize("columns", [3, 4096])
+def test_blocks_of_sets(columns):
+    import numpy as np
+
+    rnd = random.Random(7)
+    x, y = ([{h for h in range(40) if rnd.random() < 0.9} for _ in range(n)] for n in (6, 9))
+    flat = lambda sets: (np.array([len(s) for s in sets]), np.array([h for s in sets for h in sorted(s)], np.int64))
+    near = lambda s, t: 100 * len(s & t) >= 85 * len(s | t)
+    a, b = J._linked(flat(x), flat(y), False, 85, columns)
+    assert a.tolist() == [sum(near(s, t) for t in y) for s in x] and b.tolist() == [sum(near(s, t) for s in x) for t in y] and a.any()
+    a, _ = J._linked(flat(y), flat(y), True, 85, columns)
+    assert a.tolist() == [sum(i != j and near(s, t) for j, t in enumerate(y)) for i, s in enumerate(y)]
