@@ -48,6 +48,19 @@ def document_outcomes(docs: DataFrame, store: DataFrame | None = None) -> DataFr
     )
 
 
+def quarantined(outcomes: DataFrame, lines: DataFrame) -> DataFrame:
+    """The quarantined documents of ``document_outcomes`` with raw payload
+    (null if the source has none), ``lines`` in order and ``status_reason``."""
+    kept = [c for c in ("seq", "platform_sku", "variant_id", "quantity", "quantity_valid", "unit_price", "title") if c in lines.columns]
+    of = lines.where(F.col("external_event_id").isNull()).groupBy("platform", "arrival").agg(
+        F.array_sort(F.collect_list(F.struct(*kept))).alias("lines"))
+    raw = F.col("raw_payload") if "raw_payload" in outcomes.columns else F.lit(None)
+    docs = outcomes.where(F.col("status") == "quarantined").select(
+        "platform", "external_order_id", "order_name", "order_status", "arrival", raw.cast("string").alias("raw_payload"), "status", "status_reason")
+    none = F.array().cast(of.schema["lines"].dataType)
+    return docs.join(of, ["platform", "arrival"], "left").withColumn("lines", F.coalesce("lines", none))
+
+
 def winning_lines(lines: DataFrame, winners: DataFrame) -> DataFrame:
     """Lines of the winning documents only."""
     return lines.join(winners.select(*EVENT_KEY, "arrival"), [*EVENT_KEY, "arrival"], "left_semi")

@@ -52,6 +52,7 @@ class StockBook:
         self.mapping = spark.createDataFrame([], map_schema)
         self.events = spark.createDataFrame([], EVENT_SCHEMA)
         self.event_items = None
+        self.quarantine = None
         self.ledger = None
         self.jobs = outbox.empty_jobs(spark)
         self.logs = None
@@ -119,7 +120,8 @@ class StockBook:
 
     def _ingest(self, docs: DataFrame, lines: DataFrame, batch: int, now_ms: int,
                 sink: Callable | None) -> DataFrame:
-        """STA-7; returns the per-line results of this batch (+ duplicate docs)."""
+        """STA-7; returns the per-line results of this batch (+ duplicate docs);
+        documents without an id go to ``quarantine``."""
         store = self.events.select("platform", "external_event_id")
         ing = ingest(docs, lines, self.items, self.mapping, state=self.items, store=store,
                      materialize=materialize, inline_push=self.inline_push)
@@ -139,6 +141,7 @@ class StockBook:
             "platform", "external_event_id", "seq", "platform_sku", "internal_sku", "quantity", "unit_price",
             "title", F.lit(batch).cast("long").alias("batch"))
         self.event_items = self._append(self.event_items, event_items)
+        self.quarantine = self._append(self.quarantine, ing.quarantine.withColumn("batch", F.lit(batch).cast("long")))
         results = ing.line_results.unionByName(
             ing.documents.filter(F.col("status") == "duplicate").select(
                 "platform", "external_order_id", F.lit(None).alias("seq"),

@@ -22,10 +22,11 @@ LINE_ID = ["platform", "external_event_id", "external_order_id", "seq"]
 
 @dataclass
 class Ingested:
-    documents: DataFrame      # every delivered document with processed / duplicate
+    documents: DataFrame      # every delivered document with processed / duplicate / quarantined
     lines: DataFrame          # winning lines with internal_sku and valid flag
     applied: DataFrame        # change stream with computed effects
     line_results: DataFrame   # one row per winning line with its status
+    quarantine: DataFrame     # documents without an id, with raw payload, lines and reason
 
 
 def valid_line() -> F.Column:
@@ -72,4 +73,4 @@ def ingest(
         F.lit("unresolved").alias("status"), F.lit(S.STATUS_MESSAGES["unresolved"]).alias("message"),
         F.lit(None).cast("long").alias("before_units"), F.lit(None).cast("long").alias("after_units"),
         F.lit(None).cast("boolean").alias("oversold"))
-    return Ingested(docs, resolved, applied, sale_results.unionByName(unresolved))
+    return Ingested(docs, resolved, applied, sale_results.unionByName(unresolved), dedupe.quarantined(docs, lines))

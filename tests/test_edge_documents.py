@@ -7,8 +7,10 @@ import hmac
 from pyspark.sql import functions as F
 
 from stockflow.operators import dedupe, outbox, reports
+from stockflow.plans.book import StockBook
 from stockflow.sources import orders_json, webhook
-from stockflow.streaming import relay
+from stockflow.store import TableStore
+from stockflow.streaming import ingest_stream, relay
 
 
 def raw(spark, *texts):
@@ -35,6 +37,36 @@ def test_documents_without_an_id_are_quarantined(spark):
         ("shopify-order-1", "duplicate", ""), ("shopify-order-1", "processed", "")]
 
 
+ORDERS = ['{"name": "x", "line_items": [{"sku": "A", "quantity": 2}, {"sku": "B", "quantity": 1}]}', '{"id": 1, "line_items": [{"sku": "A", "quantity": 1}]}', "broken"]
+STOCK = [{"internal_sku": "A", "available_units": "5"}]
+
+
+def held(table):
+    return sorted((r.raw_payload, [(x.platform_sku, x.quantity) for x in r.lines], r.status_reason) for r in table.collect())
+
+
+HELD = sorted([(ORDERS[0], [("A", 2), ("B", 1)], "document without an id"), ("broken", [], "document without an id")])
+
+
+def test_the_book_keeps_quarantined_documents(spark):
+    book = StockBook(spark)
+    book.import_inventory_rows(STOCK)
+    book.ingest_shopify_orders(ORDERS)
+    book.ingest_shopify_orders(ORDERS[1:2])
+    assert held(book.quarantine) == HELD
+
+
+def test_the_stream_keeps_quarantined_documents(spark, tmp_path):
+    book = StockBook(spark)
+    book.import_inventory_rows(STOCK)
+    docs, lines = orders_json.shopify_documents(raw(spark, *ORDERS))
+    store = TableStore(spark, str(tmp_path))
+    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in ingest_stream.IMPORT_COLS if c != "seq")).crossJoin(lines.select("seq").limit(0))
+    store.publish(0, state={"items": book.items, "mapping": book.mapping})
+    assert ingest_stream.process_batch(store, ingest_stream.change_feed(empty, docs, lines), 1)
+    assert held(store.read("quarantine")) == HELD
+
+
 def test_equal_arrivals_cannot_multiply(spark):
     docs = spark.createDataFrame([("p", "e", "o1", 1), ("p", "e", "o2", 1), ("p", "e", "o3", 2)],
                                  "platform string, external_event_id string, external_order_id string, arrival int")
