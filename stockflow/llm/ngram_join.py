@@ -450,8 +450,10 @@ def count_links(docs: DataFrame, spec: JoinSpec, joined: Joined, *, id_col: str
 
 
 def _with_components(joined: Joined) -> DataFrame:
-    """``did, n, c, component, docs, class_links`` per document; the last
-    three are null for classes of one document without links."""
+    """``did, n, c, component, first, docs, class_links`` per document;
+    ``first`` is the class of the component's smallest id (of several, the
+    least). All but the first three are null for classes of one document
+    without links."""
     roots = components(joined.links).withColumnRenamed("node", "c") if joined.roots is None else joined.roots
     of = joined.classes.select("c", "did", "docs").join(roots, "c", "left")
     if joined.degrees is None:
@@ -459,8 +461,8 @@ def _with_components(joined: Joined) -> DataFrame:
     else:
         of = of.join(joined.degrees, "c", "left")
     of = cut(of.where((F.col("docs") > 1) | F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "c")), "join-roots")
-    least = of.groupBy("root").agg(F.min("did").alias("component"))
-    of = of.join(least, "root").select("c", "component", "docs", "class_links")
+    least = of.groupBy("root").agg(F.min(F.struct("did", "c")).alias("least"))
+    of = of.join(least, "root").select("c", F.col("least.did").alias("component"), F.col("least.c").alias("first"), "docs", "class_links")
     m = joined.members.select("did", "n", F.when(F.col("n") > 0, F.col("c")).alias("c"))
     return m.join(of, "c", "left")
 
@@ -478,13 +480,14 @@ def component_ids(joined: Joined) -> DataFrame:
 
 def keep_one(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that with the smallest
-    id (of rows repeating that id and set, one). Documents without words all
+    id (of rows repeating that id, one, whatever their sets). Documents without words all
     stay. Rows that a filter of fixed size knows to be unaffected pass
     straight through; only the others are joined."""
     m = _with_components(ngram_join(docs, spec, id_col=id_col, text_col=text_col)).where("n > 0")
-    marks = m.groupBy("did", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.coalesce("component", "did")).alias("component"))
-    marks = cut(marks.where((F.col("k") > 1) | (F.col("component") != F.col("did"))).select(
-        F.col("did").alias("_did"), F.col("c").alias("_c"), (F.col("component") != F.col("did")).alias("_drop")), "join-marks")
+    marks = m.groupBy("did", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.coalesce("component", "did")).alias("component"), F.min(F.coalesce("first", "c")).alias("first"))
+    # Ids may repeat, so the survivor is known by id and set.
+    drop = (F.col("component") != F.col("did")) | (F.col("first") != F.col("c"))
+    marks = cut(marks.where((F.col("k") > 1) | drop).select(F.col("did").alias("_did"), F.col("c").alias("_c"), drop.alias("_drop")), "join-marks")
     filled = bloom.build(marks, F.col("_c").bitwiseXOR(F.col("_did")), BLOOM_BITS)
     filled = docs.sparkSession.sparkContext.broadcast(filled)
     names, at = docs.columns, docs.columns.index(text_col)

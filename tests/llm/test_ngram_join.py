@@ -143,3 +143,15 @@ def test_blocks_of_sets(columns):
     assert a.tolist() == [sum(near(s, t) for t in y) for s in x] and b.tolist() == [sum(near(s, t) for s in x) for t in y] and a.any()
     a, _ = J._linked(flat(y), flat(y), True, 85, columns)
     assert a.tolist() == [sum(i != j and near(s, t) for j, t in enumerate(y)) for i, s in enumerate(y)]
+
+
+def test_one_survivor_whatever_the_ids(spark):
+    rnd = random.Random(8)
+    words = [[f"w{rnd.randrange(500)}" for _ in range(120)] for _ in range(4)]
+    near = lambda d, i: " ".join([*d[:i], "other", *d[i + 1:]])
+    rows = [(None, near(words[0], 3)), (None, near(words[0], 90)), (7, near(words[1], 5)), (7, near(words[1], 60)), (7, near(words[1], 60)),
+            (None, " ".join(words[2])), (7, " ".join(words[3])), (9, near(words[3], 8))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in J.keep_one(df, J.JoinSpec(5, 80)).collect()]
+    groups = [rows[:2], rows[2:5], rows[5:6], rows[6:7]]
+    assert len(got) == 4 and all(sum(r in g for r in got) == 1 for g in groups)
