@@ -41,8 +41,11 @@ def _stage(work):
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain does not call toxic (operator 6)."""
     chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, chain, keep=docs.columns)
-    return scored.where(~toxicity.is_in(chain, "toxic")).select(*docs.columns)
+    prefix, taken = "p_", {c.lower() for c in docs.columns}
+    while {f"{prefix}{x}".lower() for x in chain.names} & taken:
+        prefix = "_" + prefix
+    scored = toxicity.score(docs, chain, keep=docs.columns, prefix=prefix)
+    return scored.where(~toxicity.is_in(chain, "toxic", prefix)).select(*docs.columns)
 
 
 @_stage

@@ -250,13 +250,14 @@ def train(docs: DataFrame, labels: DataFrame, *, categories: Sequence[Category]
     return chain
 
 
-def score(docs: DataFrame, chain: Chain, *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep`` columns and the probability ``p_<category>`` of every whole text."""
+def score(docs: DataFrame, chain: Chain, *, keep: list[str], text_col: str = "text", prefix: str = "p_") -> DataFrame:
+    """``keep`` columns and the probability ``p_<category>`` (or with another
+    ``prefix``) of every whole text."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     spark = docs.sparkSession
     python_path(spark)
-    names, n = [f"p_{x}" for x in chain.names], len(keep)
+    names, n = [f"{prefix}{x}" for x in chain.names], len(keep)
     if {x.lower() for x in names} & {c.lower() for c in keep}:
         raise ValueError("a kept column is named like a probability")
     model = spark.sparkContext.broadcast((chain.weights, chain.earlier, chain.bias))
@@ -279,6 +280,6 @@ def score(docs: DataFrame, chain: Chain, *, keep: list[str], text_col: str = "te
     return docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text")).mapInArrow(settled(run), schema)
 
 
-def is_in(chain: Chain, name: str) -> Column:
+def is_in(chain: Chain, name: str, prefix: str = "p_") -> Column:
     """Whether a scored document belongs to the category."""
-    return F.col(f"p_{name}") >= chain.thresholds[chain.names.index(name)]
+    return F.col(f"{prefix}{name}") >= chain.thresholds[chain.names.index(name)]

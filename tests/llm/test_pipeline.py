@@ -143,3 +143,13 @@ def test_run_and_empty_tables(spark, stages, tmp_path):
     spark.read.parquet(f"{root}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{root}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_tables_scored_before(spark, tmp_path):
+    docs, labels, _ = corpus()
+    df = spark.createDataFrame(docs[:150], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    scored = df.selectExpr("*", "'a' AS p_toxic", "2 AS P_low_quality", "3 AS _p_toxic")
+    out = P.toxicity_filter(spark, scored, str(tmp_path))
+    assert out.columns == scored.columns and {(r.p_toxic, r.P_low_quality, r._p_toxic) for r in out.collect()} == {("a", 2, 3)}
+    assert sorted(rows(out), key=str) == sorted(rows(P.toxicity_filter(spark, df, str(tmp_path))), key=str)
