@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import bpe, chat, imatch, mixing, ngram_join, pii, quality, substring_dedup, toxicity, warc
+from stockflow.llm import bpe, chat, filter_audit, imatch, mixing, ngram_join, pii, quality, substring_dedup, toxicity, warc
 from stockflow.llm.common import scratch
 
 
@@ -90,6 +90,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_entropy_mix": op2_entropy_mix,
@@ -101,4 +105,5 @@ QUERIES = {
     "op8_quality_cascade": op8_quality_cascade,
     "op9_ngram_join": op9_ngram_join,
     "op10_imatch": op10_imatch,
+    "op11_filter_audit": op11_filter_audit,
 }

@@ -59,4 +59,38 @@ SQL: dict[str, str] = {
                     OR n_dup_lines * 2 > full_lines OR adjacent * 10 > 3 * n_words OR letters * 10 < 6 * word_chars
                     OR ellipses * 10 > 3 * full_lines OR bullets * 10 > 9 * full_lines) AS kept
         FROM b""",
+    "op11_filter_audit": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                   min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+            FROM documents),
+        f AS (
+            SELECT part, quality, toxic,
+                   (len(words) < 100)::INT + 2 * (100 * len(list_distinct(words)) < 80 * len(words))::INT
+                   + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t))::INT
+                   + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > least)::INT AS mask
+            FROM d LEFT JOIN labels USING (doc_id)),
+        m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+              FROM f GROUP BY part, mask),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+        orders(filter_order, used) AS (
+            SELECT '', 0 UNION ALL SELECT filter_order || x, used + bit FROM orders, letters WHERE used & bit = 0),
+        steps AS (
+            SELECT o.filter_order, i.step, l.bit,
+                   coalesce((SELECT sum(b.bit) FROM letters b WHERE contains(substr(o.filter_order, 1, i.step::INT - 1), b.x)), 0)::INT AS earlier
+            FROM (SELECT filter_order FROM orders WHERE used = 31) o, (SELECT unnest(range(1, 6)) AS step) i, letters l
+            WHERE l.x = substr(o.filter_order, i.step::INT, 1)),
+        r AS (
+            SELECT part, filter_order, step::INT AS step, bit,
+                   coalesce(sum(n) FILTER (mask & (earlier | bit) = 0), 0)::BIGINT AS kept,
+                   coalesce(sum(n) FILTER (mask & earlier = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (mask & earlier <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+                   coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (mask & earlier = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+                   coalesce(sum(toxic) FILTER (mask & earlier = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+            FROM m, steps GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+        FROM r""",
 }
