@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import bpe, chat, filter_audit, imatch, mixing, ngram_join, pii, quality, substring_dedup, toxicity, warc
+from stockflow.llm import bpe, chat, filter_audit, imatch, lexical_search, mixing, ngram_join, pii, quality, substring_dedup, toxicity, warc
 from stockflow.llm.common import scratch
 
 
@@ -94,6 +94,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_entropy_mix": op2_entropy_mix,
@@ -106,4 +110,5 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_imatch": op10_imatch,
     "op11_filter_audit": op11_filter_audit,
+    "op12_lexical_search": op12_lexical_search,
 }

@@ -5,6 +5,10 @@ _BASE32 = """array_to_string(list_transform(range(0, 32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
         ((('0x' || substr(h, (i // 4)::INT * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '')"""
 
+#: Terms of a lexical search: only A-Z are folded.
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
 SQL: dict[str, str] = {
     "op5_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -93,4 +97,18 @@ SQL: dict[str, str] = {
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
                (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
         FROM r""",
+    "op12_lexical_search": rf"""
+        WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT count(*) AS total, sum(len(terms))::BIGINT AS length FROM d WHERE len(terms) > 0),
+        q AS (SELECT item_id, term, count(*) AS times
+              FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark WHERE text IS NOT NULL) GROUP BY ALL),
+        p AS (SELECT id, doc_id, n, term, count(*) AS tf FROM (SELECT id, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+              WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * any_value(total) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p, s GROUP BY term),
+        r AS (
+            SELECT item_id, id, doc_id,
+                   sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * total) // length))))::BIGINT AS score
+            FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY item_id, id, doc_id)
+        SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+        FROM r WHERE score > 0 QUALIFY rank <= 20""",
 }
