@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.llm import bpe, chat, filter_audit, imatch, lexical_search, mixing, ngram_join, pii, quality, substring_dedup, toxicity, warc
+from stockflow.llm import bpe, chat, filter_audit, imatch, lexical_search, mixing, ngram_join, pii, quality, simhash, substring_dedup, toxicity, warc
 from stockflow.llm.common import scratch
 
 
@@ -98,6 +98,11 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4, bits=4)
+    return out.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_entropy_mix": op2_entropy_mix,
@@ -111,4 +116,5 @@ QUERIES = {
     "op10_imatch": op10_imatch,
     "op11_filter_audit": op11_filter_audit,
     "op12_lexical_search": op12_lexical_search,
+    "op13_simhash": op13_simhash,
 }
