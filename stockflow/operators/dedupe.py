@@ -38,13 +38,16 @@ def document_outcomes(docs: DataFrame, store: DataFrame | None = None) -> DataFr
     # Sources give every document an arrival of its own; should two share one, one of them wins.
     place = F.row_number().over(Window.partitionBy(*EVENT_KEY, "arrival").orderBy("external_order_id"))
     nameless = F.col("external_event_id").isNull()
+    # Documents without an id match nothing; the salt spreads them over the join's partitions.
+    salt = F.when(nameless, F.pmod(F.xxhash64("arrival"), F.lit(4096))).otherwise(F.lit(0))
     return (
-        docs.withColumn("_place", place).join(first, EVENT_KEY, "left")
+        docs.withColumn("_place", place).withColumn("_salt", salt)
+        .join(first.withColumn("_salt", F.lit(0).cast("long")), [*EVENT_KEY, "_salt"], "left")
         .withColumn("status", F.when(nameless, F.lit("quarantined"))
                     .when((F.col("arrival") == F.col("_first")) & (F.col("_place") == 1), F.lit("processed"))
                     .otherwise(F.lit("duplicate")))
         .withColumn("status_reason", F.when(nameless, F.lit("document without an id")))
-        .drop("_first", "_place")
+        .drop("_first", "_place", "_salt")
     )
 
 

@@ -124,12 +124,14 @@ def skip_reason(jobs: DataFrame, mapping: DataFrame, push_enabled: bool = True,
 
 
 def payload(c_platform: Column, route_id: Column, route_sub: Column, qty: Column) -> Column:
-    """PRJ-19: the absolute-set request body of each platform, as JSON text."""
-    shop = F.to_json(F.struct(route_id.cast("long").alias("inventory_item_id"), route_sub.cast("long").alias("location_id"),
-                              qty.alias("available")))
+    """PRJ-19: the absolute-set request body of each platform, as JSON text.
+    An id that is no number is sent as null; the platform refuses it, and the other jobs go on."""
+    whole = {"ignoreNullFields": "false"}
+    shop = F.to_json(F.struct(route_id.try_cast("long").alias("inventory_item_id"), route_sub.try_cast("long").alias("location_id"),
+                              qty.alias("available")), whole)
     etsy = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(
-        route_sub.cast("long").alias("offering_id"), qty.alias("quantity"),
-        F.lit(True).alias("is_enabled"))).alias("offerings"))).alias("products")))
+        route_sub.try_cast("long").alias("offering_id"), qty.alias("quantity"),
+        F.lit(True).alias("is_enabled"))).alias("offerings"))).alias("products")), whole)
     return F.when(c_platform == "shopify", shop).otherwise(etsy)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow import schemas as S
+from stockflow.sources.orders_json import line_index
 
 
 def inventory_snapshot(items: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -135,7 +136,7 @@ def nested_results(line_results: DataFrame, documents: DataFrame) -> DataFrame:
     One group per order (bounded by the lines of one document).
     """
     item = F.struct(
-        F.col("seq.line_pos").alias("line_pos"), F.col("seq.tie1").alias("tie1"),
+        line_index(F.col("seq.line_pos")).alias("line_pos"), F.col("seq.tie1").alias("tie1"),
         "internal_sku", "quantity", "status")
     g = line_results.groupBy("platform", "external_order_id").agg(
         F.array_sort(F.collect_list(item)).alias("items"), F.count("*").alias("n_lines"))

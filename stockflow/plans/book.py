@@ -4,8 +4,8 @@ reconcile, read models), each one a batch of Spark jobs over the current
 table versions.
 
 State lives in DataFrames that are materialised after every call (reliable
-checkpoints), or - with ``root`` - published through :class:`TableStore`
-so that all outputs of a call become visible together. Every call is one
+checkpoints); :mod:`stockflow.streaming.live_ingest` is the durable form over
+:class:`TableStore`. Every call is one
 batch; the batch number orders changes across calls (``seq.ts`` is the
 batch instant, ``doc_pos`` / ``line_pos`` the positions inside it).
 """
@@ -25,7 +25,7 @@ from stockflow.functions import normalize as N
 from stockflow.operators import items as items_op
 from stockflow.operators import ledger, outbox, reconcile, reports
 from stockflow.plans.ingest import ingest
-from stockflow.sources import orders_json
+from stockflow.sources import landing, orders_json
 from stockflow.store import materialize
 
 _EPOCH = _dt.datetime(2000, 1, 1)
@@ -70,7 +70,12 @@ class StockBook:
         new = materialize(new)
         return new if cur is None else cur.unionByName(new, allowMissingColumns=True)
 
-    def _text_rows(self, docs: Iterable[dict | str], batch: int) -> DataFrame:
+    def _text_rows(self, docs: Iterable[dict | str] | DataFrame, batch: int) -> DataFrame:
+        """Documents as ``value`` and ``arrival``. A frame needs ``value``,
+        ``file`` and ``pos`` (see :mod:`stockflow.sources.landing`) and stays
+        distributed; a list is for a handful of documents."""
+        if isinstance(docs, DataFrame):
+            return landing.with_arrival(docs, batch).select("value", "arrival")
         rows = [(json.dumps(d) if not isinstance(d, str) else d, i) for i, d in enumerate(docs)]
         df = self.spark.createDataFrame(rows, "value string, doc_pos long")
         return df.select("value", F.struct(F.lit(batch).cast("long").alias("batch"),
@@ -78,22 +83,20 @@ class StockBook:
 
     # ---------------------------------------------------------------- import
     def import_inventory_rows(self, rows: DataFrame | list[dict]) -> DataFrame:
-        """STA-6: upsert items and mappings, ledger rows for unit changes."""
+        """STA-6: upsert items and mappings, ledger rows for unit changes.
+
+        A frame is one of a file scan, or has ``file`` and ``pos``: its rows
+        apply in file order, so the last row of a SKU wins."""
         if isinstance(rows, list):
             cols = sorted({k for r in rows for k in r})
             pdf = pd.DataFrame([{c: r.get(c) for c in cols} for r in rows], columns=cols).astype(object)
-            pdf["_pos"] = range(len(pdf))
-            schema = ", ".join(f"{c} string" for c in cols) + ", _pos long"
-            raw = self.spark.createDataFrame(pdf, schema)
+            pdf["pos"] = range(len(pdf))
+            schema = ", ".join(f"{c} string" for c in cols) + ", pos long"
+            raw = self.spark.createDataFrame(pdf, schema).withColumn("file", F.lit(""))
         else:
-            # Position in file order as read (rows of one file keep their order).
-            raw = rows.withColumn("_pos", F.monotonically_increasing_id())
+            raw = rows if {"file", "pos"} <= set(rows.columns) else landing.with_places(rows)
         batch, ts = self._next_batch()
-        norm = N.import_rows(raw)
-        norm = norm.withColumn("seq", F.struct(
-            ts.alias("ts"), F.lit(0).alias("kind"), F.col("_pos").cast("long").alias("doc_pos"),
-            F.lit(None).cast("long").alias("line_pos"), F.lit(None).cast("long").alias("tie1"),
-            F.lit(None).cast("double").alias("tie2"))).drop("_pos")
+        norm = N.import_rows(landing.import_order(raw, ts), self.default_location)
         norm = materialize(norm)
         changes = ledger.import_rows(norm).unionByName(ledger.state_rows(self.items))
         applied = materialize(ledger.apply_changes(changes))
@@ -106,13 +109,13 @@ class StockBook:
         return new_rows
 
     # ---------------------------------------------------------------- ingest
-    def ingest_shopify_orders(self, orders: Iterable[dict | str], now_ms: int = 0,
+    def ingest_shopify_orders(self, orders: Iterable[dict | str] | DataFrame, now_ms: int = 0,
                               sink: Callable | None = None) -> DataFrame:
         batch, ts = self._next_batch()
         docs, lines = orders_json.shopify_documents(self._text_rows(orders, batch), ts=ts)
         return self._ingest(docs, lines, batch, now_ms, sink)
 
-    def ingest_etsy_receipts(self, receipts: Iterable[dict | str], now_ms: int = 0,
+    def ingest_etsy_receipts(self, receipts: Iterable[dict | str] | DataFrame, now_ms: int = 0,
                              sink: Callable | None = None) -> DataFrame:
         batch, ts = self._next_batch()
         docs, lines = orders_json.etsy_documents(self._text_rows(receipts, batch), ts=ts)

@@ -299,3 +299,114 @@ def signed_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         case.alias("case"),
         F.when(case == "tampered", tampered).otherwise(body).cast("binary").alias("body"),
         sig.alias("signature"))
+
+
+# ------------------------------------------------------------------ landed files
+def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every order as an array, in the order of their JSON array."""
+    packed = F.struct("l_linenumber", "l_suppkey", "l_extendedprice", "l_partkey", "l_quantity")
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(packed)).alias("_lines"))
+
+
+def _line_json(o: Column, etsy: bool):
+    """JSON text of one line: SKU spelled as in :func:`lines`; Etsy gives even
+    line numbers as an array ``skus``; quantity 0 when o%97=0, 2.5 when o%89=0."""
+    def of(x: Column) -> Column:
+        k, n = _s(x["l_partkey"]), x["l_linenumber"]
+        sku = (F.when(x["l_partkey"] % 17 == 5, F.concat(F.lit("X-"), k)).when(n % 3 == 1, F.concat(F.lit(" SKU-"), k, F.lit(" ")))
+               .otherwise(F.concat(F.lit("SKU-"), k)))
+        qty = F.when(o % 97 == 0, F.lit("0")).when(o % 89 == 0, F.lit("2.5")).otherwise(_s(x["l_quantity"].cast("long")))
+        rest = F.concat(F.lit('"quantity":'), qty, F.lit(',"price":"'), _s(x["l_partkey"] % 100), F.lit('.50","title":"line '), _s(n), F.lit('"}'))
+        if etsy:
+            key = F.when(n % 2 == 0, F.concat(F.lit('{"skus":["'), sku, F.lit('"],'))).otherwise(F.concat(F.lit('{"sku":"'), sku, F.lit('",')))
+        else:
+            variant = F.when(n % 2 == 0, _s(100000 + x["l_partkey"])).otherwise(F.lit("null"))
+            key = F.concat(F.lit('{"sku":"'), sku, F.lit('","variant_id":'), variant, F.lit(","))
+        return F.concat(key, rest)
+
+    return of
+
+
+def shopify_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``o_orderkey, delivery, value``: Shopify orders (o%3<>0) as JSON text.
+
+    No id when o%101=0; cut off when o%103=0; two elements that are no objects
+    at the end of ``line_items`` when o%19=0; delivery 2 repeats o%5=0 under
+    another name."""
+    o = F.col("o_orderkey")
+    oid = _s(o)
+    docs = table(spark, sf_dir, "orders").where(o % 3 != 0).join(_order_lines(spark, sf_dir), o == F.col("l_orderkey"), "left")
+    times = F.when(o % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    docs = docs.select("*", F.explode(times).alias("delivery"))
+    name = F.when(F.col("delivery") == 2, F.concat(F.lit('"name":"#'), oid, F.lit(' again",'))).when(
+        o % 7 != 3, F.concat(F.lit('"name":"#'), oid, F.lit('",'))).otherwise(F.lit(""))
+    status = F.when(F.col("o_orderstatus") == "F", F.lit('"financial_status":"paid","fulfillment_status":null,')).otherwise(
+        F.concat(F.lit('"financial_status":null,"fulfillment_status":"fulfillment-'), F.col("o_orderstatus"), F.lit('",')))
+    lines = F.concat_ws(",", F.transform(F.coalesce("_lines", F.array()), _line_json(o, False)), F.when(o % 19 == 0, F.lit('"oops",null')))
+    whole = F.concat(F.lit("{"), F.when(o % 101 == 0, F.lit("")).otherwise(F.concat(F.lit('"id":'), oid, F.lit(","))), name, status,
+                     F.lit('"line_items":['), lines, F.lit("]}"))
+    return docs.select(o.alias("o_orderkey"), "delivery", F.when(o % 103 == 0, F.concat(F.lit('{"id":'), oid, F.lit(',"name":'))).otherwise(whole).alias("value"))
+
+
+def etsy_pages_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page, value``: pages of eight Etsy receipts (o%3=0) as JSON text.
+
+    A receipt is repeated inside its page under another name when o%5=0; its id
+    stands under ``transaction_id`` when o%7=0 and nowhere when o%101=0; its
+    lines stand under ``Transactions`` when o%2=0, beside a ``transactions``
+    that is a text when o%10=0. Pages divisible by 13 come with an answer
+    that has no receipts and one that is no JSON."""
+    o = F.col("o_orderkey")
+    oid = _s(o)
+    docs = table(spark, sf_dir, "orders").where(o % 3 == 0).join(_order_lines(spark, sf_dir), o == F.col("l_orderkey"), "left")
+    times = F.when(o % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    docs = docs.select("*", F.explode(times).alias("delivery"))
+    key = F.when(o % 101 == 0, F.lit("")).when(o % 7 == 0, F.concat(F.lit('"receipt_id":null,"transaction_id":'), oid, F.lit(","))).otherwise(
+        F.concat(F.lit('"receipt_id":'), oid, F.lit(",")))
+    name = F.when(F.col("delivery") == 2, F.lit('"name":"again",')).when(o % 4 == 1, F.concat(F.lit('"name":"Receipt '), oid, F.lit('",'))).otherwise(F.lit(""))
+    spelled = F.when(o % 10 == 0, F.lit('"transactions":"x","Transactions":[')).when(o % 2 == 0, F.lit('"Transactions":[')).otherwise(F.lit('"transactions":['))
+    receipt = F.concat(F.lit("{"), key, name, F.lit('"status":"'), F.col("o_orderpriority"), F.lit('",'), spelled,
+                       F.concat_ws(",", F.transform(F.coalesce("_lines", F.array()), _line_json(o, True))), F.lit("]}"))
+    pages = docs.groupBy(F.floor(o / 24).alias("page")).agg(F.sort_array(F.collect_list(F.struct(o.alias("o"), "delivery", receipt.alias("r")))).alias("_r"))
+    text = F.concat(F.lit('{"count":'), _s(F.size("_r")), F.lit(',"results":['), F.concat_ws(",", F.transform("_r", lambda x: x["r"])), F.lit("]}"))
+    bad = F.when(F.col("page") % 13 == 0, F.array(F.lit('{"error":"later"}'), F.lit("oops"))).otherwise(F.array().cast("array<string>"))
+    return pages.select("page", F.explode(F.concat(F.array(text), bad)).alias("value"))
+
+
+def land_text(rows: DataFrame, order: list[str], path: str, files: int = 6) -> str:
+    """``value`` as text files whose names, and lines, follow ``order``."""
+    rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("value").write.text(path)
+    return path
+
+
+def signed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``o_orderkey, delivery, body, signature``: the orders of
+    :func:`shopify_json` as webhook deliveries. The signature is missing when
+    o%13=0, made with another secret when o%11=0 and that of another body when
+    o%17=0; delivery 2 is delivery 1 again, byte for byte."""
+    from stockflow.functions.hmac import hmac_sha256_base64
+
+    o = F.col("o_orderkey")
+    sent = shopify_json(spark, sf_dir).where("delivery = 1").select(o, F.col("value").alias("body"))
+    sig = (F.when(o % 13 == 0, F.lit(None).cast("string")).when(o % 11 == 0, hmac_sha256_base64(F.col("body"), WRONG_SECRET))
+           .when(o % 17 == 0, hmac_sha256_base64(F.concat("body", F.lit(" ")), WEBHOOK_SECRET)).otherwise(hmac_sha256_base64(F.col("body"), WEBHOOK_SECRET)))
+    times = F.when(o % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return sent.select(o, F.explode(times).alias("delivery"), F.col("body").cast("binary").alias("body"), sig.alias("signature"))
+
+
+def inventory_files(spark: SparkSession, sf_dir: str, root: str) -> tuple[str, str]:
+    """Two folders of CSV files: the inventory, and a recount of p%6=1 that
+    names every SKU twice, first with five units too many."""
+    raw = inventory_raw(spark, sf_dir)
+    again = raw.where(F.col("_row") % 6 == 1).drop("available_units").join(
+        table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_row"), (F.col("p_size").cast("long") * 10).alias("_units")), "_row")
+    again = again.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("_time")).withColumn(
+        "available_units", F.when(F.col("_time") == 1, _s(F.col("_units") + 5)).otherwise(F.when(F.col("_row") % 18 == 1, F.lit("")).otherwise(_s(F.col("_units")))))
+
+    def land(rows: DataFrame, order: list[str], path: str) -> str:
+        out = rows.repartitionByRange(4, *order).sortWithinPartitions(*order).select(*S.INVENTORY_COLUMNS)
+        out.write.option("header", True).option("quote", "\u0000").option("emptyValue", "").option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+        return path
+
+    return land(raw, ["_row"], f"{root}/inventory"), land(again, ["_time", "_row"], f"{root}/recount")
