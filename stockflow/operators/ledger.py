@@ -113,7 +113,15 @@ def apply_changes(changes: DataFrame, inline_push: bool = False, materialize=Non
     )
     # The second scan runs over the chunks of the first.
     scanned = ordered_scan(scanned, ["internal_sku"], "seq", last_before={"_prev": marker})
+    return effects(scanned, changes.columns, inline_push)
 
+
+def effects(scanned: DataFrame, columns: list[str], inline_push: bool = False) -> DataFrame:
+    """What every change row does, from ``_cum`` (units sold so far, this row
+    included) and ``_prev`` (the state or import row in force before it, with
+    the units sold up to there). ``columns`` are kept; the rest as in
+    :func:`apply_changes`. Looks at no other row."""
+    is_sale = F.col("row_kind") == "sale"
     prev = F.col("_prev")
     has_prev = prev.isNotNull()
     base = prev["units"]
@@ -163,7 +171,7 @@ def apply_changes(changes: DataFrame, inline_push: bool = False, materialize=Non
     )
     value_after = F.when(is_sale, F.when(tracked, sale_after)).otherwise(new_units)
     return scanned.select(
-        *[c for c in changes.columns],
+        *columns,
         before.alias("before_units"),
         after.alias("after_units"),
         change.alias("change_units"),

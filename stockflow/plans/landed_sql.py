@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stockflow.plans import catalogue_sql
 from stockflow.plans.catalogue_sql import INV_RAW, _norm_select
 
 #: Lines with their place in the order's JSON array, as the files spell them.
@@ -102,3 +103,4 @@ SQL: dict[str, str] = {
         UNION ALL SELECT platform, 'stored', count(*) FROM d WHERE outcome = 'processed' GROUP BY 1
         UNION ALL SELECT platform, 'stored_lines', CAST(coalesce(sum(lines), 0) AS BIGINT) FROM d LEFT JOIN n USING (platform, o) WHERE outcome = 'processed' GROUP BY 1""",
 }
+SQL["stream_keyed_ledger"] = catalogue_sql.SQL["ledger_with_imports"]
