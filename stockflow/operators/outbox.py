@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockflow import schemas as S
+from stockflow.operators.scan import ordered_scan
 
 PAIR = ["internal_sku", "platform"]
 JOB_COLUMNS = [f.name for f in S.PUSH_JOB.fields]
@@ -295,6 +296,43 @@ def attempt_history(jobs: DataFrame, routed_ok: DataFrame, start_ms_col: str = "
                     F.when(~skipped & ~F.col("ok"), F.col("error")).alias("error"))
 
 
+def number_attempts(log: DataFrame, keys: list[str], order: str, max_attempts: int = S.PUSH_MAX_ATTEMPTS,
+                    retry_base_ms: int = S.PUSH_RETRY_BASE_MS, materialize=None) -> DataFrame:
+    """WIN-8 / SNK-3: a landed attempt log, numbered.
+
+    ``log`` has ``keys`` (the job), ``order`` (a total order inside a job),
+    ``platform``, ``kind`` (``attempt``, or ``requeue`` where a requeue took
+    effect), ``ok``, ``skip_reason`` and ``error``. A marker opens an
+    ``epoch``, in which attempts count from 1; the first success, skip or last
+    allowed failure ends it. Attempts after that should not have been made:
+    they keep their number and are ``superfluous``.
+
+    Running counts come from ordered scans over one set of chunks, so a job
+    with any number of attempts spans as many tasks as its rows need."""
+    cols = log.columns
+    attempt = F.col("kind") == "attempt"
+    rows = ordered_scan(log, keys, order, sums={"epoch": F.when(attempt, 0).otherwise(1), "_made": F.when(attempt, 1).otherwise(0)}, materialize=materialize)
+    rows = ordered_scan(rows, keys, order, last_before={"_start": F.when(~attempt, F.struct(F.col("_made").alias("n")))})
+    rows = rows.withColumn("attempt_no", (F.col("_made") - F.coalesce(F.col("_start.n"), F.lit(0))).cast("long"))
+    skipped, k = F.col("skip_reason").isNotNull(), F.col("attempt_no")
+    dead = ~skipped & ~F.col("ok") & (k >= max_attempts)
+    ends = attempt & (skipped | F.col("ok") | dead)
+    rows = ordered_scan(rows, keys, order, sums={"_ended": F.when(ends, 1).otherwise(0)})
+    rows = ordered_scan(rows, keys, order, last_before={"_closed": F.when(~attempt, F.struct(F.col("_ended").alias("n")))})
+    earlier = F.col("_ended") - F.when(ends, 1).otherwise(0) - F.coalesce(F.col("_closed.n"), F.lit(0))
+    outcome = (F.when(skipped, F.lit("skipped")).when(F.col("ok"), F.lit("succeeded"))
+               .when(dead, F.lit("dead_letter")).otherwise(F.lit("retry_scheduled")))
+    # Numbers beyond the limit are superfluous; their delay is that of the last allowed.
+    delay = F.lit(retry_base_ms) * _pow2(F.least(k, F.lit(max_attempts)) - 1)
+    message = (
+        F.when(skipped, F.col("skip_reason"))
+        .when(F.col("ok"), F.format_string(S.LOG_SUCCESS_FORMAT, F.col("platform"), k))
+        .when(dead, F.format_string(S.LOG_DEAD_FORMAT, k, F.col("error")))
+        .otherwise(F.format_string(S.LOG_RETRY_FORMAT, k, delay, F.col("error"))))
+    return rows.where(attempt).select(*cols, F.col("epoch").cast("long").alias("epoch"), "attempt_no", outcome.alias("outcome"),
+                                      message.alias("message"), (earlier > 0).alias("superfluous"))
+
+
 def jobs_after_history(jobs: DataFrame, history: DataFrame) -> DataFrame:
     """Job table after its whole attempt history (last attempt per job)."""
     last = history.groupBy("job_id").agg(F.max_by(F.struct("attempt_no", "attempt_at", "outcome", "message",

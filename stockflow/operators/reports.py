@@ -7,10 +7,11 @@ limit is the feature.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockflow import schemas as S
+from stockflow.operators.scan import ordered_scan
 from stockflow.sources.orders_json import line_index
 
 
@@ -87,17 +88,14 @@ def percentiles_nearest_rank(df: DataFrame, group_cols: list[str], value: str,
     """AGG-7: element ``min(n-1, floor(p/100*n))`` of each group's sorted values.
 
     Exact and skew-safe: values are first counted per (group, value) with a
-    partial/final aggregate; the rank walk runs over the distinct-value
-    histogram (one row per distinct value), never over the raw rows. For
-    high-cardinality values use ``percentile_approx`` instead.
+    partial/final aggregate; the histogram is cut into ranges of its order,
+    ranges are counted, and the running count inside a range starts from the
+    ranges before it (:func:`stockflow.operators.scan.ordered_scan`), so no
+    group, however many values it has, meets in one task.
     """
     hist = df.groupBy(*group_cols, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*group_cols).orderBy(value)
-    hist = hist.select(
-        "*",
-        (F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("_cum"),
-        F.sum("_c").over(Window.partitionBy(*group_cols)).alias("_n"),
-    )
+    hist = ordered_scan(hist, group_cols, value, sums={"_cum": F.col("_c")})
+    hist = hist.join(hist.groupBy(*group_cols).agg(F.sum("_c").alias("_n")), group_cols)
     out = hist
     aggs = []
     for p in ps:

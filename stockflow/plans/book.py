@@ -57,6 +57,7 @@ class StockBook:
         self.jobs = outbox.empty_jobs(spark)
         self.logs = None
         self.runs = None
+        self.run_details = None
 
     # ---------------------------------------------------------------- helpers
     def _next_batch(self) -> tuple[int, F.Column]:
@@ -209,6 +210,7 @@ class StockBook:
         if persist:
             run_no = 0 if self.runs is None else self.runs.count()
             self.runs = self._append(self.runs, reconcile.run_record(rep, run_no + 1))
+            self.run_details = self._append(self.run_details, reconcile.run_details(rep, run_no + 1))
         return rep
 
     # ---------------------------------------------------------------- read models

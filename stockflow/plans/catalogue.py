@@ -255,6 +255,13 @@ def double_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.double_delivery(logs)
 
 
+def attempt_log_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN-8/SNK-3: the landed attempt log, numbered by job and requeue epoch."""
+    log = TD.attempt_log(spark, sf_dir)
+    return outbox.number_attempts(log, ["job_id"], "at").select(
+        "job_id", F.col("at.event_id").alias("event_id"), "epoch", "attempt_no", "outcome", "message", "superfluous")
+
+
 # ---------------------------------------------------------------- reconcile
 def _reconciled(spark: SparkSession, sf_dir: str):
     def build():
@@ -337,12 +344,12 @@ def recent_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exactly_once_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-9/JN-13: deliveries vs distinct events vs processed, sale rows, and
-    SKUs whose live stock is not the ledger's last value."""
+    SKUs whose live stock the imports and the winning lines do not explain."""
     ing = _ingested(spark, sf_dir)
     docs = ing.documents
     led = ledger.ledger_rows(ing.applied)
     items = ledger.final_units(ing.applied)
-    mism = reconcile.drift(led, items)
+    mism = reconcile.stock_proof(TD.imports(spark, sf_dir), ing.lines.filter("line_valid"), items)
     tagged = (
         docs.select(F.lit("d").alias("k"), "status", F.struct("platform", "external_event_id").alias("ev"))
         .unionByName(led.filter(F.col("reason") == S.REASON_SALE).select(
@@ -501,6 +508,7 @@ QUERIES = {
     "due_jobs_topk": due_jobs_topk,
     "job_claim": job_claim,
     "push_attempt_history": push_attempt_history,
+    "attempt_log_numbered": attempt_log_numbered,
     "requeue": requeue,
     "dead_letters": dead_letters,
     "double_delivery": double_delivery,

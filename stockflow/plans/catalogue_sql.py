@@ -500,21 +500,6 @@ SQL["recent_ledger"] = with_reports(f"""
 SELECT internal_sku, strftime(ts, '%Y-%m-%d') AS event_date, doc_pos, line_pos, tie1, reason, change_units,
        before_units, after_units
 FROM ledger ORDER BY {ORD_DESC}, internal_sku DESC LIMIT 50""")
-SQL["exactly_once_audit"] = with_reports("""
-SELECT deliveries, distinct_events, processed, duplicates, sale_rows, stock_mismatch,
-       (processed = distinct_events AND stock_mismatch = 0) AS exactly_once
-FROM (SELECT
-  (SELECT count(*) FROM doc_outcome) AS deliveries,
-  (SELECT count(*) FROM (SELECT DISTINCT platform, external_event_id FROM doc_outcome) t) AS distinct_events,
-  (SELECT count(*) FROM doc_outcome WHERE status = 'processed') AS processed,
-  (SELECT count(*) FROM doc_outcome WHERE status = 'duplicate') AS duplicates,
-  (SELECT count(*) FROM ledger WHERE reason = 'sale') AS sale_rows,
-  (SELECT count(*) FROM (
-     SELECT l.internal_sku FROM (
-       SELECT internal_sku, after_units, row_number() OVER (PARTITION BY internal_sku ORDER BY {ORD_DESC}) AS r
-       FROM ledger) l JOIN final_stock f ON l.internal_sku = f.internal_sku
-     WHERE l.r = 1 AND l.after_units IS NOT NULL AND f.available_units IS DISTINCT FROM l.after_units) t)
-    AS stock_mismatch) x""".replace("{ORD_DESC}", ORD_DESC))
 SQL["percentiles_nearest_rank"] = with_reports("""
 SELECT platform, n,
   max(CASE WHEN idx = least(n - 1, CAST(floor(50 / 100.0 * n) AS BIGINT)) THEN units END) AS p50,
@@ -589,3 +574,37 @@ SELECT internal_sku, platform, status, attempts,
   last_error, outcome
 FROM round1""")
 SQL["stream_audit"] = with_outbox("SELECT internal_sku AS key, platform, target_quantity FROM jobs0")
+
+SQL["attempt_log_numbered"] = """
+WITH e AS (
+  SELECT *, event_type <> 'signup' AS attempt, event_type = 'purchase' AS ok, event_type = 'click' AND event_id % 10 = 0 AS skipped,
+    CASE WHEN user_id % 2 = 0 THEN 'shopify' ELSE 'etsy' END AS platform,
+    CAST(sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS epoch
+  FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id, epoch ORDER BY ts, event_id) AS attempt_no FROM e WHERE attempt),
+t AS (SELECT *, (skipped OR ok OR attempt_no >= 5) AS ends FROM n)
+SELECT user_id AS job_id, event_id, epoch, attempt_no,
+  CASE WHEN skipped THEN 'skipped' WHEN ok THEN 'succeeded' WHEN attempt_no >= 5 THEN 'dead_letter' ELSE 'retry_scheduled' END AS outcome,
+  CASE WHEN skipped THEN 'no route'
+       WHEN ok THEN platform || ' inventory updated (attempt ' || attempt_no || ')'
+       WHEN attempt_no >= 5 THEN 'dead-lettered after ' || attempt_no || ' attempts: refused: ' || event_type
+       ELSE 'attempt ' || attempt_no || ' failed, retry in ' || (5000 * (1::BIGINT << (attempt_no - 1)::INT)) || 'ms: refused: ' || event_type END AS message,
+  coalesce(sum(ends::INT) OVER (PARTITION BY user_id, epoch ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS superfluous
+FROM t"""
+
+SQL["exactly_once_audit"] = with_reports("""
+SELECT deliveries, distinct_events, processed, duplicates, sale_rows, stock_mismatch,
+       (processed = distinct_events AND stock_mismatch = 0) AS exactly_once
+FROM (SELECT
+  (SELECT count(*) FROM doc_outcome) AS deliveries,
+  (SELECT count(*) FROM (SELECT DISTINCT platform, external_event_id FROM doc_outcome) t) AS distinct_events,
+  (SELECT count(*) FROM doc_outcome WHERE status = 'processed') AS processed,
+  (SELECT count(*) FROM doc_outcome WHERE status = 'duplicate') AS duplicates,
+  (SELECT count(*) FROM ledger WHERE reason = 'sale') AS sale_rows,
+  (SELECT count(*) FROM (
+     SELECT i.internal_sku, CASE WHEN any_value(i.units) IS NOT NULL THEN greatest(0, any_value(i.units) - coalesce(sum(w.quantity), 0)) END AS proven
+     FROM (SELECT * FROM imports QUALIFY row_number() OVER (PARTITION BY internal_sku ORDER BY ts DESC) = 1) i
+     LEFT JOIN won w ON w.internal_sku = i.internal_sku AND w.line_valid AND w.ts >= i.ts GROUP BY i.internal_sku) p
+   FULL JOIN final_stock f ON p.internal_sku = f.internal_sku
+   WHERE p.proven IS DISTINCT FROM f.available_units OR p.internal_sku IS NULL OR f.internal_sku IS NULL)
+    AS stock_mismatch) x""")

@@ -410,3 +410,18 @@ def inventory_files(spark: SparkSession, sf_dir: str, root: str) -> tuple[str, s
         return path
 
     return land(raw, ["_row"], f"{root}/inventory"), land(again, ["_time", "_row"], f"{root}/recount")
+
+
+def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a landed attempt log: the user is the job, ``signup`` a
+    requeue that took effect, ``purchase`` a delivery that succeeded, ``click``
+    a skip when event_id%10=0, everything else a refused delivery."""
+    e = F.col("event_type")
+    skipped = (e == "click") & (F.col("event_id") % 10 == 0)
+    ok = e == "purchase"
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("job_id"), F.struct("ts", "event_id").alias("at"),
+        F.when(F.col("user_id") % 2 == 0, F.lit("shopify")).otherwise(F.lit("etsy")).alias("platform"),
+        F.when(e == "signup", F.lit("requeue")).otherwise(F.lit("attempt")).alias("kind"), ok.alias("ok"),
+        F.when(skipped, F.lit("no route")).alias("skip_reason"),
+        F.when(~ok & ~skipped, F.concat(F.lit("refused: "), e)).alias("error"))
