@@ -16,24 +16,28 @@ from pyspark.sql import types as T
 from stockflow import schemas as S
 
 
-def encode_events(jobs: DataFrame) -> DataFrame:
-    """SNK-8 / PRJ-21 encode."""
+def encode_events(jobs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """SNK-8 / PRJ-21 encode; columns of ``keep`` stay beside the message."""
     return jobs.select(
+        *(keep or []),
         F.col("internal_sku").alias("key"),
         F.to_json(F.struct("job_id", "internal_sku", "platform", "target_quantity")).alias("value"))
 
 
-def decode_events(messages: DataFrame) -> DataFrame:
-    """PRJ-21 decode; undecodable messages are dropped (missing fields -> 0 / '')."""
+def parse_events(messages: DataFrame) -> DataFrame:
+    """``messages`` without the text and with the event's columns, all null
+    where it cannot be decoded (missing fields -> 0 / '')."""
     schema = T.StructType([*S.STOCK_EVENT.fields, T.StructField("_corrupt", T.StringType())])
-    d = messages.select("key", F.from_json(F.col("value").cast("string"), schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("e"))
-    d = d.filter(F.col("e").isNotNull() & F.col("e._corrupt").isNull())
-    return d.select(
-        "key",
-        F.coalesce(F.col("e.job_id"), F.lit(0)).cast("long").alias("job_id"),
-        F.coalesce(F.col("e.internal_sku"), F.lit("")).alias("internal_sku"),
-        F.coalesce(F.col("e.platform"), F.lit("")).alias("platform"),
-        F.coalesce(F.col("e.target_quantity"), F.lit(0)).cast("long").alias("target_quantity"))
+    d = messages.withColumn("_e", F.from_json(F.col("value").cast("string"), schema, {"columnNameOfCorruptRecord": "_corrupt"}))
+    good = F.col("_e").isNotNull() & F.col("_e._corrupt").isNull()
+    missing = {"string": F.lit(""), "bigint": F.lit(0)}
+    return d.select(*[c for c in messages.columns if c != "value"], *[
+        F.when(good, F.coalesce(F.col("_e")[f.name], missing[f.dataType.simpleString()]).cast(f.dataType)).alias(f.name) for f in S.STOCK_EVENT.fields])
+
+
+def decode_events(messages: DataFrame) -> DataFrame:
+    """PRJ-21 decode; undecodable messages are dropped."""
+    return parse_events(messages.select("key", "value")).where(F.col("job_id").isNotNull())
 
 
 def consumable(events: DataFrame, jobs: DataFrame) -> DataFrame:
