@@ -99,20 +99,12 @@ def apply_changes(changes: DataFrame, inline_push: bool = False, materialize=Non
     should be materialised. ``chunks`` as in :func:`ordered_scan`.
     """
     is_sale = F.col("row_kind") == "sale"
-    marker = F.when(
-        ~is_sale,
-        F.struct(
-            F.col("available_units").alias("units"), F.col("tier").alias("tier"),
-            F.col("sync_enabled").alias("sync_enabled"), F.col("_cum").alias("cum"),
-        ),
-    )
+    marker = F.when(~is_sale, F.struct(F.col("available_units").alias("units"), "tier", "sync_enabled"))
     scanned = ordered_scan(
         changes, ["internal_sku"], "seq",
-        sums={"_cum": F.when(is_sale, F.col("quantity")).otherwise(F.lit(0))},
-        chunks=chunks, materialize=materialize,
-    )
-    # The second scan runs over the chunks of the first.
-    scanned = ordered_scan(scanned, ["internal_sku"], "seq", last_before={"_prev": marker})
+        sums={"cum": F.when(is_sale, F.col("quantity")).otherwise(F.lit(0))}, last_before={"_prev": marker},
+        chunks=chunks, materialize=materialize, stamp=True,
+    ).withColumnRenamed("cum", "_cum")
     return effects(scanned, changes.columns, inline_push)
 
 

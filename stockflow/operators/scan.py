@@ -52,9 +52,15 @@ def ordered_scan(
     last_before: dict[str, Column] | None = None,
     chunks: int | None = None,
     materialize=None,
+    stamp: bool = False,
 ) -> DataFrame:
     """Add running-sum and last-non-null-before columns per key in ``order``.
 
+    ``stamp``: the ``last_before`` values are structs and get the running sums
+    of the row they come from as further fields. One pass over the chunks
+    gives both: sums inside a chunk first, those of the chunks before it from
+    the summary.
+
     ``order`` names a column whose values give a total order inside each
     key. The output keeps the chunk column: a later scan over the same keys
     and order reuses the chunks (and their partitioning).
@@ -68,33 +74,46 @@ def ordered_scan(
     tmp.update({f"_scan_l_{n}": e for n, e in last_before.items()})
     base = df.select("*", *[e.alias(n) for n, e in tmp.items()])
 
+    w = Window.partitionBy(*keys, CHUNK).orderBy(order)
+    incl = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    excl = w.rowsBetween(Window.unboundedPreceding, -1)
+    fields = {n: base.schema[f"_scan_l_{n}"].dataType.names for n in last_before} if stamp else {}
+
+    def stamped(value: Column, n: str, totals: dict[str, Column]) -> Column:
+        """The struct ``value`` with these sums."""
+        if not stamp:
+            return value
+        return F.when(value.isNotNull(), F.struct(*[value[f].alias(f) for f in fields[n]], *[c.alias(s) for s, c in totals.items()]))
+
+    summed = base.select("*", *[F.coalesce(F.sum(f"_scan_s_{n}").over(incl), F.lit(0)).alias(f"_local_s_{n}") for n in sums])
+    inside = {n: F.col(f"_local_s_{n}") for n in sums}
+    marked = summed.select(*[c for c in summed.columns if not c.startswith("_scan_l_")],
+                           *[stamped(F.col(f"_scan_l_{n}"), n, inside).alias(f"_scan_l_{n}") for n in last_before])
+
     aggs = []
     for n in sums:
         aggs.append(F.sum(f"_scan_s_{n}").alias(f"_part_s_{n}"))
     for n in last_before:
         c = F.col(f"_scan_l_{n}")
         aggs.append(F.max_by(c, F.when(c.isNotNull(), F.col(order))).alias(f"_part_l_{n}"))
-    summary = base.groupBy(*keys, CHUNK).agg(*aggs)
+    summary = (marked if stamp else base).groupBy(*keys, CHUNK).agg(*aggs)
     wc = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry_cols = []
-    for n in sums:
-        carry_cols.append(F.coalesce(F.sum(f"_part_s_{n}").over(wc), F.lit(0)).alias(f"_carry_s_{n}"))
-    for n in last_before:
-        carry_cols.append(F.last(f"_part_l_{n}", ignorenulls=True).over(wc).alias(f"_carry_l_{n}"))
-    carry = summary.select(*keys, CHUNK, *carry_cols)
+    carry = summary.select("*", *[F.coalesce(F.sum(f"_part_s_{n}").over(wc), F.lit(0)).alias(f"_carry_s_{n}") for n in sums])
 
-    w = Window.partitionBy(*keys, CHUNK).orderBy(order)
-    incl = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    excl = w.rowsBetween(Window.unboundedPreceding, -1)
-    local = base
-    for n in sums:
-        local = local.withColumn(f"_local_s_{n}", F.coalesce(F.sum(f"_scan_s_{n}").over(incl), F.lit(0)))
-    for n in last_before:
-        local = local.withColumn(f"_local_l_{n}", F.last(f"_scan_l_{n}", ignorenulls=True).over(excl))
+    def whole(value: Column) -> dict[str, Column]:
+        """The sums of a struct that counts inside its chunk, over all chunks."""
+        return {s: value[s] + F.col(f"_carry_s_{s}") for s in sums} if stamp else {}
+
+    parts = {n: F.col(f"_part_l_{n}") for n in last_before}
+    carry = carry.select(*keys, CHUNK, *[f"_carry_s_{n}" for n in sums],
+                         *[F.last(stamped(v, n, whole(v)), ignorenulls=True).over(wc).alias(f"_carry_l_{n}") for n, v in parts.items()])
+
+    local = marked.select("*", *[F.last(f"_scan_l_{n}", ignorenulls=True).over(excl).alias(f"_local_l_{n}") for n in last_before])
     joined = local.join(carry, on=[*keys, CHUNK], how="inner")
     out_cols = [F.col(c) for c in df.columns]
     for n in sums:
         out_cols.append((F.col(f"_local_s_{n}") + F.col(f"_carry_s_{n}")).alias(n))
     for n in last_before:
-        out_cols.append(F.coalesce(F.col(f"_local_l_{n}"), F.col(f"_carry_l_{n}")).alias(n))
+        here = F.col(f"_local_l_{n}")
+        out_cols.append(F.coalesce(stamped(here, n, whole(here)), F.col(f"_carry_l_{n}")).alias(n))
     return joined.select(*out_cols)
