@@ -1,15 +1,16 @@
-"""Registered queries over the durable outbox: relay rounds with refused
-messages, and the write-back consumer with its attempt log."""
+"""Registered queries over tables with a history: relay rounds with refused
+messages, the write-back consumer with its attempt log, lines resolved with the
+mapping of their time."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockflow.operators import outbox
+from stockflow.operators import mapping_versions, outbox
 from stockflow.plans import catalogue
 from stockflow.sources import testdata as TD
-from stockflow.store import TableStore, scratch_root
+from stockflow.store import TableStore, materialize, scratch_root
 from stockflow.streaming import writeback
 
 NOW_MS = TD.NOW_MS
@@ -46,7 +47,16 @@ def writeback_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consumer.read("attempts").select("internal_sku", "platform", "target_quantity", "attempt_no", "attempt_at", "outcome", "message")
 
 
+def sku_resolution_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN-1..4/STA-7: every delivered line with the SKU its mapping named when
+    it happened; parts are imported late and keys move between them."""
+    lines = TD.lines(spark, sf_dir).select("platform", "external_event_id", "arrival", "seq", "platform_sku", "variant_id")
+    return mapping_versions.resolve_as_of(lines, TD.mapping_versions(spark, sf_dir), materialize).select(
+        "platform", "external_event_id", F.col("arrival.batch").alias("delivery"), *catalogue._seq_cols(), "platform_sku", "variant_id", "internal_sku")
+
+
 QUERIES = {
+    "sku_resolution_as_of": sku_resolution_as_of,
     "relay_release": relay_release,
     "writeback_attempts": writeback_attempts,
 }

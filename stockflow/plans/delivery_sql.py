@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stockflow.plans.catalogue_sql import NOW, with_outbox
+from stockflow.plans.catalogue_sql import DOCS, INV, NOW, with_outbox
 
 SQL: dict[str, str] = {
     "relay_release": with_outbox(f"""
@@ -17,4 +17,21 @@ FROM (
     "writeback_attempts": with_outbox("""
 SELECT h.internal_sku, h.platform, j.target_quantity, attempt_no, attempt_at, outcome, message
 FROM hist h JOIN jobs0 j USING (internal_sku, platform) WHERE attempt_no <= 2"""),
+    "sku_resolution_as_of": f"""WITH {INV},{DOCS},
+ver AS (
+  SELECT internal_sku, CASE WHEN _row % 4 = 1 THEN TIMESTAMP '1995-01-01' ELSE TIMESTAMP '1990-01-01' END AS since, shopify_variant_id, shopify_sku, etsy_sku FROM inv
+  UNION ALL
+  SELECT internal_sku, TIMESTAMP '1997-01-01', NULL, 'SKU-' || (_row + 1), etsy_sku FROM inv WHERE _row % 6 = 1),
+held AS (SELECT *, lead(since, 1, TIMESTAMP '9999-01-01') OVER (PARTITION BY internal_sku ORDER BY since) AS until FROM ver),
+wanted AS (SELECT DISTINCT ts, platform, variant_id, nullif(trim(platform_sku), '') AS sku FROM lines),
+v AS (SELECT w.ts, w.variant_id, min(internal_sku) AS s FROM (SELECT DISTINCT ts, variant_id FROM wanted WHERE platform = 'shopify') w
+      JOIN held ON shopify_variant_id = w.variant_id AND since <= w.ts AND w.ts < until GROUP BY 1, 2),
+c AS (SELECT w.ts, w.platform, w.sku, min(internal_sku) AS s FROM (SELECT DISTINCT ts, platform, sku FROM wanted) w
+      JOIN (SELECT 'shopify' AS platform, shopify_sku AS sku, internal_sku, since, until FROM held
+            UNION ALL SELECT 'etsy', etsy_sku, internal_sku, since, until FROM held) h
+        ON h.platform = w.platform AND h.sku = w.sku AND since <= w.ts AND w.ts < until GROUP BY 1, 2, 3)
+SELECT l.platform, l.external_event_id, CAST(l.delivery AS BIGINT) AS delivery, strftime(l.ts, '%Y-%m-%d') AS event_date, l.doc_pos, l.line_pos, l.tie1,
+  l.platform_sku, l.variant_id, coalesce(v.s, c.s) AS internal_sku
+FROM lines l LEFT JOIN v ON l.platform = 'shopify' AND v.ts = l.ts AND v.variant_id = l.variant_id
+  LEFT JOIN c ON c.ts = l.ts AND c.platform = l.platform AND c.sku = nullif(trim(l.platform_sku), '')""",
 }

@@ -37,6 +37,8 @@ REFUSED = "delivery refused by the fixture"
 
 INITIAL_IMPORT_TS = "1990-01-01 00:00:00"
 RECOUNT_IMPORT_TS = "1998-06-01 00:00:00"
+LATE_IMPORT_TS = "1995-01-01 00:00:00"
+MOVED_TS = "1997-01-01 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,6 +134,21 @@ def initial_items_and_mapping(spark: SparkSession, sf_dir: str) -> tuple[DataFra
     return norm.select(*S.ITEM_COLUMNS), norm.select(*S.MAPPING_COLUMNS)
 
 
+def mapping_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mappings over time: a part is imported in 1990, or in 1995 when p%4=1;
+    in 1997 parts p%6=1 give up their variant and take the Shopify SKU of p+1."""
+    p = F.col("_row")
+    norm = N.import_rows(inventory_raw(spark, sf_dir)).select("_row", *S.MAPPING_COLUMNS)
+
+    def at(ts: str) -> Column:
+        return _import_seq(ts, p)
+
+    first = norm.withColumn("seq", F.when(p % 4 == 1, at(LATE_IMPORT_TS)).otherwise(at(INITIAL_IMPORT_TS)))
+    moved = norm.where(p % 6 == 1).withColumn("shopify_variant_id", F.lit(None).cast("string")).withColumn(
+        "shopify_sku", F.concat(F.lit("SKU-"), _s(p + 1))).withColumn("seq", at(MOVED_TS))
+    return first.unionByName(moved).drop("_row")
+
+
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("o_orderkey")
     platform = F.when(o % 3 == 0, F.lit("etsy")).otherwise(F.lit("shopify"))
