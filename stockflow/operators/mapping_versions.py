@@ -25,6 +25,15 @@ KINDS = {"variant": "shopify_variant_id", "shopify": "shopify_sku", "etsy": "ets
 KEY = ["kind", "key"]
 
 
+def version_rows(mapping: DataFrame | None, imports: DataFrame) -> DataFrame:
+    """The mapping before a batch, sorted first, and the imports of the batch."""
+    cols = ["internal_sku", "seq", *KINDS.values()]
+    if mapping is None:
+        return imports.select(*cols)
+    first = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in imports.schema["seq"].dataType.fields])
+    return mapping.withColumn("seq", first).select(*cols).unionByName(imports.select(*cols))
+
+
 def key_changes(versions: DataFrame, materialize=None) -> DataFrame:
     """``(kind, key, seq, internal_sku, holds, pos)``: a SKU takes or gives up
     a channel key; ``pos`` counts the key's changes from 1. ``versions`` has

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockflow import schemas as S
-from stockflow.operators import dedupe, ledger, resolve
+from stockflow.operators import dedupe, ledger, mapping_versions, resolve
 
 LINE_ID = ["platform", "external_event_id", "external_order_id", "seq"]
 
@@ -43,16 +43,24 @@ def ingest(
     state: DataFrame | None = None,
     store: DataFrame | None = None,
     inline_push: bool = False,
+    versions: DataFrame | None = None,
     materialize: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Ingested:
     """``materialize`` (e.g. :func:`stockflow.store.materialize`) is applied at
     the three stage boundaries: document outcomes, resolved lines, applied
-    changes. Downstream reports then start from the checkpoint."""
+    changes. Downstream reports then start from the checkpoint.
+
+    ``versions`` (see :func:`mapping_versions.version_rows`): lines are resolved
+    with the mapping in force at their ``seq`` instead of ``mapping``."""
     mat = materialize or (lambda df: df)
     docs = mat(dedupe.document_outcomes(documents, store))
     winners = docs.filter(F.col("status") == "processed")
     won = dedupe.winning_lines(lines, winners)
-    resolved = mat(resolve.resolve_lines(won, items, mapping).withColumn("line_valid", valid_line()))
+    if versions is None:
+        named = resolve.resolve_lines(won, items, mapping)
+    else:
+        named = mapping_versions.resolve_as_of(won, versions, materialize)
+    resolved = mat(named.withColumn("line_valid", valid_line()))
 
     parts = [ledger.sale_rows(resolved.filter("line_valid"))]
     if imports is not None:

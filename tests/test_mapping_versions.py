@@ -1,7 +1,10 @@
 """Resolution as of a line's place against a walk over all versions."""
 
+import datetime as dt
 import random
 
+from pyspark.sql import types as T
+
 from stockflow.operators import mapping_versions as mv
 
 
@@ -32,3 +35,41 @@ def test_lines_take_the_mapping_of_their_time(spark):
     assert len(got) == len(lines) and {r.id: r.internal_sku for r in got} == want
     assert len({x for x in want.values()}) > 5
     assert [r.internal_sku for r in mv.resolve_as_of(df.where("id < 3"), v.limit(0)).collect()] == [None] * 3
+
+
+def test_a_sale_before_its_import_is_unresolved_in_one_batch_as_in_two(spark):
+    from pyspark.sql import functions as F
+
+    from stockflow import schemas as S
+    from stockflow.store import TableStore, scratch_root
+    from stockflow.streaming import ingest_stream as ing
+
+    def place(day, kind):
+        return (dt.datetime(2024, 1, day), kind, 0, 0, None, None)
+
+    def feed(imports, sales):
+        new = spark.createDataFrame([(sku, units, key, place(day, 0)) for sku, day, units, key in imports],
+                                    T.StructType([T.StructField("internal_sku", T.StringType()), T.StructField("available_units", T.LongType()),
+                                                  T.StructField("shopify_sku", T.StringType()), T.StructField("seq", S.SEQ)]))
+        fixed = {"tier": F.lit("tier1"), "sync_enabled": F.lit(1), "monitoring_enabled": F.lit(1), "low_stock_threshold": F.lit(0).cast("long"),
+                 "units_per_pack": F.lit(None).cast("long")}
+        new = new.select(*[F.col(c) if c in new.columns else fixed.get(c, F.lit(None).cast("string")).alias(c) for c in ing.IMPORT_COLS])
+        docs = spark.createDataFrame([("shopify", f"e{i}", f"o{i}", f"n{i}", "paid", "", day) for i, day, _ in sales],
+                                     "platform string, external_event_id string, external_order_id string, order_name string, order_status string, note string, arrival int")
+        lines = spark.createDataFrame([(f"e{i}", place(day, 1), key, 1, True) for i, day, key in sales],
+                                      T.StructType([T.StructField("external_event_id", T.StringType()), T.StructField("seq", S.SEQ), T.StructField("platform_sku", T.StringType()),
+                                                    T.StructField("quantity", T.LongType()), T.StructField("quantity_valid", T.BooleanType())]))
+        lines = docs.join(lines, "external_event_id").withColumns({c: F.lit(None).cast("string") for c in ("variant_id", "unit_price", "title")})
+        return ing.change_feed(new, docs, lines)
+
+    def outcome(*batches):
+        store = TableStore(spark, scratch_root(spark, "asof"))
+        for i, b in enumerate(batches):
+            assert ing.process_batch(store, b, i)
+        return sorted((r.external_order_id, r.status, r.internal_sku) for r in store.read("line_results").collect())
+
+    start, late = [("A", 1, 9, "x")], [("A", 5, 9, "y"), ("B", 5, 4, "x")]
+    sales, later = [(1, 2, "x"), (2, 3, "y")], [(3, 6, "x"), (4, 7, "y")]
+    one = outcome(feed(start + late, sales + later))
+    assert one == [("o1", "enqueued", "A"), ("o2", "unresolved", None), ("o3", "enqueued", "B"), ("o4", "enqueued", "A")]
+    assert outcome(feed(start, sales), feed(late, later)) == one
