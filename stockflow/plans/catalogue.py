@@ -25,10 +25,20 @@ from stockflow.store import materialize
 _CACHE: dict = {}
 
 
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, size and time of the table files under ``sf_dir``: changed tables are read anew."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    tables = [s for s in fs.listStatus(root) if s.getPath().getName().endswith(".parquet")]
+    files = [f for s in tables for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    return tuple(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def _cached(spark: SparkSession, sf_dir: str, name: str, build):
     """Stage results shared by several catalogue queries, checkpointed once
-    per session and input folder (reliable checkpoints in spark.checkpoint.dir)."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    per session and state of the input files (reliable checkpoints in spark.checkpoint.dir)."""
+    key = (spark.sparkContext.applicationId, sf_dir, _files(spark, sf_dir), name)
     if key not in _CACHE:
         _CACHE[key] = build()
     return _CACHE[key]
