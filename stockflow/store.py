@@ -109,9 +109,11 @@ class TableStore:
         return df
 
     def publish(self, batch_id: int, state: dict[str, DataFrame] | None = None,
-                append: dict[str, DataFrame] | None = None) -> bool:
+                append: dict[str, DataFrame] | None = None, split: dict[str, list[str]] | None = None) -> bool:
         """Write every output of ``batch_id`` then flip the manifest.
 
+        ``split``: columns by which an append table is partitioned before its batch.
+
         Returns False (and writes nothing) when the batch was already
         published - the idempotence ``foreachBatch`` needs on replay.
         """
@@ -121,7 +123,7 @@ class TableStore:
         for name, df in (append or {}).items():
             out = df.selectExpr("*", f"CAST({int(batch_id)} AS BIGINT) AS batch_id")
             (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("batch_id").parquet(f"{self.root}/{name}"))
+             .partitionBy(*(split or {}).get(name, []), "batch_id").parquet(f"{self.root}/{name}"))
             m["tables"][name] = {"kind": "append", "schema": out.schema.json()}
         for name, df in (state or {}).items():
             df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={int(batch_id)}")
