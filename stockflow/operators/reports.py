@@ -144,3 +144,32 @@ def nested_results(line_results: DataFrame, documents: DataFrame) -> DataFrame:
     return docs.join(g, ["platform", "external_order_id"], "left").select(
         "platform", "external_order_id", "status", F.coalesce("n_lines", F.lit(0)).alias("n_lines"),
         F.coalesce("items_json", F.lit("[]")).alias("items_json"))
+
+
+def order_results(line_results: DataFrame, documents: DataFrame) -> DataFrame:
+    """AGG-12: the answer to every delivered document, as ``arrival`` and JSON.
+
+    A processed document lists its lines in order: an unresolved one with
+    ``platformSku``, ``status`` and ``message`` (as delivered, null too), an
+    applied one with SKU, quantity, status, message and, where the SKU has unit
+    stock, the units before and after and whether it was oversold. A duplicate
+    has no ``items``; a quarantined document tells its reason. One group per
+    order, bounded by the lines of one document.
+    """
+    text = {"ignoreNullFields": "false"}
+    unresolved = F.to_json(F.struct(F.col("platform_sku").alias("platformSku"), "status", "message"), text)
+    sold = [F.col("internal_sku").alias("internalSku"), "quantity", "status", "message"]
+    units = [F.col("before_units").alias("beforeUnits"), F.col("after_units").alias("afterUnits"), "oversold"]
+    item = (F.when(F.col("internal_sku").isNull(), unresolved).when(F.col("before_units").isNull(), F.to_json(F.struct(*sold), text))
+            .otherwise(F.to_json(F.struct(*sold, *units), text)))
+    lines = line_results.groupBy("platform", "external_order_id").agg(
+        F.array_sort(F.collect_list(F.struct("seq", item.alias("item")))).alias("items"))
+    items = F.concat(F.lit("["), F.array_join(F.transform(F.coalesce("items", F.array().cast(lines.schema["items"].dataType)), lambda x: x["item"]), ","), F.lit("]"))
+    head = F.to_json(F.struct("platform", F.col("external_order_id").alias("orderId"), "status", F.col("status_reason").alias("reason")))
+    # Only the document that took effect meets its lines; the others need none.
+    answers = documents.select("platform", "external_order_id", "arrival", "status", head.alias("_head"))
+    done = answers.where(F.col("status") == "processed").join(lines, ["platform", "external_order_id"], "left").withColumn(
+        "result", F.concat(F.regexp_replace("_head", r"}$", ""), F.lit(',"items":'), items, F.lit("}")))
+    rest = answers.where(F.col("status") != "processed").withColumn("result", F.col("_head"))
+    cols = ["platform", "external_order_id", "arrival", "status", "result"]
+    return done.select(*cols).unionByName(rest.select(*cols))

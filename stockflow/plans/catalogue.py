@@ -407,6 +407,13 @@ def order_results_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.nested_results(ing.line_results, ing.documents)
 
 
+def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-12: the answer to every delivery, duplicates included, with all fields of its lines."""
+    ing = _ingested(spark, sf_dir)
+    return reports.order_results(ing.line_results, ing.documents).select(
+        "platform", "external_order_id", F.col("arrival.batch").alias("delivery"), "status", "result")
+
+
 def webhook_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PRJ-22/FLT-8: signed payloads checked against the webhook secret."""
     landed = TD.signed_payloads(spark, sf_dir)
@@ -536,6 +543,7 @@ QUERIES = {
     "throughput": throughput,
     "orphan_checks": orphan_checks,
     "order_results_nested": order_results_nested,
+    "order_results": order_results,
     "webhook_verify": webhook_verify,
     "stock_events_json": stock_events_json,
     "stream_ingest": stream_ingest,

@@ -537,6 +537,31 @@ FROM doc_outcome d LEFT JOIN (
         FROM won WHERE NOT line_valid) x
   GROUP BY 1, 2) r ON d.platform = r.platform AND d.external_order_id = r.external_order_id
 WHERE d.status = 'processed'""")
+SQL["order_results"] = with_ledger("""
+, line AS (
+  SELECT platform, external_order_id, ts, doc_pos, line_pos, tie1, tie2,
+    CASE WHEN s_before IS NULL
+      THEN to_json({'internalSku': internal_sku, 'quantity': quantity, 'status': 'tracked_only',
+                    'message': 'this SKU has no reliable unit-level stock; order recorded but not auto-decremented'})
+      ELSE to_json({'internalSku': internal_sku, 'quantity': quantity,
+        'status': CASE WHEN seg_tier = 'tier1' AND seg_sync = 1 THEN 'enqueued' WHEN seg_tier = 'tier2' THEN 'tracked_only' ELSE 'manual' END,
+        'message': CASE WHEN seg_tier = 'tier1' AND seg_sync = 1 THEN 'tier1 SKU: stock decremented, write-back deferred to the worker pipeline'
+                        WHEN seg_tier = 'tier2' THEN 'tier2 SKU: internal stock/trend recorded, no write-back'
+                        ELSE 'tier3 SKU: manual workflow kept, no write-back' END,
+        'beforeUnits': s_before, 'afterUnits': s_after, 'oversold': oversold}) END AS item
+  FROM applied WHERE kind = 1
+  UNION ALL
+  SELECT platform, external_order_id, ts, doc_pos, line_pos, tie1, tie2,
+    to_json({'platformSku': platform_sku, 'status': 'unresolved', 'message': 'no internal SKU mapping found or invalid quantity'})
+  FROM won WHERE NOT line_valid)
+SELECT d.platform, d.external_order_id, CAST(d.delivery AS BIGINT) AS delivery, d.status,
+  '{"platform":"' || d.platform || '","orderId":"' || d.external_order_id || '","status":"' || d.status || '"'
+  || CASE WHEN d.status = 'processed' THEN ',"items":[' || coalesce(r.items, '') || ']' ELSE '' END || '}' AS result
+FROM doc_outcome d LEFT JOIN (
+  SELECT platform, external_order_id, string_agg(CAST(item AS VARCHAR), ',' ORDER BY ts, doc_pos, line_pos, tie1, tie2) AS items
+  FROM line GROUP BY 1, 2) r ON d.platform = r.platform AND d.external_order_id = r.external_order_id""")
+
+
 def _hmac(secret: str, body: str) -> str:
     """HMAC-SHA256 in base 64 of a text column, by its definition."""
     ipad, opad = _pads(secret)

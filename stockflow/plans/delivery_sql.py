@@ -2,7 +2,24 @@
 
 from __future__ import annotations
 
-from stockflow.plans.catalogue_sql import DOCS, INV, NOW, with_outbox
+from stockflow.plans.catalogue_sql import DOCS, INV, MOCK, NOW, with_outbox
+
+REQUEUED = f""", two AS (
+  SELECT *, coalesce(min(CASE WHEN ok OR skip_reason IS NOT NULL THEN attempt_no END) OVER (PARTITION BY internal_sku, platform), 2) AS stop
+  FROM att WHERE attempt_no <= 2),
+first_epoch AS (
+  SELECT internal_sku, platform, target_quantity, CAST(0 AS BIGINT) AS epoch, CAST(attempt_no AS BIGINT) AS attempt_no,
+    CAST({NOW} + 5000 * (attempt_no - 1) AS BIGINT) AS attempt_at,
+    CASE WHEN skip_reason IS NOT NULL THEN 'skipped' WHEN ok THEN 'succeeded' WHEN attempt_no = 2 THEN 'dead_letter' ELSE 'retry_scheduled' END AS outcome,
+    CASE WHEN skip_reason IS NOT NULL THEN skip_reason WHEN ok THEN platform || ' inventory updated (attempt ' || attempt_no || ')'
+         WHEN attempt_no = 2 THEN 'dead-lettered after 2 attempts: {MOCK}' ELSE 'attempt 1 failed, retry in 5000ms: {MOCK}' END AS message
+  FROM two WHERE attempt_no <= stop),
+log AS (
+  SELECT * FROM first_epoch
+  UNION ALL
+  SELECT internal_sku, platform, target_quantity, 1, 1, {NOW} + 3600000, 'succeeded', platform || ' inventory updated (attempt 1)'
+  FROM first_epoch WHERE outcome = 'dead_letter' AND CAST(substr(internal_sku, 5) AS BIGINT) % 2 = 0)
+"""
 
 SQL: dict[str, str] = {
     "relay_release": with_outbox(f"""
@@ -17,6 +34,14 @@ FROM (
     "writeback_attempts": with_outbox("""
 SELECT h.internal_sku, h.platform, j.target_quantity, attempt_no, attempt_at, outcome, message
 FROM hist h JOIN jobs0 j USING (internal_sku, platform) WHERE attempt_no <= 2"""),
+    "writeback_requeued": with_outbox(REQUEUED + """
+SELECT internal_sku, platform, epoch, attempt_no, attempt_at, outcome, message FROM log"""),
+    "writeback_jobs": with_outbox(REQUEUED + f"""
+SELECT internal_sku, platform, any_value(target_quantity) AS target_quantity, last(outcome ORDER BY attempt_at) AS status,
+  last(attempt_no ORDER BY attempt_at) AS attempts,
+  CASE last(outcome ORDER BY attempt_at) WHEN 'skipped' THEN any_value(message) WHEN 'dead_letter' THEN '{MOCK}' END AS last_error,
+  count(*) AS n_attempts, count(*) FILTER (outcome = 'succeeded') AS n_delivered, CAST(max(epoch) AS BIGINT) AS n_requeued
+FROM log GROUP BY internal_sku, platform"""),
     "sku_resolution_as_of": f"""WITH {INV},{DOCS},
 ver AS (
   SELECT internal_sku, CASE WHEN _row % 4 = 1 THEN TIMESTAMP '1995-01-01' ELSE TIMESTAMP '1990-01-01' END AS since, shopify_variant_id, shopify_sku, etsy_sku FROM inv

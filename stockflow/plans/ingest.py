@@ -25,7 +25,7 @@ class Ingested:
     documents: DataFrame      # every delivered document with processed / duplicate / quarantined
     lines: DataFrame          # winning lines with internal_sku and valid flag
     applied: DataFrame        # change stream with computed effects
-    line_results: DataFrame   # one row per winning line with its status
+    line_results: DataFrame   # one row per winning line with its status; an unresolved one tells its platform_sku
     quarantine: DataFrame     # documents without an id, with raw payload, lines and reason
 
 
@@ -73,11 +73,11 @@ def ingest(
     applied = mat(ledger.apply_changes(changes, inline_push=inline_push, materialize=materialize))
 
     sale_results = applied.filter(F.col("row_kind") == "sale").select(
-        "platform", "external_order_id", "seq", "internal_sku", "quantity", "status", "message",
-        "before_units", "after_units", "oversold")
+        "platform", "external_order_id", "seq", "internal_sku", F.lit(None).cast("string").alias("platform_sku"),
+        "quantity", "status", "message", "before_units", "after_units", "oversold")
     unresolved = resolved.filter(~F.col("line_valid")).select(
         "platform", "external_order_id", "seq",
-        F.lit(None).cast("string").alias("internal_sku"), "quantity",
+        F.lit(None).cast("string").alias("internal_sku"), "platform_sku", "quantity",
         F.lit("unresolved").alias("status"), F.lit(S.STATUS_MESSAGES["unresolved"]).alias("message"),
         F.lit(None).cast("long").alias("before_units"), F.lit(None).cast("long").alias("after_units"),
         F.lit(None).cast("boolean").alias("oversold"))

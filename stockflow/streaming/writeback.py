@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from stockflow import schemas as S
 from stockflow.operators import outbox
+from stockflow.operators.scan import ordered_scan
 from stockflow.store import TableStore, materialize
 from stockflow.streaming import relay
 
@@ -115,6 +116,39 @@ def relay_round(store: TableStore, consumer: TableStore, number: int, now_ms: in
     return _publish(store, number + 1, jobs, m["last_batch"], {"relayed": log})
 
 
+def requeue(store: TableStore, consumer: TableStore, job_ids: DataFrame, number: int, now_ms: int) -> bool:
+    """STA-4 on the durable outbox: the dead letters among ``job_ids`` are owed
+    again, published as ``number``; other ids change nothing.
+
+    Table ``requeued`` keeps a marker for each, so that the attempt log can be
+    cut into epochs (:func:`attempt_epochs`)."""
+    if number <= store.manifest()["last_batch"]:
+        return False
+    m = consumer.manifest()
+    jobs = materialize(current_jobs(store, consumer, now_ms, m))
+    hit = jobs.where("status = 'dead_letter'").join(job_ids.select("job_id").distinct(), "job_id", "left_semi")
+    marks = hit.select("job_id", F.lit(now_ms).cast("long").alias("requeued_at"), F.lit(m["last_batch"]).cast("long").alias("after_batch"))
+    return _publish(store, number, outbox.requeue(jobs, job_ids, now_ms), m["last_batch"], {"requeued": marks})
+
+
+def attempt_epochs(store: TableStore, consumer: TableStore) -> DataFrame:
+    """The consumer's attempt log with the ``epoch`` of each attempt: the number
+    of requeues that the job had seen before it (0: none).
+
+    A requeue comes after the attempts of the micro-batches that it knew of and
+    before all later ones, whatever the clocks said; a job has one attempt per
+    micro-batch. The running count comes from one ordered scan, so a job with
+    any number of attempts is no hot task."""
+    marks = store.read("requeued")
+    log = consumer.read("attempts").drop("batch_id")
+    place = lambda batch, mark: F.struct(batch.alias("batch"), F.lit(mark).alias("mark")).alias("_at")
+    rows = consumer.read("attempts").select(*log.columns, place(F.col("batch_id").cast("long"), 0), F.lit(0).alias("_mark"))
+    if marks is not None:
+        rows = rows.unionByName(marks.select("job_id", place(F.col("after_batch"), 1), F.lit(1).alias("_mark")), allowMissingColumns=True)
+    rows = ordered_scan(materialize(rows), ["job_id"], "_at", sums={"epoch": F.col("_mark")}, materialize=materialize)
+    return rows.where("_mark = 0").select(*log.columns, F.col("epoch").cast("long").alias("epoch"))
+
+
 def message_fates(events: DataFrame, jobs: DataFrame) -> DataFrame:
     """What becomes of each message (FLT-14 / JN-11), by place in the topic:
     ``undecodable``, ``unknown_job``, ``not_pending``, ``repeated`` (a later

@@ -128,3 +128,25 @@ def test_target_that_changes_during_delivery_is_owed_again(spark):
     # A target owed after the end of a job is a new job.
     shop.owe([("A", 1)], 8, 90)
     assert sorted(r.status for r in shop.store.read("jobs").where("internal_sku = 'A'").collect()) == ["pending", "succeeded"]
+
+
+def test_dead_letters_are_requeued_once_and_open_an_epoch(spark):
+    shop = Shop(spark, owed=())
+    targets = spark.createDataFrame([("A", "shopify", 5), ("B", "shopify", 7)], "internal_sku string, platform string, target_quantity long")
+    assert writeback.enqueue(shop.store, shop.consumer, targets, 2, 0, max_attempts=1)
+    shop.relay(3, 0)
+    shop.consume(refuse, 0)
+    assert {k: v[0] for k, v in shop.jobs().items()} == {"A": "dead_letter", "B": "dead_letter"}
+    dead = writeback.current_jobs(shop.store, shop.consumer, 0)
+    unknown = spark.createDataFrame([(-1,)], "job_id long")
+    ids = dead.where("internal_sku = 'A'").select("job_id")
+    assert writeback.requeue(shop.store, shop.consumer, ids.unionByName(ids).unionByName(unknown), 6, 1000)
+    now = shop.jobs()
+    assert now["A"] == ("pending", 5, 0, 1000) and now["B"][:3] == ("dead_letter", 7, 1)
+    assert not writeback.requeue(shop.store, shop.consumer, ids, 6, 1000)         # published
+    assert writeback.requeue(shop.store, shop.consumer, ids, 7, 1500)             # no dead letter any more: no marker
+    shop.relay(8, 1000)
+    shop.consume(accept, 1000)
+    assert shop.store.read("requeued").count() == 1
+    got = sorted((r.internal_sku, r.epoch, r.attempt_no, r.outcome) for r in writeback.attempt_epochs(shop.store, shop.consumer).collect())
+    assert got == [("A", 0, 1, "dead_letter"), ("A", 1, 1, "succeeded"), ("B", 0, 1, "dead_letter")]
