@@ -16,7 +16,8 @@ of 256 salts, so that no bin has to be sorted in one task.
 
 Defined results: null text has size 0; null source is a source of its own,
 ordered last; repeated rows are documents like any other; documents of
-size 0 keep rate 1; an empty table gives no rows. Extra columns are ignored.
+size 0 keep rate 1, also where their source is at its cap; texts of any
+length count whole; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,7 +124,8 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     hist = cut(sized.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n")), "mix-hist")
     state = balance(hist, source_targets(hist, weight_cycle, share, cap), cap)
 
-    rate = F.coalesce(F.col("fixed"), F.least(F.lit(float(cap)), F.exp(F.col("lam") * F.col("size") / F.col("scale"))))
+    rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(
+        F.coalesce(F.col("fixed"), F.least(F.lit(float(cap)), F.exp(F.col("lam") * F.col("size") / F.col("scale")))))
     bins = hist.join(state, "skey").withColumn("rate", rate)
     along = W.partitionBy("skey").orderBy("size")
     upto = F.round(F.sum(F.col("n") * F.col("rate")).over(along.rowsBetween(W.unboundedPreceding, 0)), 6)

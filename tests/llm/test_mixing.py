@@ -96,3 +96,12 @@ def test_query_and_empty_table(spark, tmp_path):
     for n, part in (("b", []), ("c", [(1, None, None)]), ("d", [(1, "s", "a b")])):
         spark.createDataFrame(part, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
         assert queries.op2_entropy_mix(spark, f"{tmp_path}/{n}").count() == len(part)
+
+
+def test_documents_without_words_stay_once(spark):
+    # "a" is at its cap, "b" is not, "c" has no words at all.
+    rows = [(i, "a", "one two") for i in range(4)] + [(100 + i, "b", "one " * 50) for i in range(40)]
+    rows += [(200, "a", ""), (201, "a", None), (202, "a", " \n"), (203, "b", ""), (204, "c", None), (205, "c", "")]
+    got = {r.doc_id: r for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert {got[i].copies for i in range(4)} == {2}
+    assert [(got[i].rate, got[i].copies, got[i].taken) for i in range(200, 206)] == [(1.0, 1, 0)] * 6
