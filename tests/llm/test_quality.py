@@ -68,20 +68,6 @@ def test_rules_go_by_rejection_per_cost():
     assert [r.name for r in Q.order_rules([(a, 1.0, 0.1), (b, 0.1, 0.1), (c, 2.0, 0.9)])] == ["b", "c", "a"]
 
 
-def test_costs_are_those_of_the_rule_not_of_the_job(spark):
-    words = [f"word{i}" for i in range(400)]
-    rows = [(i, " ".join(words[i % 7:] + words)) for i in range(100)]
-    sample = Q.measures(spark.createDataFrame(rows, "doc_id long, text string")).repartition(4).cache()
-    slow = Q.Rule("slow", F.regexp_count("text", F.lit(r"(?<!\S)(\S+)(?=[\s\S]{0,60}\s\1(?!\S))")) < 0)
-    cheap, other = Q.Rule("cheap", F.col("doc_id") % 2 == 0), Q.Rule("other", F.col("n_words") < 0)
-    estimates = Q.estimate(sample, [slow, other, cheap])
-    found = {r.name: (cost, share) for r, cost, share in estimates}
-    assert found["slow"][0] >= 4 * max(found["cheap"][0], found["other"][0])
-    assert [found[n][1] for n in ("slow", "other", "cheap")] == [0, 0, 0.5]
-    assert [r.name for r in Q.order_rules(estimates)] == ["cheap", "other", "slow"]
-    sample.unpersist()
-
-
 def test_clean_text_stays_and_junk_goes(spark):
     clean = "It was a bright day in spring, and the people of the town walked along the river to see the boats come home.\n" * 1
     clean += "Children ran ahead of them, while the older ones sat down under trees that had only just begun to show their leaves again."
