@@ -6,14 +6,15 @@ Two stateful operators in one streaming query, both on Spark's state store
 * ``FirstArrival`` remembers, by (platform, event id), which delivery of an
   event took effect. A replay is a duplicate forever, and only the
   events of a micro-batch are looked up; nothing scans an event table.
-* ``StockFold``, keyed by SKU, remembers the import in force (units, tier,
+* ``StockFold`` remembers, by SKU, the import in force (units, tier,
   flag) and the units sold since. It turns a key's rows, in ``seq`` order,
   into the two columns that :func:`stockflow.operators.ledger.effects` works
   on - what the batch plan gets from its ordered scans - so status, notes and
   ledger values have one definition.
 
 The only Python is the running sum and the carried import, over whole columns
-of a key's rows. A key's rows of one micro-batch meet in one task, in memory:
+of a slot's rows: keys are dealt to slots by hash, and one call serves all keys
+of a slot. A slot's rows of one micro-batch meet in one task, in memory:
 ``files_per_trigger`` bounds a micro-batch. Across micro-batches changes apply
 in the order in which they arrive; a row that arrives late applies then.
 """
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +35,9 @@ from stockflow.plans.ingest import valid_line
 from stockflow.store import TableStore
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Groups of events; part of the state's layout, so the same for all runs of a checkpoint.
+#: Groups of events and of SKUs; part of the state's layout, so the same for all runs of a checkpoint.
 SLOTS = 512
+SKU_SLOTS = 2048
 ARRIVAL = ["batch", "doc_pos", "page_pos"]
 SEQ = [f.name for f in S.SEQ.fields]
 _LINE = "struct<seq:struct<ts:timestamp_ntz,kind:int,doc_pos:bigint,line_pos:bigint,tie1:bigint,tie2:double>,platform_sku:string,variant_id:string,quantity:bigint,quantity_valid:boolean>"
@@ -75,40 +78,49 @@ class FirstArrival(StatefulProcessor):
 
 
 class StockFold(StatefulProcessor):
-    """Change rows of a SKU with the units sold so far and the import in force before them."""
+    """Change rows with the units sold so far and the import in force before
+    them, per SKU. SKUs are grouped by slot, so that a call works on the columns
+    of many at once; the state is a map, of which only the SKUs with rows are
+    read and written."""
 
     def init(self, handle) -> None:
-        self.stock = handle.getValueState("stock", "units long, tier string, sync_enabled int, sold long")
+        self.stock = handle.getMapState("stock", "internal_sku string", "units long, tier string, sync_enabled int, sold long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows), ignore_index=True).sort_values(SEQ, na_position="first", kind="stable", ignore_index=True)
-        known = self.stock.exists()
-        units, tier, sync, sold = self.stock.get() if known else (None, None, None, 0)
-        sale = f["row_kind"] == "sale"
-        f["cum"] = int(sold) + f["quantity"].astype("Int64").where(sale, 0).fillna(0).cumsum()
-        # The last row before that is no sale; above the first of them, what the state holds.
-        at = pd.Series(range(len(f)), dtype="Int64").mask(sale).shift(1).ffill()
-        old, take = at.isna(), at.fillna(0).astype(int)
-
-        def before(column: str, held, kind: str) -> pd.Series:
-            out = f[column].astype(kind).iloc[take].reset_index(drop=True)
-            return out.mask(old, pd.NA if held is None else held)
-
-        f["prev_known"] = (~old) | known
-        f["prev_units"] = before("available_units", units, "Int64")
-        f["prev_tier"] = before("tier", tier, "object")
-        f["prev_sync"] = before("sync_enabled", sync, "Int32")
-        f["prev_cum"] = before("cum", 0, "Int64")
-        last = f.index[~sale]
-        if len(last):
-            units, tier, sync = (f[c][last[-1]] for c in ("available_units", "tier", "sync_enabled"))
-            sold = f["cum"].iloc[-1] - f["cum"][last[-1]]
-            known = True
-        else:
-            sold = f["cum"].iloc[-1]
-        if known:
-            whole = lambda v: None if pd.isna(v) else int(v)
-            self.stock.update((whole(units), None if pd.isna(tier) else tier, whole(sync), int(sold)))
+        f = pd.concat(list(rows), ignore_index=True)
+        f["_sku"], skus = pd.factorize(f["internal_sku"], use_na_sentinel=False)
+        f = f.sort_values(["_sku", *SEQ], na_position="first", kind="stable", ignore_index=True)
+        skus = [None if pd.isna(v) else v for v in skus]
+        held = [self.stock.getValue((v,)) for v in skus] if self.stock.exists() else [None] * len(skus)
+        of, n = f.pop("_sku").to_numpy(), len(f)
+        first = np.searchsorted(of, np.arange(len(skus)))
+        sale = (f["row_kind"] == "sale").to_numpy(bool)
+        sold = np.array([h[3] if h else 0 for h in held], np.int64)
+        run = f["quantity"].astype("Int64").where(sale, 0).fillna(0).to_numpy(np.int64).cumsum()
+        cum = run - np.concatenate([[0], run])[first][of] + sold[of]
+        # The last row of the SKU before that is no sale; above the first of them, what the state holds.
+        here = np.maximum.accumulate(np.where(sale, -1, np.arange(n)))
+        at = np.concatenate([[-1], here[:-1]])
+        old = at < first[of]
+        take = np.where(old, 0, at)
+        known = np.array([h is not None for h in held], bool)
+        f["cum"] = cum
+        f["prev_known"] = ~old | known[of]
+        for i, (name, column, kind) in enumerate((("prev_units", "available_units", "Int64"), ("prev_tier", "tier", "object"), ("prev_sync", "sync_enabled", "Int32"))):
+            before = f[column].astype(kind).iloc[take].reset_index(drop=True)
+            kept = pd.Series([h[i] if h else None for h in held], dtype=kind).iloc[of].reset_index(drop=True)
+            f[name] = before.where(~old, kept)
+        f["prev_cum"] = np.where(old, 0, cum[take])
+        whole = lambda v: None if pd.isna(v) else int(v)
+        end = np.append(first[1:], n) - 1
+        last = here[end]
+        now = {c: f[c].iloc[np.maximum(last, 0)].tolist() for c in ("available_units", "tier", "sync_enabled")}
+        for i, sku in enumerate(skus):
+            if last[i] >= first[i]:
+                units, tier, sync = (now[c][i] for c in now)
+                self.stock.updateValue((sku,), (whole(units), None if pd.isna(tier) else tier, whole(sync), int(cum[end[i]] - cum[last[i]])))
+            elif known[i]:
+                self.stock.updateValue((sku,), (*held[i][:3], int(cum[end[i]])))
         yield _whole(f, FOLDED).where(pd.notna, None)[[c.split()[0] for c in FOLDED.split(", ")]]
 
     def close(self) -> None:
@@ -143,7 +155,8 @@ def applied(orders: DataFrame, imports: DataFrame, items: DataFrame, mapping: Da
     lines = won.select("platform", "external_order_id", "note", F.explode(F.from_json("lines", f"array<{_LINE}>")).alias("l")).select("platform", "external_order_id", "note", "l.*")
     sales = resolve.resolve_lines(lines, items, mapping).where(valid_line())
     changes = imports.unionByName(_flat(ledger.sale_rows(sales)))
-    folded = changes.groupBy("internal_sku").transformWithStateInPandas(StockFold(), outputStructType=FOLDED, outputMode="Append", timeMode="None")
+    sku_slot = F.pmod(F.xxhash64("internal_sku"), F.lit(SKU_SLOTS))
+    folded = changes.withColumn("slot", sku_slot).groupBy("slot").transformWithStateInPandas(StockFold(), outputStructType=FOLDED, outputMode="Append", timeMode="None")
     prev = F.when(F.col("prev_known"), F.struct(F.col("prev_units").alias("units"), F.col("prev_tier").alias("tier"), F.col("prev_sync").alias("sync_enabled"),
                                                 F.col("prev_cum").alias("cum")))
     scanned = folded.select("internal_sku", F.struct(*SEQ).alias("seq"), *ledger.CHANGE_COLUMNS[2:], F.col("cum").alias("_cum"), prev.alias("_prev"))
