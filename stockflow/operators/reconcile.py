@@ -4,7 +4,7 @@ The reference walks each SKU's ledger in id order (N+1 queries). Here:
 
 * broken rows are a row predicate (no ordering needed);
 * chain gaps need the previous row's ``after`` - an exclusive "last value"
-  scan (:func:`ordered_scan`);
+  scan (:func:`keyed_scan`);
 * the expected stock is ``max_by(after, seq)`` per SKU - a partial/final
   aggregate;
 * drift is one join of that per-SKU aggregate with the live items.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockflow.operators.scan import ordered_scan
+from stockflow.operators.scan import hot_keys, keyed_scan
 from stockflow.store import materialize
 
 
@@ -24,6 +24,11 @@ def _checked_ledger(ledger: DataFrame, items: DataFrame) -> DataFrame:
     return ledger.join(items.select("internal_sku"), "internal_sku", "left_semi")
 
 
+def _with_previous(led: DataFrame, ledger: DataFrame) -> DataFrame:
+    """The checked rows ``led`` of ``ledger`` with what the SKU's previous row ended at."""
+    return keyed_scan(led, ["internal_sku"], "seq", last_before={"_prev": F.struct(F.col("after_units").alias("a"))}, hot=hot_keys(ledger, ["internal_sku"]))
+
+
 def _broken() -> Column:
     return ~(F.coalesce(F.col("before_units"), F.lit(0)) + F.col("change_units")).eqNullSafe(F.col("after_units"))
 
@@ -53,7 +58,7 @@ def broken_rows(ledger: DataFrame, items: DataFrame) -> DataFrame:
 def chain_gaps(ledger: DataFrame, items: DataFrame) -> DataFrame:
     """WIN-5: ``before`` and the previous row's ``after`` both set and different."""
     led = _checked_ledger(ledger, items).select("internal_sku", "seq", "before_units", "after_units")
-    prev = ordered_scan(led, ["internal_sku"], "seq", last_before={"_prev": F.struct(F.col("after_units").alias("a"))})
+    prev = _with_previous(led, ledger)
     return prev.filter(_gap()).select("internal_sku", "seq", F.lit("chain_gap").alias("type"), _gap_detail().alias("detail"))
 
 
@@ -123,7 +128,7 @@ def replay(ledger: DataFrame, items: DataFrame) -> DataFrame:
     """The checked ledger with ``findings`` (type and detail) on every row:
     the ordered scan behind broken rows and chain gaps, done once and cut."""
     led = _checked_ledger(ledger, items).select("internal_sku", "seq", "before_units", "change_units", "after_units")
-    scanned = ordered_scan(led, ["internal_sku"], "seq", last_before={"_prev": F.struct(F.col("after_units").alias("a"))})
+    scanned = _with_previous(led, ledger)
     found = F.array_compact(F.array(
         F.when(_broken(), F.struct(F.lit("broken_row").alias("type"), _broken_detail().alias("detail"))),
         F.when(_gap(), F.struct(F.lit("chain_gap").alias("type"), _gap_detail().alias("detail")))))

@@ -21,6 +21,10 @@ The local window and the carry join share the ``(key, chunk)`` hash
 partitioning. Chunk ids come from sampled range bounds, so the tagged rows
 are cut once (``materialize``): every reader sees the same chunks, also after
 an executor is lost.
+
+:func:`keyed_scan` gives the same columns where no later scan needs the chunks:
+only keys of very many rows are cut into chunks, all others are dealt by key
+and scanned in one window, so their rows move once.
 """
 
 from __future__ import annotations
@@ -30,6 +34,9 @@ from pyspark.sql import functions as F
 
 CHUNK = "_scan_chunk"
 
+#: A key with more rows than this spans chunks in :func:`keyed_scan`.
+HOT_ROWS = 200_000
+
 
 def with_chunks(df: DataFrame, keys: list[str], order: str, chunks: int | None = None, materialize=None) -> DataFrame:
     """``df`` with the id of its contiguous chunk of ``(keys, order)``.
@@ -117,3 +124,47 @@ def ordered_scan(
         here = F.col(f"_local_l_{n}")
         out_cols.append(F.coalesce(stamped(here, n, whole(here)), F.col(f"_carry_l_{n}")).alias(n))
     return joined.select(*out_cols)
+
+
+def hot_keys(df: DataFrame, keys: list[str], materialize=None) -> DataFrame | None:
+    """The keys with more than ``HOT_ROWS`` rows in ``df``, one row each; None if there are none."""
+    if materialize is None:
+        from stockflow.store import materialize
+    hot = materialize(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > HOT_ROWS).select(*keys))
+    return None if hot.isEmpty() else hot
+
+
+def keyed_scan(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    sums: dict[str, Column] | None = None,
+    last_before: dict[str, Column] | None = None,
+    materialize=None,
+    stamp: bool = False,
+    hot: DataFrame | None = None,
+) -> DataFrame:
+    """The columns of :func:`ordered_scan`, without the chunks. ``hot``: the
+    keys of :func:`hot_keys`, the only ones whose rows are cut into chunks;
+    None if there are none. ``df`` is read twice where there are some."""
+    sums, last_before = sums or {}, last_before or {}
+    rest = df if hot is None else df.join(hot, keys, "left_anti")
+    w = Window.partitionBy(*keys).orderBy(order)
+    incl = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    excl = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rest.dropna(subset=keys).select("*", *[e.alias(f"_scan_l_{n}") for n, e in last_before.items()],
+                                           *[F.coalesce(F.sum(e).over(incl), F.lit(0)).alias(f"_scan_s_{n}") for n, e in sums.items()])
+
+    def marked(n: str) -> Column:
+        value = F.col(f"_scan_l_{n}")
+        if not stamp:
+            return value
+        names = rows.schema[f"_scan_l_{n}"].dataType.names
+        return F.when(value.isNotNull(), F.struct(*[value[f].alias(f) for f in names], *[F.col(f"_scan_s_{s}").alias(s) for s in sums]))
+
+    rows = rows.select(*[F.col(c) for c in df.columns], *[F.col(f"_scan_s_{n}").alias(n) for n in sums], *[marked(n).alias(f"_scan_l_{n}") for n in last_before])
+    out = rows.select(*[F.col(c) for c in [*df.columns, *sums]], *[F.last(f"_scan_l_{n}", ignorenulls=True).over(excl).alias(n) for n in last_before])
+    if hot is None:
+        return out
+    cut = ordered_scan(df.join(hot, keys, "left_semi"), keys, order, sums, last_before, materialize=materialize, stamp=stamp)
+    return out.unionByName(cut.select(*out.columns))
