@@ -10,7 +10,7 @@ two aligned blocks a level (sizes 1, 2, 4, ...), the lowest SKU is taken per
 block, and each change looks up the blocks that contain it, one a level. With
 n changes of a key that is n log n rows, however many SKUs share it. A line
 then takes the last change before it in one ordered stream of changes and
-lines, cut into chunks, so a key of a third of all lines is no hot task.
+lines; a key of very many lines is cut into chunks, so it is no hot task.
 Lines without a key take no part in any shuffle.
 """
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockflow.operators.scan import CHUNK, ordered_scan
+from stockflow.operators.scan import CHUNK, hot_keys, keyed_scan, ordered_scan
 
 KINDS = {"variant": "shopify_variant_id", "shopify": "shopify_sku", "etsy": "etsy_sku"}
 KEY = ["kind", "key"]
@@ -74,7 +74,7 @@ def _look_up(lines: DataFrame, kind: Column, key: Column, timeline: DataFrame, o
     known = (F.col("kind").isNotNull() & F.col("key").isNotNull())
     stream = asked.where(known).withColumn("_step", F.lit(None).cast("struct<holder:string>")).unionByName(
         timeline.select(*KEY, "seq", F.struct("holder").alias("_step")).withColumn("_is_step", F.lit(True)), allowMissingColumns=True)
-    found = ordered_scan(stream, KEY, "seq", last_before={"_at": F.col("_step")}, materialize=materialize).where("_is_step IS NULL")
+    found = keyed_scan(stream, KEY, "seq", last_before={"_at": F.col("_step")}, materialize=materialize, hot=hot_keys(stream, KEY, materialize)).where("_is_step IS NULL")
     return found.select(*lines.columns, F.col("_at.holder").alias(out)).unionByName(
         asked.where(~known).select(*lines.columns, F.lit(None).cast("string").alias(out)))
 
