@@ -53,6 +53,8 @@ SKETCH_BITS, BLOOM_BITS, SHARED_BITS = 18, 23, 25
 NO_ID = (1 << 63) - 1
 #: Shingles by which a pair is known to have met before.
 FIRST = 8
+#: Rows of a shingle that more than HOT classes share carry the full signature, of up to HOT_LONGS longs.
+HOT, HOT_LONGS = 64, 16
 #: Classes and shingles of a block of a component, about, and columns of the matrices of a pair of blocks.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 400_000, 4096
 
@@ -292,21 +294,25 @@ def stars(shared: DataFrame) -> DataFrame:
     return met.groupBy("c").agg(F.max(F.struct("k", "p", "b")).alias("best")).select(F.col("c").alias("a"), F.col("best.b").alias("b"))
 
 
-def candidates(rows: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
-    """Distinct pairs ``a, b`` of classes of different components ``comp`` that
-    share a prefix shingle ``h`` and pass the filters; one of the two is outside the shingle's
-    largest component ``main``.
+def meetings(rows: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Pairs ``a, b`` of classes of different components ``comp`` that share a
+    prefix shingle ``h`` and pass the filters; one of the two is outside the
+    shingle's largest component ``main``.
 
     A pair that shares many shingles meets at all of them and is made at the
-    first: rows carry their class's FIRST least shingles of the order, and one
-    of those shared and earlier than ``h`` drops the pair. (Shingles beyond
-    them may make it again; it is made distinct.)"""
-    before = rows.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "h"))), 1, FIRST).alias("least"))
-    of = classes.select("c", "s0", "s1", "s2", "s3").join(before, "c")
+    one that most classes share (``size``; then by hash): rows carry their
+    class's FIRST shingles of that order, and one of those shared and earlier
+    than ``h`` drops the pair. Near copies have the popular shingles in common,
+    so nearly every pair is made once. (Shingles beyond the FIRST may make it again.)
+    Pairs of a shingle of many classes also pass the suffix filter on the full signatures."""
+    place = F.struct((-F.col("size")).alias("rank"), "h")
+    before = rows.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(place)), 1, FIRST).alias("least"))
+    of = classes.select("c", "s0", "s1", "s2", "s3", F.when(F.size("sig") <= HOT_LONGS, F.col("sig")).alias("sig")).join(before, "c")
     # Similar sizes lie in the same band or in neighbours (bands a little wider than the least ratio, for rounding).
     width = 1.000001 * math.log(100.0 / min(spec.percent, 99))
-    earlier = F.transform(F.filter("least", lambda p: p["pos"] < F.col("pos")), lambda p: p["h"])
-    rows = rows.join(of, "c").withColumn("earlier", earlier).drop("least").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width))
+    earlier = F.transform(F.filter("least", lambda p: p < place), lambda p: p["h"])
+    rows = rows.join(of, "c").withColumn("earlier", earlier).withColumn("sig", F.when(F.col("size") > HOT, F.col("sig")))
+    rows = rows.drop("least", "size").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width))
     rows = cut(rows, "join-rows")
     x = rows.where("comp != main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).alias("x")
     y = rows.alias("y")
@@ -314,8 +320,14 @@ def candidates(rows: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame
     pairs = x.join(y, (c("x.h") == c("y.h")) & (c("x.band") == c("y.band")) & (c("x.comp") != c("y.comp"))
                    & ((c("y.comp") == c("y.main")) | (c("x.c") < c("y.c")))
                    & length_filter(spec, c("x.n"), c("y.n")) & positional_filter(spec, c("x.n"), c("x.pos"), c("y.n"), c("y.pos"))
-                   & suffix_filter(spec, "x", "y") & ~F.arrays_overlap("x.earlier", "y.earlier"))
-    return pairs.select(F.greatest("x.c", "y.c").alias("a"), F.least("x.c", "y.c").alias("b")).distinct()
+                   & suffix_filter(spec, "x", "y") & ~F.arrays_overlap("x.earlier", "y.earlier")
+                   & (c("x.sig").isNull() | c("y.sig").isNull() | full_suffix_filter(spec, "x", "y")))
+    return pairs.select(F.greatest("x.c", "y.c").alias("a"), F.least("x.c", "y.c").alias("b"))
+
+
+def candidates(rows: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Distinct pairs ``a, b`` of :func:`meetings`."""
+    return meetings(rows, classes, spec).distinct()
 
 
 def ngram_join(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "doc_id", text_col: str = "text",
@@ -346,8 +358,9 @@ def ngram_join(docs: DataFrame, spec: JoinSpec = JoinSpec(), *, id_col: str = "d
         comp = F.coalesce("root", "c")
 
     rows = shared.select("h", "c", "n", "pos", comp.alias("comp"))
-    of = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"))
-    main = cut(of.where("comps > 1").select("h", F.col("m.comp").alias("main")), "join-main")
+    of = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("h").agg(
+        F.max(F.struct("k", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"), F.sum("k").alias("size"))
+    main = cut(of.where("comps > 1").select("h", F.col("m.comp").alias("main"), "size"), "join-main")
     rows = cut(rows.join(main, "h").distinct(), "join-rows")
     pairs = candidates(rows, classes, spec)
     more = verify(docs, spec, pairs, classes, id_col, text_col)

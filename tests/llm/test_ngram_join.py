@@ -155,3 +155,42 @@ def test_one_survivor_whatever_the_ids(spark):
     got = [(r.doc_id, r.text) for r in J.keep_one(df, J.JoinSpec(5, 80)).collect()]
     groups = [rows[:2], rows[2:5], rows[5:6], rows[6:7]]
     assert len(got) == 4 and all(sum(r in g for r in got) == 1 for g in groups)
+
+
+def outliers(seed):
+    """Near copies of one text, half of them linked to it and half just too far from it and from each other."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+
+    def edited(times):
+        d = list(base)
+        for i in rnd.sample(range(4, 296), times):
+            d[i] = f"x{rnd.random()}"
+        return " ".join(d)
+
+    return [(i, edited(1 if i % 2 else 7 + i % 3)) for i in range(80)]
+
+
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_pairs_of_near_copies_are_made_once(spark, monkeypatch, hot):
+    """A pair was made at nearly every shingle it shares beyond the rarest ones."""
+    rows, made = outliers(9), []
+    meetings = J.meetings
+    monkeypatch.setattr(J, "HOT", hot)
+    monkeypatch.setattr(J, "meetings", lambda *a: made.append(J.cut(meetings(*a), "made")) or made[0])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = J.component_ids(J.ngram_join(df, J.JoinSpec(5, 80))).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows, 5, 80)[0]
+    pairs, distinct = made[0].count(), made[0].distinct().count()
+    assert pairs <= 1.5 * distinct
+    assert distinct < 400 if hot == 2 else distinct > 600
+
+
+def test_signatures_of_hot_shingles_lose_no_link(spark, monkeypatch):
+    rows = corpus(10)
+    monkeypatch.setattr(J, "HOT", 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    joined = J.ngram_join(df, J.JoinSpec(4, 85), connected_only=False)
+    want, links = brute(rows, 4, 85)
+    assert joined.links.count() == links
+    assert sorted(map(tuple, J.component_ids(joined).select("doc_id", "n_shingles", "component_id").collect()), key=str) == want
