@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from stockflow import schemas as S
 from stockflow.operators.scan import ordered_scan
+from stockflow.store import by_key
 
 PAIR = ["internal_sku", "platform"]
 JOB_COLUMNS = [f.name for f in S.PUSH_JOB.fields]
@@ -99,13 +100,13 @@ def skip_reason(jobs: DataFrame, mapping: DataFrame, push_enabled: bool = True,
                 default_location: str | None = None) -> DataFrame:
     """FLT-7: why a job cannot be delivered (null = deliverable), plus the route.
 
-    First failing reason wins: switch, mapping, route. The mapping join is
-    on the catalogue-sized dimension (one row per SKU).
+    First failing reason wins: switch, mapping, route. The mapping has one row
+    per SKU and meets the jobs by key.
     """
     m = mapping.select(
         "internal_sku", F.lit(True).alias("_has_mapping"),
         "shopify_inventory_item_id", "shopify_location_id", "etsy_listing_id", "etsy_offering_id")
-    j = jobs.join(m, "internal_sku", "left")
+    j = jobs.join(by_key(m), "internal_sku", "left")
     loc_ok = _has(F.col("shopify_location_id")) | F.lit(bool(default_location))
     shop_ok = _has(F.col("shopify_inventory_item_id")) & loc_ok
     etsy_ok = _has(F.col("etsy_listing_id")) & _has(F.col("etsy_offering_id"))
@@ -168,7 +169,7 @@ def transition(jobs_due: DataFrame, results: DataFrame, now_ms: int,
     ``base * 2^(attempts-1)`` in exact long arithmetic.
     """
     r = results.select("job_id", F.col("ok").alias("_ok"), F.col("error").alias("_err"))
-    j = jobs_due.join(r, "job_id", "left")
+    j = jobs_due.join(by_key(r), "job_id", "left")
     att = (F.col("attempts") + 1).cast("long")
     skipped = F.col("skip_reason").isNotNull()
     ok = ~skipped & F.coalesce(F.col("_ok"), F.lit(False))
@@ -201,7 +202,7 @@ def transition(jobs_due: DataFrame, results: DataFrame, now_ms: int,
 def apply_round(jobs: DataFrame, transitioned: DataFrame) -> DataFrame:
     """New outbox version: transitioned jobs replace their old rows."""
     changed = transitioned.select(*JOB_COLUMNS)
-    return jobs.select(*JOB_COLUMNS).join(changed.select("job_id"), "job_id", "left_anti").unionByName(changed)
+    return jobs.select(*JOB_COLUMNS).join(by_key(changed.select("job_id")), "job_id", "left_anti").unionByName(changed)
 
 
 def dispatch_round(jobs: DataFrame, mapping: DataFrame, results_fn, now_ms: int, limit: int | None = None,
@@ -227,7 +228,7 @@ def claim(jobs: DataFrame, now_ms: int, lease_ms: int = S.CLAIM_LEASE_MS,
     arbitration.
     """
     d = due(jobs, now_ms, limit).select("job_id").withColumn("_claimed", F.lit(True))
-    j = jobs.select(*JOB_COLUMNS).join(d, "job_id", "left")
+    j = jobs.select(*JOB_COLUMNS).join(by_key(d), "job_id", "left")
     claimed = F.coalesce(F.col("_claimed"), F.lit(False))
     new = j.select(
         *[F.when(claimed, F.lit(now_ms + lease_ms)).otherwise(F.col(c)).cast("long").alias(c)
@@ -240,7 +241,7 @@ def claim(jobs: DataFrame, now_ms: int, lease_ms: int = S.CLAIM_LEASE_MS,
 def release(jobs: DataFrame, job_ids: DataFrame, now_ms: int) -> DataFrame:
     """STA-5 release: a failed publish makes the job due again at ``now_ms``."""
     ids = job_ids.select("job_id").withColumn("_rel", F.lit(True))
-    j = jobs.select(*JOB_COLUMNS).join(ids, "job_id", "left")
+    j = jobs.select(*JOB_COLUMNS).join(by_key(ids), "job_id", "left")
     back = F.col("_rel") & (F.col("status") == "pending")
     return j.select(*[F.when(back, F.lit(now_ms)).otherwise(F.col(c)).cast("long").alias(c)
                       if c == "next_attempt_at" else F.col(c) for c in JOB_COLUMNS])
@@ -250,7 +251,7 @@ def requeue(jobs: DataFrame, job_ids: DataFrame, now_ms: int) -> DataFrame:
     """STA-4: dead letters among ``job_ids`` -> pending, attempts 0, due now,
     error cleared, target unchanged. Other ids (or unknown ones) are no-ops."""
     ids = job_ids.select("job_id").distinct().withColumn("_req", F.lit(True))
-    j = jobs.select(*JOB_COLUMNS).join(ids, "job_id", "left")
+    j = jobs.select(*JOB_COLUMNS).join(by_key(ids), "job_id", "left")
     hit = F.coalesce(F.col("_req"), F.lit(False)) & (F.col("status") == "dead_letter")
     repl = {
         "status": F.lit("pending"), "attempts": F.lit(0).cast("long"),
@@ -273,7 +274,7 @@ def attempt_history(jobs: DataFrame, routed_ok: DataFrame, start_ms_col: str = "
     used = F.col("attempts") if "attempts" in jobs.columns else F.lit(0)
     open_ = jobs.filter(F.col("status") == "pending") if "status" in jobs.columns else jobs
     a = open_.select("job_id", "internal_sku", "platform", "max_attempts", start_ms_col, used.cast("long").alias("_used")).join(
-        routed_ok, "job_id").filter(F.col("attempt_no").between(F.col("_used") + 1, F.col("max_attempts")))
+        by_key(routed_ok), "job_id").filter(F.col("attempt_no").between(F.col("_used") + 1, F.col("max_attempts")))
     first_ok = F.min(F.when(F.col("ok") | F.col("skip_reason").isNotNull(), F.col("attempt_no"))).over(
         Window.partitionBy("job_id"))
     a = a.withColumn("_terminal", F.coalesce(first_ok, F.col("max_attempts")))
@@ -338,7 +339,7 @@ def jobs_after_history(jobs: DataFrame, history: DataFrame) -> DataFrame:
     last = history.groupBy("job_id").agg(F.max_by(F.struct("attempt_no", "attempt_at", "outcome", "message",
                                                            "error"),
                                                   "attempt_no").alias("_h"))
-    j = jobs.select(*JOB_COLUMNS).join(last, "job_id", "left")
+    j = jobs.select(*JOB_COLUMNS).join(by_key(last), "job_id", "left")
     h = F.col("_h")
     outcome = h["outcome"]
     status = (F.when(h.isNull(), F.col("status")).when(outcome == "retry_scheduled", F.lit("pending"))

@@ -1,13 +1,12 @@
 """Channel SKU -> internal SKU resolution (JN-1..4, SEM-7).
 
 The reference looks up each line with ``shopify_sku = ? OR etsy_sku = ?``
-(one side a sentinel) and ``LIMIT 1`` without an order. Here each lookup is
-its own equi-join, of the distinct keys asked for, against a dimension deduplicated to one row per channel key
+(one side a sentinel) and ``LIMIT 1`` without an order. Here the distinct keys
+asked for meet one dimension, deduplicated to one row per kind and channel key
 (lowest ``internal_sku`` wins, so ambiguous mappings resolve
-deterministically). The dimensions are bounded by the catalogue, not by the
-order volume; AQE turns the joins into broadcast joins at run time when the
-materialised dimension is under the broadcast threshold and keeps a shuffle
-join otherwise.
+deterministically), in one equi-join by kind and key; keys that are null take no
+part. The dimension grows with the catalogue, so it is never gathered whole. A
+stream has an equi-join for each kind instead.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockflow.store import by_key
+
 
 def lookup_dimensions(items: DataFrame, mapping: DataFrame) -> dict[str, DataFrame]:
     """One row per channel key: variant id, Shopify SKU, Etsy SKU."""
@@ -56,13 +57,35 @@ def ambiguous_mappings(items: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.select("key_kind", "channel_key", "n_skus", "chosen_sku", "max_sku")
 
 
-def _by_key(keyed: DataFrame, items: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``keyed`` with ``internal_sku`` from its three lookup keys, one join each."""
+def _asked(rows: DataFrame) -> DataFrame:
+    """``rows`` with the three keys by which they are looked up; null: none."""
+    shop, etsy = F.col("platform") == "shopify", F.col("platform") == "etsy"
+    trimmed = F.nullif(F.trim(F.col("platform_sku")), F.lit(""))
+    return rows.select("*", F.when(shop, F.col("variant_id")).alias("_variant_key"),
+                       F.when(shop, trimmed).alias("_shop_key"), F.when(etsy, trimmed).alias("_etsy_key"))
+
+
+def _found(asked: DataFrame, items: DataFrame, mapping: DataFrame) -> DataFrame:
+    """The distinct rows ``asked`` that a lookup finds, with ``internal_sku`` of the first that does."""
+
+    def keys(*named: Column) -> Column:
+        each = [F.when(c.isNotNull(), F.struct(F.lit(i).alias("_kind"), c.alias("_key"))) for i, c in enumerate(named)]
+        return F.explode(F.array_compact(F.array(*each))).alias("_k")
+
+    known = mapping.join(by_key(items.select("internal_sku")), "internal_sku", "left_semi")
+    dim = known.select("internal_sku", keys(F.col("shopify_variant_id"), F.col("shopify_sku"), F.col("etsy_sku"))).groupBy(
+        "_k._kind", "_k._key").agg(F.min("internal_sku").alias("_sku"))
+    wanted = _asked(asked).select(*asked.columns, keys(F.col("_variant_key"), F.col("_shop_key"), F.col("_etsy_key"))).select(*asked.columns, "_k.*")
+    return wanted.join(by_key(dim), ["_kind", "_key"]).groupBy(*asked.columns).agg(F.min(F.struct("_kind", "_sku"))["_sku"].alias("internal_sku"))
+
+
+def _one_by_one(rows: DataFrame, items: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``rows`` with ``internal_sku`` from their three lookup keys, one join each."""
     dims = lookup_dimensions(items, mapping)
-    out = keyed
+    out = _asked(rows)
     for key, dim, found in (("_variant_key", "variant", "_by_variant"), ("_shop_key", "shopify_sku", "_by_shopify_sku"), ("_etsy_key", "etsy_sku", "_by_etsy_sku")):
         out = out.join(dims[dim], F.col(key) == F.col(f"_{found}_key"), "left")
-    return out.select(*keyed.columns, F.coalesce("_by_variant", "_by_shopify_sku", "_by_etsy_sku").alias("internal_sku"))
+    return out.select(*rows.columns, F.coalesce("_by_variant", "_by_shopify_sku", "_by_etsy_sku").alias("internal_sku"))
 
 
 def resolve_lines(lines: DataFrame, items: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -76,19 +99,9 @@ def resolve_lines(lines: DataFrame, items: DataFrame, mapping: DataFrame) -> Dat
     twice: they should be materialised); a line then meets its own in one
     join. A stream looks up its lines one by one.
     """
-    asked = ["platform", "platform_sku", "variant_id"]
-    shop = F.col("platform") == "shopify"
-    etsy = F.col("platform") == "etsy"
-    trimmed = F.nullif(F.trim(F.col("platform_sku")), F.lit(""))
-
-    def looked_up(rows: DataFrame) -> DataFrame:
-        keyed = rows.select("*", F.when(shop, F.col("variant_id")).alias("_variant_key"),
-                            F.when(shop, trimmed).alias("_shop_key"), F.when(etsy, trimmed).alias("_etsy_key"))
-        return _by_key(keyed, items, mapping).select(*rows.columns, "internal_sku")
-
     if lines.isStreaming:
-        return looked_up(lines)
-    named = looked_up(lines.select(*asked).distinct()).where(F.col("internal_sku").isNotNull()).select(
-        *[F.col(c).alias(f"_{c}") for c in asked], "internal_sku")
+        return _one_by_one(lines, items, mapping)
+    asked = ["platform", "platform_sku", "variant_id"]
+    named = _found(lines.select(*asked).distinct(), items, mapping).select(*[F.col(c).alias(f"_{c}") for c in asked], "internal_sku")
     same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in asked])
     return lines.join(named, same, "left").select(*lines.columns, "internal_sku")

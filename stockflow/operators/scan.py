@@ -32,6 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockflow.store import by_key
+
 CHUNK = "_scan_chunk"
 
 #: A key with more rows than this spans chunks in :func:`keyed_scan`.
@@ -116,7 +118,7 @@ def ordered_scan(
                          *[F.last(stamped(v, n, whole(v)), ignorenulls=True).over(wc).alias(f"_carry_l_{n}") for n, v in parts.items()])
 
     local = marked.select("*", *[F.last(f"_scan_l_{n}", ignorenulls=True).over(excl).alias(f"_local_l_{n}") for n in last_before])
-    joined = local.join(carry, on=[*keys, CHUNK], how="inner")
+    joined = local.join(by_key(carry), on=[*keys, CHUNK], how="inner")
     out_cols = [F.col(c) for c in df.columns]
     for n in sums:
         out_cols.append((F.col(f"_local_s_{n}") + F.col(f"_carry_s_{n}")).alias(n))

@@ -11,7 +11,7 @@ from stockflow import schemas as S
 from stockflow.operators import mapping_versions, outbox
 from stockflow.plans import catalogue
 from stockflow.sources import testdata as TD
-from stockflow.store import TableStore, materialize, scratch_root
+from stockflow.store import TableStore, by_key, materialize, scratch_root
 from stockflow.streaming import writeback
 
 NOW_MS = TD.NOW_MS
@@ -89,7 +89,7 @@ def writeback_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_attempts"), F.count_if(F.col("outcome") == "succeeded").alias("n_delivered"))
     marks = store.read("requeued").groupBy("job_id").agg(F.count(F.lit(1)).alias("n_requeued"))
     counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_attempts", "n_delivered", "n_requeued")]
-    return jobs.join(told, "job_id", "left").join(marks, "job_id", "left").select(
+    return jobs.join(by_key(told), "job_id", "left").join(by_key(marks), "job_id", "left").select(
         "internal_sku", "platform", "target_quantity", "status", "attempts", "last_error", *counts)
 
 

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from stockflow import schemas as S
 from stockflow.functions import normalize as N
+from stockflow.store import by_key
 
 #: Error of an attempt that the fixture lets fail.
 REFUSED = "delivery refused by the fixture"
@@ -115,7 +116,7 @@ def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                (F.col("p_size").cast("long") * 10).alias("_size10"))
     second = (
         raw.filter(F.col("_row") % 6 == 1)
-        .join(part, "_row")
+        .join(by_key(part), "_row")
         .withColumn("available_units", recount_units)
         .drop("_size10")
         .withColumn("seq", _import_seq(RECOUNT_IMPORT_TS, F.col("_row")))

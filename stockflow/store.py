@@ -36,6 +36,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """``df`` as a side of an equi-join for which both sides are dealt out by key.
+
+    For tables that grow with the catalogue or the jobs. Left alone, Spark
+    judges them by their compressed files, or by estimates from those, and
+    gathers in the driver what is many times as large once it is read.
+    """
+    return df.hint("merge")
+
+
 class TableStore:
     """Versioned tables under one root folder with numbered manifests."""
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from stockflow import schemas as S
 from stockflow.operators import outbox
 from stockflow.operators.scan import ordered_scan
-from stockflow.store import TableStore, materialize
+from stockflow.store import TableStore, by_key, materialize
 from stockflow.streaming import relay
 
 #: (messages with job_id, key, value) -> (job_id, ok)
@@ -41,7 +41,7 @@ def overlay(jobs: DataFrame, states: DataFrame, now_ms: int) -> DataFrame:
     target: a finished job is then owed again (no attempts, due at ``now_ms``)
     and a pending one keeps the new target."""
     kept = ["status", "attempts", "next_attempt_at", "last_error"]
-    j = jobs.join(states.select("job_id", F.struct("target_quantity", *kept).alias("_s")), "job_id", "left")
+    j = jobs.join(by_key(states.select("job_id", F.struct("target_quantity", *kept).alias("_s"))), "job_id", "left")
     s, hit = F.col("_s"), F.col("_s").isNotNull()
     reopened = hit & (s["status"] != "pending") & ~s["target_quantity"].eqNullSafe(F.col("target_quantity"))
     anew = {"status": F.lit("pending"), "attempts": F.lit(0).cast("long"), "next_attempt_at": F.lit(now_ms).cast("long"),
@@ -109,7 +109,7 @@ def relay_round(store: TableStore, consumer: TableStore, number: int, now_ms: in
     messages = relay.encode_events(claimed, keep=["job_id"])
     accepted = materialize(send(messages).where("ok").select("job_id").distinct())
     told = materialize(claimed.select("job_id", "internal_sku", "platform", "target_quantity").join(
-        accepted.withColumn("accepted", F.lit(True)), "job_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))))
+        by_key(accepted.withColumn("accepted", F.lit(True))), "job_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))))
     jobs = outbox.release(store.read("jobs"), told.where("NOT accepted"), now_ms)
     log = told.withColumn("sent_at", F.lit(now_ms).cast("long")).withColumn(
         "due_at", F.when(F.col("accepted"), F.lit(now_ms + lease_ms)).otherwise(F.lit(now_ms)).cast("long"))
@@ -126,7 +126,7 @@ def requeue(store: TableStore, consumer: TableStore, job_ids: DataFrame, number:
         return False
     m = consumer.manifest()
     jobs = materialize(current_jobs(store, consumer, now_ms, m))
-    hit = jobs.where("status = 'dead_letter'").join(job_ids.select("job_id").distinct(), "job_id", "left_semi")
+    hit = jobs.where("status = 'dead_letter'").join(by_key(job_ids.select("job_id").distinct()), "job_id", "left_semi")
     marks = hit.select("job_id", F.lit(now_ms).cast("long").alias("requeued_at"), F.lit(m["last_batch"]).cast("long").alias("after_batch"))
     return _publish(store, number, outbox.requeue(jobs, job_ids, now_ms), m["last_batch"], {"requeued": marks})
 
@@ -156,12 +156,12 @@ def message_fates(events: DataFrame, jobs: DataFrame) -> DataFrame:
     another target than its job."""
     place = F.struct("topic_file", "topic_pos")
     first = events.where(F.col("job_id").isNotNull()).groupBy("job_id").agg(F.min(place).alias("_first"))
-    known = jobs.join(first, "job_id").select("job_id", F.col("status").alias("_status"), F.col("target_quantity").alias("_target"), "_first")
+    known = jobs.join(by_key(first), "job_id").select("job_id", F.col("status").alias("_status"), F.col("target_quantity").alias("_target"), "_first")
     bad, of = events.where(F.col("job_id").isNull()), events.where(F.col("job_id").isNotNull())
     fate = (F.when(F.col("_status").isNull(), F.lit("unknown_job")).when(F.col("_status") != "pending", F.lit("not_pending"))
             .when(place == F.col("_first"), F.lit("attempted")).otherwise(F.lit("repeated")))
     cols = ["topic_file", "topic_pos", "key", "job_id"]
-    told = of.join(known, "job_id", "left").select(*cols, fate.alias("fate"), F.coalesce(F.col("target_quantity") != F.col("_target"), F.lit(False)).alias("stale"))
+    told = of.join(by_key(known), "job_id", "left").select(*cols, fate.alias("fate"), F.coalesce(F.col("target_quantity") != F.col("_target"), F.lit(False)).alias("stale"))
     return told.unionByName(bad.select(*cols, F.lit("undecodable").alias("fate"), F.lit(False).alias("stale")))
 
 
@@ -175,13 +175,13 @@ def process(store: TableStore, consumer: TableStore, batch: DataFrame, batch_id:
     jobs = materialize(current_jobs(store, consumer, now_ms, m))
     events = materialize(relay.parse_events(batch))
     fates = materialize(message_fates(events, jobs))
-    todo = jobs.join(fates.where("fate = 'attempted'").select("job_id"), "job_id", "left_semi")
+    todo = jobs.join(by_key(fates.where("fate = 'attempted'").select("job_id")), "job_id", "left_semi")
     routed = outbox.skip_reason(todo, mapping)
     moved = materialize(outbox.transition(routed, results_fn(routed), now_ms, retry_base_ms))
     states = moved.select(*outbox.JOB_COLUMNS, F.lit(batch_id).cast("long").alias("micro_batch"))
     earlier = _later_states(consumer, folded, m)
     if earlier is not None:
-        states = states.unionByName(earlier.join(moved.select("job_id"), "job_id", "left_anti"))
+        states = states.unionByName(earlier.join(by_key(moved.select("job_id")), "job_id", "left_anti"))
     log = moved.select("job_id", "internal_sku", "platform", "target_quantity", F.col("attempts").alias("attempt_no"),
                        F.lit(now_ms).cast("long").alias("attempt_at"), "outcome", "log_status", "message")
     return consumer.publish(batch_id, state={"states": states}, append={"attempts": log, "messages": fates})

@@ -56,6 +56,22 @@ def test_a_line_meets_one_join(spark):
     assert joins == 1
 
 
+def test_lookups_gather_no_catalogue(spark):
+    """The catalogue meets the keys asked for by key; the first of variant, Shopify SKU and Etsy SKU that is known counts."""
+    items = spark.createDataFrame([("S1",), ("S2",), ("S3",), (None,)], "internal_sku string")
+    mapping = spark.createDataFrame([("S2", "v", "s", "e"), ("S1", None, "s", "e"), ("S1", None, "s", "e"), ("S3", "v", "v", ""), ("S0", "w", "s", "e"), (None, "x", "x", "x")],
+                                    "internal_sku string, shopify_variant_id string, shopify_sku string, etsy_sku string")
+    rows = [("shopify", "s", "v", "S2"), ("shopify", "s", "w", "S1"), ("shopify", "s", None, "S1"), ("shopify", "v", "s", "S3"), ("shopify", "x", "x", None),
+            ("etsy", " e ", "v", "S1"), ("etsy", "v", "v", None), ("etsy", "", None, None), ("shopify", "s", "v", "S2"), (None, None, None, None)]
+    lines = spark.createDataFrame(rows, "platform string, platform_sku string, variant_id string, want string")
+    out = resolve.resolve_lines(lines, items, mapping)
+    assert sorted(map(str, out.select("platform", "platform_sku", "variant_id", "internal_sku").collect())) == sorted(
+        map(str, lines.select("platform", "platform_sku", "variant_id", F.col("want").alias("internal_sku")).collect()))
+    named = resolve._found(lines.select("platform", "platform_sku", "variant_id").distinct(), items, mapping)
+    plan = named._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
+
+
 VALUES = ['"A"', '""', "0", "0.0", "-0", "0e5", "00", '"0"', '"false"', "false", "true", "null", "7", "-0.5", "0.5", '"0x"', '" "', "[]", '{"a": 1}', "1e3", '"-0"']
 
 

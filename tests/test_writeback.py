@@ -150,3 +150,29 @@ def test_dead_letters_are_requeued_once_and_open_an_epoch(spark):
     assert shop.store.read("requeued").count() == 1
     got = sorted((r.internal_sku, r.epoch, r.attempt_no, r.outcome) for r in writeback.attempt_epochs(shop.store, shop.consumer).collect())
     assert got == [("A", 0, 1, "dead_letter"), ("A", 1, 1, "succeeded"), ("B", 0, 1, "dead_letter")]
+
+
+def test_no_table_is_gathered_in_the_driver(spark, monkeypatch):
+    """Messages, jobs, states and mappings meet by key, however small Spark holds their files to be."""
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    keep, publish = writeback.materialize, TableStore.publish
+    monkeypatch.setattr(writeback, "materialize", lambda df: keep(noted(df)))
+    monkeypatch.setattr(TableStore, "publish", lambda self, n, state=None, append=None, **more: publish(
+        self, n, {k: noted(v) for k, v in (state or {}).items()}, {k: noted(v) for k, v in (append or {}).items()}, **more))
+    shop = Shop(spark, owed=())
+    targets = spark.createDataFrame([("A", "shopify", 5), ("B", "shopify", 7)], "internal_sku string, platform string, target_quantity long")
+    writeback.enqueue(shop.store, shop.consumer, targets, 2, 0, max_attempts=2)
+    for number, now, results in ((3, 0, refuse), (5, 5000, refuse), (8, 6000, accept)):
+        if number == 8:
+            writeback.requeue(shop.store, shop.consumer, writeback.current_jobs(shop.store, shop.consumer, now), 7, now)
+        shop.relay(number, now)
+        shop.consume(results, now)
+    log = noted(writeback.attempt_epochs(shop.store, shop.consumer))
+    assert sorted((r.internal_sku, r.epoch, r.attempt_no, r.outcome) for r in log.collect()) == [
+        (sku, *made) for sku in "AB" for made in ((0, 1, "retry_scheduled"), (0, 2, "dead_letter"), (1, 1, "succeeded"))]
+    assert not any("Broadcast" in p for p in plans) and sum("SortMergeJoin" in p for p in plans) > 20
