@@ -6,7 +6,7 @@ asked for meet one dimension, deduplicated to one row per kind and channel key
 (lowest ``internal_sku`` wins, so ambiguous mappings resolve
 deterministically), in one equi-join by kind and key; keys that are null take no
 part. The dimension grows with the catalogue, so it is never gathered whole. A
-stream has an equi-join for each kind instead.
+stream has an equi-join by variant and one by SKU instead.
 """
 
 from __future__ import annotations
@@ -80,12 +80,21 @@ def _found(asked: DataFrame, items: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def _one_by_one(rows: DataFrame, items: DataFrame, mapping: DataFrame) -> DataFrame:
-    """``rows`` with ``internal_sku`` from their three lookup keys, one join each."""
+    """``rows`` with ``internal_sku``: one join by variant, one by the SKU of the
+    row's platform. Rows that ask for none match nothing; the salt spreads them
+    over the partitions of the join."""
     dims = lookup_dimensions(items, mapping)
+    channel = reduce(DataFrame.unionByName, [dims[f"{p}_sku"].select(F.lit(p).alias("_kind"), F.col(f"__by_{p}_sku_key").alias("_key"), F.col(f"_by_{p}_sku").alias("_by_channel"))
+                                             for p in ("shopify", "etsy")])
+    variant = dims["variant"].select(F.lit("variant").alias("_kind"), F.col("__by_variant_key").alias("_key"), "_by_variant")
     out = _asked(rows)
-    for key, dim, found in (("_variant_key", "variant", "_by_variant"), ("_shop_key", "shopify_sku", "_by_shopify_sku"), ("_etsy_key", "etsy_sku", "_by_etsy_sku")):
-        out = out.join(dims[dim], F.col(key) == F.col(f"_{found}_key"), "left")
-    return out.select(*rows.columns, F.coalesce("_by_variant", "_by_shopify_sku", "_by_etsy_sku").alias("internal_sku"))
+    for kind, asked, dim in ((F.lit("variant"), F.col("_variant_key"), variant), (F.col("platform"), F.coalesce("_shop_key", "_etsy_key"), channel)):
+        salt = F.when(asked.isNull(), F.pmod(F.xxhash64(*rows.columns), F.lit(4096))).otherwise(F.lit(0))
+        # Zero, but not a literal: the salt stays one of the keys that rows are dealt by.
+        held = dim.withColumn("_salted", F.pmod(F.length("_key"), F.lit(1)).cast("long"))
+        out = out.withColumn("_salt", salt).join(held, (asked == F.col("_key")) & (kind == F.col("_kind")) & (F.col("_salt") == F.col("_salted")), "left").drop(
+            "_salt", "_salted", "_key", "_kind")
+    return out.select(*rows.columns, F.coalesce("_by_variant", "_by_channel").alias("internal_sku"))
 
 
 def resolve_lines(lines: DataFrame, items: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -3,19 +3,20 @@
 Two stateful operators in one streaming query, both on Spark's state store
 (RocksDB: state lives on the executors' disks, versions in the checkpoint):
 
-* ``FirstArrival`` remembers, by (platform, event id), which delivery of an
-  event took effect. A replay is a duplicate forever, and only the
-  events of a micro-batch are looked up; nothing scans an event table.
+* :func:`first_arrivals` remembers, by (platform, event id), which events took
+  effect. A replay is a duplicate forever, and only the events of a
+  micro-batch are looked up; nothing scans an event table.
 * ``StockFold`` remembers, by SKU, the import in force (units, tier,
   flag) and the units sold since. It turns a key's rows, in ``seq`` order,
   into the two columns that :func:`stockflow.operators.ledger.effects` works
   on - what the batch plan gets from its ordered scans - so status, notes and
   ledger values have one definition.
 
-The only Python is the running sum and the carried import, over whole columns
-of a slot's rows: keys are dealt to slots by hash, and one call serves all keys
-of a slot. A slot's rows of one micro-batch meet in one task, in memory:
-``files_per_trigger`` bounds a micro-batch. Across micro-batches changes apply
+The only Python is the earliest delivery inside a micro-batch, the running sum
+and the carried import, over whole columns of a slot's rows: keys are dealt to
+slots by hash, and one call serves all keys of a slot. A slot's rows of one
+micro-batch meet in one task, in memory: ``files_per_trigger`` bounds a
+micro-batch. Across micro-batches changes apply
 in the order in which they arrive; a row that arrives late applies then.
 """
 
@@ -25,12 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from stockflow import schemas as S
 from stockflow.operators import ledger, resolve
+from stockflow.operators.dedupe import EVENT_KEY
 from stockflow.plans.ingest import valid_line
 from stockflow.store import TableStore
 
@@ -53,28 +57,21 @@ def _whole(frame: pd.DataFrame, schema: str) -> pd.DataFrame:
     return frame.astype({n: kinds[k] for n, k in (c.split() for c in schema.split(", ")) if k in kinds})
 
 
-class FirstArrival(StatefulProcessor):
-    """Deliveries with ``first``: true for the one of each event that takes
-    effect. Events are grouped by slot, so that a call serves many; the state
-    is a map, whose entries the state store reads and writes one by one."""
+def first_arrivals(orders: DataFrame) -> DataFrame:
+    """The delivery of each event that takes effect: the earliest of its
+    micro-batch, unless the event was seen before. The earliest is found by slot,
+    whose rows stay Arrow columns; what was seen is looked up and noted in the
+    state store by Spark's own operator, event by event."""
+    columns = [c.split()[0] for c in DELIVERY.split(", ")]
 
-    def init(self, handle) -> None:
-        self.seen = handle.getMapState("seen", "platform string, external_event_id string", "batch long, doc_pos long, page_pos long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows), ignore_index=True)
-        keys = frame[["platform", "external_event_id", *ARRIVAL]].astype({c: "Int64" for c in ARRIVAL})
-        order = keys.fillna({c: -1 for c in ARRIVAL}).sort_values(ARRIVAL, kind="stable")
-        earliest = keys.loc[order.index[~order.duplicated(["platform", "external_event_id"])]]
-        frame["first"] = False
-        for at, platform, event, *arrival in earliest.itertuples():
-            if not self.seen.containsKey((platform, event)):
-                frame.loc[at, "first"] = True
-                self.seen.updateValue((platform, event), tuple(None if pd.isna(v) else int(v) for v in arrival))
-        yield _whole(frame[frame["first"]], DELIVERY)[[*(c.split()[0] for c in DELIVERY.split(", ")), "first"]]
+    def earliest(slot: pa.Table) -> pa.Table:
+        rows = slot.select(columns)
+        order = pc.sort_indices(rows, sort_keys=[(c, "ascending") for c in ARRIVAL], null_placement="at_start")
+        again = rows.select(EVENT_KEY).take(order).to_pandas().duplicated()
+        return rows.take(order.filter(pa.array(~again.to_numpy())))
 
-    def close(self) -> None:
-        pass
+    slot = F.pmod(F.xxhash64(*EVENT_KEY), F.lit(SLOTS))
+    return orders.withColumn("slot", slot).groupBy("slot").applyInArrow(earliest, DELIVERY).dropDuplicates(EVENT_KEY)
 
 
 class StockFold(StatefulProcessor):
@@ -149,9 +146,7 @@ def _flat(changes: DataFrame) -> DataFrame:
 def applied(orders: DataFrame, imports: DataFrame, items: DataFrame, mapping: DataFrame) -> DataFrame:
     """The change stream with its effects, from two streams: landed
     deliveries and import rows; SKUs are resolved with ``mapping``."""
-    slot = F.pmod(F.xxhash64("platform", "external_event_id"), F.lit(SLOTS))
-    won = orders.withColumn("slot", slot).groupBy("slot").transformWithStateInPandas(
-        FirstArrival(), outputStructType=DELIVERY + ", first boolean", outputMode="Append", timeMode="None")
+    won = first_arrivals(orders)
     lines = won.select("platform", "external_order_id", "note", F.explode(F.from_json("lines", f"array<{_LINE}>")).alias("l")).select("platform", "external_order_id", "note", "l.*")
     sales = resolve.resolve_lines(lines, items, mapping).where(valid_line())
     changes = imports.unionByName(_flat(ledger.sale_rows(sales)))

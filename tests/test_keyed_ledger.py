@@ -88,3 +88,22 @@ def test_a_run_without_new_events_leaves_the_state_alone(spark, runs):
     assert rows(store) == before
     updated = [s.numRowsUpdated for p in query.recentProgress for s in p.stateOperators]
     assert updated and sum(updated) == 0
+
+
+def test_first_arrivals_are_looked_up_by_the_engine(spark, tmp_path):
+    """Of a micro-batch the earliest delivery counts, of all micro-batches the first; no event costs a call from Python."""
+    names = K.DELIVERY
+    runs = [[("shopify", "a", "1", "late", 1, 5, None, "[]"), ("shopify", "a", "1", "early", 1, 2, None, "[]"), ("etsy", "a", "2", "other", 1, 9, 1, "[]"), (None, "a", "3", "x", 1, 1, None, None),
+             ("etsy", "a", "2", "paged", 1, 9, None, None)],
+            [("shopify", "a", "1", "again", 0, 0, None, "[]"), ("shopify", "b", "4", "new", 2, (1 << 60) + 1, None, None), ("shopify", "b", "4", "first", 2, 1 << 60, None, None), (None, "a", "3", "y", 0, 0, None, None)]]
+    told = []
+    for i, rows in enumerate(runs):
+        spark.createDataFrame(rows, names).coalesce(1).write.parquet(f"{tmp_path}/orders/{i}")
+        own = spark.newSession()
+        own.conf.set("spark.sql.streaming.stateStore.providerClass", K.ROCKSDB)
+        first = K.first_arrivals(own.readStream.schema(names).parquet(f"{tmp_path}/orders/*"))
+        query = first.writeStream.option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).foreachBatch(
+            lambda df, _: told.append(sorted(r.note for r in df.collect())) and None).start()
+        query.awaitTermination()
+        assert [s.operatorName for p in query.recentProgress for s in p.stateOperators] == ["dedupe"]
+    assert told == [["early", "paged", "x"], ["first"]]

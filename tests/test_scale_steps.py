@@ -72,6 +72,25 @@ def test_lookups_gather_no_catalogue(spark):
     assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan
 
 
+def test_a_stream_looks_up_rows_without_a_key_everywhere(spark):
+    """Line by line the same SKUs; rows that ask for none are dealt out over the join."""
+    items = spark.createDataFrame([("S1",), ("S2",), ("S3",), (None,)], "internal_sku string")
+    mapping = spark.createDataFrame([("S2", "v", "s", "e"), ("S1", None, "s", "e"), ("S3", "v", "v", ""), ("S0", "w", "s", "e"), (None, "x", "x", "x")],
+                                    "internal_sku string, shopify_variant_id string, shopify_sku string, etsy_sku string")
+    rows = [(i, p, s, v) for i, (p, s, v) in enumerate((p, s, v) for p in ("shopify", "etsy", "other", None) for s in ("s", " e ", "v", "x", "", " ", None) for v in ("v", "w", "x", None))]
+    lines = spark.createDataFrame(rows, "n int, platform string, platform_sku string, variant_id string")
+    one = resolve._one_by_one(lines, items, mapping)
+    assert one.columns == [*lines.columns, "internal_sku"]
+    assert sorted(map(str, one.collect())) == sorted(map(str, resolve.resolve_lines(lines, items, mapping).collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = resolve._one_by_one(lines, items, mapping)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line and "LeftOuter" in line]
+    assert len(joins) == 2 and all("_salt" in line for line in joins)
+
+
 VALUES = ['"A"', '""', "0", "0.0", "-0", "0e5", "00", '"0"', '"false"', "false", "true", "null", "7", "-0.5", "0.5", '"0x"', '" "', "[]", '{"a": 1}', "1e3", '"-0"']
 
 
