@@ -26,7 +26,8 @@ from stockflow.operators import items as items_op
 from stockflow.operators import ledger, outbox, reconcile, reports
 from stockflow.plans.ingest import ingest
 from stockflow.sources import landing, orders_json
-from stockflow.store import materialize
+from stockflow.store import checkpointed as materialize
+from stockflow.store import scratch
 
 _EPOCH = _dt.datetime(2000, 1, 1)
 EVENT_SCHEMA = ("platform string, external_event_id string, external_order_id string, order_name string, "
@@ -100,7 +101,8 @@ class StockBook:
         norm = N.import_rows(landing.import_order(raw, ts), self.default_location)
         norm = materialize(norm)
         changes = ledger.import_rows(norm).unionByName(ledger.state_rows(self.items))
-        applied = materialize(ledger.apply_changes(changes))
+        with scratch():
+            applied = materialize(ledger.apply_changes(changes))
         new_rows = ledger.ledger_rows(applied)
         self.ledger = self._append(self.ledger, new_rows)
         units = ledger.final_units(applied)
@@ -202,6 +204,7 @@ class StockBook:
         return outbox.dead_letters(self.jobs)
 
     # ---------------------------------------------------------------- reconcile
+    @scratch()
     def reconcile(self, persist: bool = True) -> dict[str, DataFrame]:
         led = self.ledger if self.ledger is not None else self.spark.createDataFrame(
             [], ledger.ledger_rows(ledger.apply_changes(ledger.state_rows(self.items))).schema)

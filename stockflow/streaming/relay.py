@@ -90,7 +90,7 @@ class WritebackConsumer:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         from stockflow.operators import outbox
-        from stockflow.store import materialize
+        from stockflow.store import checkpointed as materialize
 
         events = decode_events(batch)
         todo = consumable(events, self.jobs)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from stockflow import schemas as S
 from stockflow.operators import outbox
 from stockflow.operators.scan import ordered_scan
-from stockflow.store import TableStore, by_key, materialize
+from stockflow.store import TableStore, by_key, materialize, scratch
 from stockflow.streaming import relay
 
 #: (messages with job_id, key, value) -> (job_id, ok)
@@ -93,6 +93,7 @@ def to_folder(path: str, accepts: Column | None = None) -> Send:
     return send
 
 
+@scratch()
 def relay_round(store: TableStore, consumer: TableStore, number: int, now_ms: int, send: Send, lease_ms: int = S.CLAIM_LEASE_MS,
                 limit: int | None = None) -> bool:
     """STR-4 / STA-5: lease the due jobs (published as ``number``), send their
@@ -116,6 +117,7 @@ def relay_round(store: TableStore, consumer: TableStore, number: int, now_ms: in
     return _publish(store, number + 1, jobs, m["last_batch"], {"relayed": log})
 
 
+@scratch()
 def requeue(store: TableStore, consumer: TableStore, job_ids: DataFrame, number: int, now_ms: int) -> bool:
     """STA-4 on the durable outbox: the dead letters among ``job_ids`` are owed
     again, published as ``number``; other ids change nothing.
@@ -165,6 +167,7 @@ def message_fates(events: DataFrame, jobs: DataFrame) -> DataFrame:
     return told.unionByName(bad.select(*cols, F.lit("undecodable").alias("fate"), F.lit(False).alias("stale")))
 
 
+@scratch()
 def process(store: TableStore, consumer: TableStore, batch: DataFrame, batch_id: int, mapping: DataFrame, results_fn, now_ms: int,
             retry_base_ms: int = S.PUSH_RETRY_BASE_MS) -> bool:
     """One micro-batch of messages, published by the consumer as ``batch_id``."""
