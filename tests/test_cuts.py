@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stockflow import store as S
 from stockflow.plans import catalogue
+from stockflow.sources import landing
 from stockflow.sources import testdata as TD
 from stockflow.streaming import ingest_stream
 
@@ -86,3 +87,17 @@ def test_a_batch_leaves_only_what_it_published(spark, tmp_path):
     feed = ingest_stream.change_feed(TD.imports(spark, d), docs, TD.lines(spark, d))
     assert ingest_stream.process_batch(store, feed, 0) and store.read("ledger").count() > 40
     assert folders(spark) == before
+
+
+def test_landed_bodies_are_checked_once(spark):
+    """What was cut after the check is not parsed for it again, and gives the same documents."""
+    bodies = [('{"id": 1, "line_items": [{"sku": "A", "quantity": 2}]}', True), ('{"name": "no id"}', True), ("oops", True), ('{"id": 2}', False), (None, False)]
+    raw = spark.createDataFrame([("shopify_webhook", v, None, ok, "f", i) for i, (v, ok) in enumerate(bodies)] + [("etsy_pages", '{"results": [{"receipt_id": 7}]}', None, True, "p", 0)],
+                                "source string, value string, body binary, accepted boolean, file string, pos long")
+    sources = ["etsy_pages", "shopify_webhook"]
+    once, again = (landing.canonical(landing.with_arrival(r, 1), sources) for r in (S.materialize(landing.checked(raw, sources)), raw))
+    for name, n in (("documents", 2), ("lines", 1), ("rejected", 2), ("malformed", 2)):
+        a, b = getattr(once, name), getattr(again, name)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.count() == n
+    parsed = [x.documents._jdf.queryExecution().optimizedPlan().toString().count("_corrupt") for x in (once, again)]
+    assert parsed[0] == 0 < parsed[1]
