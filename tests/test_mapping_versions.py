@@ -73,3 +73,16 @@ def test_a_sale_before_its_import_is_unresolved_in_one_batch_as_in_two(spark):
     one = outcome(feed(start + late, sales + later))
     assert one == [("o1", "enqueued", "A"), ("o2", "unresolved", None), ("o3", "enqueued", "B"), ("o4", "enqueued", "A")]
     assert outcome(feed(start, sales), feed(late, later)) == one
+
+
+def test_skus_that_share_a_key_from_the_start(spark):
+    """Rows of the mapping before a batch have one place: the lowest SKU holds the key, whatever order they come in."""
+    seq = "seq struct<ts:int,n:int>"
+    for names in (["S3", "S1", "S2", "S4"], ["S4", "S2", "S1", "S3"], ["S1", "S2", "S3", "S4"]):
+        mapping = spark.createDataFrame([(n, None, "k", None) for n in names], "internal_sku string, shopify_variant_id string, shopify_sku string, etsy_sku string").coalesce(1)
+        imports = spark.createDataFrame([("S1", (5, 1), None, "other", None), ("S4", (5, 2), None, "k", None)], f"internal_sku string, {seq}, shopify_variant_id string, shopify_sku string, etsy_sku string")
+        lines = spark.createDataFrame([("shopify", (t, 9), t, "k", None) for t in (1, 4, 7)], f"platform string, {seq}, id int, platform_sku string, variant_id string")
+        got = {r.id: r.internal_sku for r in mv.resolve_as_of(lines, mv.version_rows(mapping, imports)).collect()}
+        assert got == {1: "S1", 4: "S1", 7: "S2"}
+        told = mv.holders(mv.key_changes(mv.version_rows(mapping, imports))).where("key = 'k'").collect()
+        assert sorted((r.seq.ts or 0, r.holder) for r in told) == [(0, "S1"), (5, "S2")]
